@@ -47,7 +47,7 @@ def signature(c: Column) -> Column:
 def truncate_with_length(c: Column, n: int) -> Column:
     """Cut text longer than ``n`` characters and say how long it was."""
     return F.when(
-        F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("... ["), F.length(c).cast("string"), F.lit(" chars]"))
+        F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("... [truncated, "), F.length(c).cast("string"), F.lit(" chars total]"))
     ).otherwise(c)
 
 

@@ -93,3 +93,42 @@ def row_numbers(df: DataFrame, keys: list[str], order: list, out: str, position:
     offsets = slice_carry(sliced, keys, {"_n": F.count(F.lit(1))}, {"_before": F.sum("_n")})
     joined = numbered.join(offsets, [*keys, "_slice"], "left")
     return joined.withColumn(out, F.col(out) + F.coalesce("_before", F.lit(0))).drop("_slice", "_before")
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[str], position: Column, value: Column, out: str, ahead: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The value of the next (or previous) row of the group; across slice borders it is carried from the next slice.
+
+    ``order`` columns must identify a row within its group; ``position`` is numeric and grows with the first of them.
+    """
+    sliced, hot = slice_hot_groups(df, keys, position, hot_rows)
+    here = F.struct(*[F.col(c) for c in order], value.alias("_v"))
+    w = W.partitionBy(*keys, "_slice").orderBy(*order)
+    moved = sliced.withColumn("_next", (F.lead if ahead else F.lag)(here, 1).over(w))
+    if not hot:
+        return moved.withColumn(out, F.col("_next._v")).drop("_next", "_slice")
+    pick = F.min if ahead else F.max
+    carried = slice_carry(sliced, keys, {"_edge": pick(here)}, {"_carry": pick("_edge")}, after=ahead)
+    joined = moved.join(carried, [*keys, "_slice"], "left")
+    return joined.withColumn(out, F.coalesce("_next", "_carry")["_v"]).drop("_next", "_carry", "_slice")
+
+
+def running_before(df: DataFrame, keys: list[str], order: list[str], position: Column, values: dict[str, tuple[str, Column]], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Running aggregates over the rows before each row of its group: ``values`` maps a name to (``sum``|``max``, column)."""
+    sliced, hot = slice_hot_groups(df, keys, position, hot_rows)
+    fold = {"sum": F.sum, "max": F.max}
+    w = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = sliced.withColumns({n: fold[kind](c).over(w) for n, (kind, c) in values.items()})
+    if not hot:
+        return out.drop("_slice")
+    totals = {f"_t_{n}": fold[kind](c) for n, (kind, c) in values.items()}
+    carry = {f"_c_{n}": fold[kind](f"_t_{n}") for n, (kind, _) in values.items()}
+    out = out.join(slice_carry(sliced, keys, totals, carry), [*keys, "_slice"], "left")
+    both = {
+        n: (
+            F.when(F.col(n).isNull() & F.col(f"_c_{n}").isNull(), F.lit(None)).otherwise(F.coalesce(n, F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)))
+            if kind == "sum"
+            else F.coalesce(n, f"_c_{n}")
+        )
+        for n, (kind, _) in values.items()
+    }
+    return out.withColumns(both).drop("_slice", *carry)
