@@ -151,6 +151,6 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
         names = df.sparkSession.createDataFrame([(c,) for c in common], "column string")
         text = names.join(listed, "column", "left").select("column", F.lit(0).cast("long").alias("outlier_count"), F.lit("none").alias("outlier_direction"), "rare_categories")
         out = out.unionByName(text)
-    return out.withColumns({"total_rows": F.lit(totals["total_rows"]), "total_anomalous_rows": F.lit(totals["total_anomalous_rows"])})
+    return out.withColumns({c: F.lit(totals[c]).cast("long") for c in ("total_rows", "total_anomalous_rows")})
 
 

@@ -102,7 +102,9 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
-    binned = df.select(F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int").alias("bin")).where("bin is not null")
+    # least() skips nulls, so rows without a finite value go before it.
+    known = df.select(x.alias("x")).where("x is not null")
+    binned = known.select(F.least(F.floor((F.col("x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int").alias("bin"))
     counted = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(

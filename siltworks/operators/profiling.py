@@ -345,5 +345,5 @@ def profile_summary(profile_rows: DataFrame) -> DataFrame:
     """Only the columns with warnings, beside the size of the table."""
     size = profile_rows.agg(F.max("row_count").alias("rows"), F.count(F.lit(1)).alias("columns")).first()
     return profile_rows.where(F.size("warnings") > 0).select(
-        F.lit(size["rows"]).alias("rows"), F.lit(size["columns"]).alias("columns"), "column", F.array_join("warnings", "; ").alias("warnings")
+        F.lit(size["rows"]).cast("long").alias("rows"), F.lit(size["columns"]).cast("long").alias("columns"), "column", F.array_join("warnings", "; ").alias("warnings")
     )

@@ -18,6 +18,11 @@ def _clip(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+def _score(c: Column) -> Column:
+    """Three decimals; summation noise is rounded away first, so that halves do not depend on the order of addition."""
+    return F.round(F.round(c, 9), 3)
+
+
 def plausibility() -> Column:
     """Product of the penalties of a row's warnings in order; heaping ends the product."""
     start = F.struct(F.lit(1.0).alias("score"), F.lit(False).alias("done"))
@@ -74,18 +79,19 @@ def _flags(target: str | None) -> list[Column]:
 
 
 def _defect_share() -> Column:
-    return F.least(F.coalesce(F.col("target_inf_nan"), F.lit(0)) / F.nullif(F.col("row_count"), F.lit(0)), F.lit(1.0))
+    share = F.coalesce(F.col("target_inf_nan"), F.lit(0)) / F.nullif(F.col("row_count"), F.lit(0))
+    return F.coalesce(F.when(share > 1, F.lit(1.0)).otherwise(share), F.lit(0.0))
 
 
 def structural_score(profile_rows: DataFrame, target: str | None = None) -> DataFrame:
     """One row: structural score, completeness, flags."""
     base = _with_target(profile_rows, target)
-    share = F.coalesce(_defect_share(), F.lit(0.0))
+    share = _defect_share()
     score = F.col("structural_integrity") * (1.0 - TARGET_DEFECT_PENALTY * share)
     empty = F.col("n_columns") == 0
     return base.select(
-        F.when(empty, 0.0).otherwise(F.round(_clip(score), 3)).alias("structural_score"),
-        F.round("completeness", 3).alias("completeness"),
+        F.when(empty, 0.0).otherwise(_score(_clip(score))).alias("structural_score"),
+        _score(F.col("completeness")).alias("completeness"),
         F.when(empty, "no_columns_in_profile").otherwise(F.array_join(F.array_compact(F.array(*_flags(target))), "; ")).alias("flags"),
     )
 
@@ -93,7 +99,7 @@ def structural_score(profile_rows: DataFrame, target: str | None = None) -> Data
 def quality_score(profile_rows: DataFrame, target: str | None = None) -> DataFrame:
     """One row: overall score, its parts, and flags."""
     base = _with_target(profile_rows, target)
-    share = F.coalesce(_defect_share(), F.lit(0.0))
+    share = _defect_share()
     heaped = F.coalesce("target_heaped", F.lit(False))
     integrity = F.when(
         F.col("target_found") > 0,
@@ -107,10 +113,10 @@ def quality_score(profile_rows: DataFrame, target: str | None = None) -> DataFra
     flags = F.concat(F.array_compact(F.array(*_flags(target), target_heaping)), F.col("heaping_flags"))
     empty = F.col("n_columns") == 0
     return base.withColumn("ti", integrity).select(
-        F.when(empty, 0.0).otherwise(F.round(_clip(overall), 3)).alias("overall"),
-        F.round("completeness", 3).alias("completeness"),
-        F.round("ti", 3).alias("target_integrity"),
-        F.when(empty, 0.0).otherwise(F.round("value_plausibility", 3)).alias("value_plausibility"),
-        F.when(empty, 0.0).otherwise(F.round("structural_integrity", 3)).alias("structural_integrity"),
+        F.when(empty, 0.0).otherwise(_score(_clip(overall))).alias("overall"),
+        _score(F.col("completeness")).alias("completeness"),
+        _score(F.col("ti")).alias("target_integrity"),
+        F.when(empty, 0.0).otherwise(_score(F.col("value_plausibility"))).alias("value_plausibility"),
+        F.when(empty, 0.0).otherwise(_score(F.col("structural_integrity"))).alias("structural_integrity"),
         F.when(empty, "no_columns_in_profile").otherwise(F.array_join(flags, "; ")).alias("flags"),
     )

@@ -263,6 +263,11 @@ _SEEDS = tuple((1_103_515_245 * (i + 1) % _PRIME, 12_345 * (i + 7) % _PRIME) for
 SHINGLE_WORDS, BAND_ROWS = 3, 3
 
 
+def _smallest(a: int, b: int) -> Column:
+    """Smallest value of one member of the hash family over the hashes of a text."""
+    return F.array_min(F.transform("h", lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
+
+
 def near_duplicate_bands(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, band, bucket)``: min-hash sketch of word triples of the whole text, in bands.
 
@@ -276,7 +281,7 @@ def near_duplicate_bands(df: DataFrame, key: str, text: str) -> DataFrame:
     )
     hashes = F.transform(F.array_distinct(triples), lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
     hashed = with_words.select(key, hashes.alias("h"))
-    mins = [F.array_min(F.transform("h", lambda x, a=a, b=b: (x * F.lit(a) + F.lit(b)) % F.lit(_PRIME))).alias(f"m{i}") for i, (a, b) in enumerate(_SEEDS)]
+    mins = [_smallest(a, b).alias(f"m{i}") for i, (a, b) in enumerate(_SEEDS)]
     sketched = hashed.select(key, *mins)
     bands = [
         F.struct(F.lit(i // BAND_ROWS).alias("band"), F.concat_ws("-", *[F.col(f"m{j}").cast("string") for j in range(i, i + BAND_ROWS)]).alias("bucket"))
