@@ -130,7 +130,9 @@ _SKETCH = ", ".join(f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % {vl
  select doc_id, min(anchor) as anchor from g where n > 1 group by doc_id"""
 )
 def near_duplicates(spark, sf) -> DataFrame:
-    return vl.near_duplicates(table(spark, sf, "documents"), "doc_id", "text")
+    docs = table(spark, sf, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return vl.near_duplicates(docs, "doc_id", "text", cores if docs.rdd.getNumPartitions() < cores else None)
 
 
 def _pii_rows(column: str, source: str) -> str:

@@ -104,10 +104,10 @@ def profile_dates(spark, sf) -> DataFrame:
 
 
 @query(
-    """with v as (select 'o_orderstatus' as "column", o_orderstatus as value, count(*) as n from orders group by 2
- union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by 2
- union all select 'o_custkey', cast(o_custkey as varchar), count(*) from orders group by 2),
- r as (select *, row_number() over (partition by "column" order by n desc, value) as rank from v)
+    """with v as (select 'o_orderstatus' as "column", o_orderstatus as value, 0 as place, count(*) as n from orders group by 2
+ union all select 'o_orderpriority', o_orderpriority, 0, count(*) from orders group by 2
+ union all select 'o_custkey', cast(o_custkey as varchar), o_custkey, count(*) from orders group by o_custkey),
+ r as (select *, row_number() over (partition by "column" order by n desc, place, value) as rank from v)
  select "column", cast(rank as integer) as rank, value, n from r where rank <= 5"""
 )
 def top_values(spark, sf) -> DataFrame:

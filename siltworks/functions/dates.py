@@ -20,6 +20,8 @@ DATE_FORMATS = (
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM yyyy"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
 )
+# One cheap look at the start of a text rules out nearly everything that is no date.
+DATE_START_RE = r"^\s*(\d{1,4}[-/ ]|\d{8}\s*$|[A-Z][a-z]{2} )"
 ISO_RE = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?$"
 
 
@@ -33,7 +35,7 @@ def format_hits(c: Column) -> list[tuple[str, Column]]:
 
 def text_to_timestamp(c: Column) -> Column:
     """Text in any known format to a timestamp; anything else is null."""
-    return F.coalesce(*[hit for _, hit in format_hits(c)])
+    return F.when(c.rlike(DATE_START_RE), F.coalesce(*[hit for _, hit in format_hits(c)]))
 
 
 def matched_format(c: Column) -> Column:

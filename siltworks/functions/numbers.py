@@ -39,6 +39,17 @@ def number_of(name: str, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
+def coded_number(name: str, dtype: T.DataType) -> Column:
+    """A column's numeric reading in one double: null is missing, NaN is a value that is no number, infinities stay."""
+    c = F.col(f"`{name}`")
+    if isinstance(dtype, T.StringType):
+        number = F.coalesce(text_to_number(c), F.when(c.rlike(INFINITY_RE), F.lit(INF)), F.lit(float("nan")))
+        return F.when(c.isNotNull(), number)
+    if isinstance(dtype, FLOATING):
+        return F.when(~F.isnan(c), c.cast("double"))
+    return c.cast("double")
+
+
 def infinity_flag(name: str, dtype: T.DataType) -> Column:
     """True where the value is an infinity, written or native."""
     c = F.col(f"`{name}`")

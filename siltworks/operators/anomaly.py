@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.numbers import NATIVE_NUMERIC, number_of
-from siltworks.operators.frequency import restore_long_values, top_per_column, value_frequency, value_key
+from siltworks.operators.frequency import DIGEST_MARK, restore_long_values, top_per_column, value_frequency, value_key
 from siltworks.operators.inference import long_rows, quoted
 from siltworks.operators.quantiles import exact_quantiles
 
@@ -50,15 +50,20 @@ def text_columns(df: DataFrame) -> list[str]:
 def fences(df: DataFrame, columns: list[str] | None = None) -> dict[str, Fence]:
     """Outlier bounds of the numeric columns that hold at least two finite values."""
     names = numeric_columns(df) if columns is None else columns
-    if not names:
-        return {}
     values = {c: number_of(c, df.schema[c].dataType) for c in names}
-    stats = df.agg(
-        *[a for i, c in enumerate(names) for a in (F.count(values[c]).alias(f"n{i}"), F.avg(values[c]).alias(f"m{i}"), F.stddev_samp(values[c]).alias(f"s{i}"))]
-    ).first()
+    return _bounds(df, values, df.agg(*_moments(values)).first()) if names else {}
+
+
+def _moments(values: dict[str, Column]) -> list[Column]:
+    return [
+        a for i, x in enumerate(values.values()) for a in (F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"))
+    ]
+
+
+def _bounds(df: DataFrame, values: dict[str, Column], stats: Row) -> dict[str, Fence]:
     quartiles = exact_quantiles(df, values, (0.25, 0.75))
     out = {}
-    for i, c in enumerate(names):
+    for i, c in enumerate(values):
         if stats[f"n{i}"] < 2:
             continue
         mean, std, (q1, q3) = stats[f"m{i}"], stats[f"s{i}"], quartiles[c]
@@ -78,6 +83,12 @@ def outlier_counts(df: DataFrame, bounds: dict[str, Fence] | None = None) -> Dat
     bounds = fences(df) if bounds is None else bounds
     if not bounds:
         return df.sparkSession.createDataFrame([], "column string, outlier_count long, outlier_direction string")
+    aggs, structs = _count_outliers(df, bounds)
+    return long_rows(df.agg(*aggs), structs)
+
+
+def _count_outliers(df: DataFrame, bounds: dict[str, Fence]) -> tuple[list[Column], list[Column]]:
+    """Aggregates that count high and low outliers, and the row each column makes of them."""
     aggs, structs = [], []
     for i, (c, fence) in enumerate(bounds.items()):
         x = number_of(c, df.schema[c].dataType)
@@ -86,7 +97,7 @@ def outlier_counts(df: DataFrame, bounds: dict[str, Fence] | None = None) -> Dat
         high, low = F.col(f"h{i}"), F.col(f"l{i}")
         direction = F.when((high > 0) & (low > 0), "both").when(high > 0, "high").when(low > 0, "low").otherwise("none")
         structs.append(F.struct(F.lit(c).alias("column"), (high + low).alias("outlier_count"), direction.alias("outlier_direction")))
-    return long_rows(df.agg(*aggs), structs)
+    return aggs, structs
 
 
 def category_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -136,21 +147,37 @@ def anomalous_rows(df: DataFrame) -> DataFrame:
 
 
 def anomaly_summary(df: DataFrame) -> DataFrame:
-    """Per column: outlier count and direction, or the listed rare values; beside the row totals."""
-    bounds, common = fences(df), common_categories(df)
+    """Per column: outlier count and direction, or the listed rare values; beside the row totals.
+
+    Four jobs whatever the number of columns: moments and totals; quartiles; the most frequent categories; the counts.
+    The values that are not rare are at most 1 / share per column, so the frequent ones and the listed rare ones
+    together are the head of the frequency table.
+    """
+    values = {c: number_of(c, df.schema[c].dataType) for c in numeric_columns(df)}
+    texts = text_columns(df)
+    totals = [F.count(quoted(c)).alias(f"t{i}") for i, c in enumerate(texts)]
+    stats = df.agg(F.count(F.lit(1)).alias("rows"), *_moments(values), *totals).first()
+    bounds = _bounds(df, values, stats) if values else {}
+    common: dict[str, list[str]] = {c: [] for c in texts}
+    rare: dict[str, list[str]] = {c: [] for c in texts}
+    if texts:
+        size = {c: stats[f"t{i}"] for i, c in enumerate(texts)}
+        heads = top_per_column(value_frequency(df, texts), round(1 / RARE_SHARE) + RARE_LISTED)
+        for r in heads.orderBy("column", "rank").collect():
+            (common if r["n"] >= RARE_SHARE * size[r["column"]] else rare)[r["column"]].append(r["value"])
+    aggs, structs = _count_outliers(df, bounds)
     flag = anomaly_flag(df, bounds, common)
-    totals = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(flag).alias("total_anomalous_rows")).first()
-    numeric = outlier_counts(df, bounds).withColumn("rare_categories", F.lit(None).cast("string"))
-    out = numeric
-    if common:
-        listed = (
-            rare_categories(df, list(common))
-            .groupBy("column")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]), "|").alias("rare_categories"))
-        )
-        names = df.sparkSession.createDataFrame([(c,) for c in common], "column string")
-        text = names.join(listed, "column", "left").select("column", F.lit(0).cast("long").alias("outlier_count"), F.lit("none").alias("outlier_direction"), "rare_categories")
-        out = out.unionByName(text)
-    return out.withColumns({c: F.lit(totals[c]).cast("long") for c in ("total_rows", "total_anomalous_rows")})
-
-
+    counted = df.agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(flag).alias("total_anomalous_rows"), *aggs)
+    texts_rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(0).cast("long").alias("outlier_count"), F.lit("none").alias("outlier_direction")) for c in texts if size[c]
+    ]
+    rows = counted.select("total_rows", "total_anomalous_rows", F.explode(F.array(*structs, *texts_rows)).alias("r")).select("r.*", "total_rows", "total_anomalous_rows")
+    listed = [(c, i + 1, v) for c, found in rare.items() for i, v in enumerate(found[:RARE_LISTED])]
+    if not listed:
+        return rows.withColumn("rare_categories", F.lit(None).cast("string"))
+    few = df.sparkSession.createDataFrame(listed, "column string, rank int, value string")
+    few = restore_long_values(df, few) if any(v.startswith(DIGEST_MARK) for _, _, v in listed) else few
+    joined = few.groupBy("column").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]), "|").alias("rare_categories")
+    )
+    return rows.join(F.broadcast(joined), "column", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from siltworks.functions.hashing import seeded_md5
 from siltworks.functions.strings import canonical_text
 
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 # Longer values travel through the shuffle as a 128-bit digest; the few that are reported are looked up afterwards.
 LONG_VALUE = 256
 DIGEST_MARK = "\u0001md5:"
@@ -31,6 +32,31 @@ def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return pairs.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def typed_frequencies(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
+    """Frequency tables by kind: whole numbers as ``long``, doubles as ``double``, everything else as ``text``.
+
+    Numbers are grouped and shuffled as eight bytes; only the few that are reported ever become text. Each table reads
+    its own columns only.
+    """
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    out = {}
+    for kind, types in (("long", WHOLE), ("double", (T.DoubleType,))):
+        names = [f.name for f in fields if isinstance(f.dataType, types)]
+        if names:
+            values = [F.col(f"`{n}`").cast("long") if kind == "long" else _plain_double(F.col(f"`{n}`")) for n in names]
+            pairs = df.select(*[v.alias(n) for v, n in zip(values, names)]).unpivot([], names, "column", "value")
+            out[kind] = pairs.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    texts = [f.name for f in fields if not isinstance(f.dataType, (*WHOLE, T.DoubleType))]
+    if texts:
+        out["text"] = value_frequency(df, texts)
+    return out
+
+
+def _plain_double(c: Column) -> Column:
+    """NaN is missing and negative zero is zero."""
+    return F.when(~F.isnan(c), c + F.lit(0.0))
+
+
 def _may_be_long(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType))
 
@@ -59,8 +85,13 @@ def restore_long_values(df: DataFrame, few: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
     """``(column, rank, value, n)``: the most frequent whole values of each column."""
-    top = top_per_column(value_frequency(df, columns), k)
-    return restore_long_values(df, top).select("column", "rank", "value", "n")
+    out = None
+    for kind, freq in typed_frequencies(df, columns).items():
+        top = top_per_column(freq, k).withColumn("value", F.col("value").cast("string"))
+        top = restore_long_values(df, top) if kind == "text" else top
+        one = top.select("column", "rank", "value", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def frequency_stats(freq: DataFrame) -> DataFrame:

@@ -80,12 +80,17 @@ def native_type(dtype: T.DataType) -> str:
 
 def inferred_map(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
     """Column name to semantic type on the driver: one short row per column; no scan when nothing is text."""
+    return {c: kind for c, (kind, _) in inferred_with_length(df, columns).items()}
+
+
+def inferred_with_length(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[str, int]]:
+    """Column name to semantic type and longest text (0 where the column is not text)."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    types = {f.name: native_type(f.dataType) for f in fields if not isinstance(f.dataType, T.StringType)}
+    known = {f.name: (native_type(f.dataType), 0) for f in fields if not isinstance(f.dataType, T.StringType)}
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if texts:
-        types.update({r["column"]: r["inferred_type"] for r in infer_types(df, texts).collect()})
-    return {f.name: types[f.name] for f in fields}
+        known.update({r["column"]: (r["inferred_type"], r["max_length"] or 0) for r in infer_types(df, texts).collect()})
+    return {f.name: known[f.name] for f in fields}
 
 
 def coerce_numeric(df: DataFrame, column: str, out: str | None = None) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.dates import iso, timestamp_of
+from siltworks.functions.dates import iso, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import seeded_md5
-from siltworks.functions.numbers import adjusted_kurtosis, adjusted_skewness, infinity_flag, number_of, present
+from siltworks.functions.numbers import INFINITY_RE, adjusted_kurtosis, adjusted_skewness, coded_number, finite, number_of, present, text_to_number
 from siltworks.functions.strings import signature
-from siltworks.operators.frequency import frequency_stats, restore_long_values, smallest_values, top_per_column, value_frequency, value_key
-from siltworks.operators.inference import CATEGORICAL, COLUMN_CHUNK, DATETIME, NUMERIC, failure_flag, inferred_map, long_rows, quoted
-from siltworks.operators.quantiles import exact_quantiles
+from siltworks.operators.frequency import LONG_VALUE, restore_long_values, top_per_column, typed_frequencies, value_key
+from siltworks.operators.inference import CATEGORICAL, COLUMN_CHUNK, DATETIME, NUMERIC, inferred_with_length, long_rows, quoted
+from siltworks.operators.quantiles import approximate_quantiles, exact_quantiles, is_large
 
 # Sentinels and thresholds of the warnings.
 SENTINELS = (-1, 0, 999, 9999)
@@ -56,98 +56,133 @@ class ProfileOptions:
 
 
 def scalar_stats(df: DataFrame, types: dict[str, str], as_of: dt.date) -> DataFrame:
-    """Everything one pass can aggregate, one row per column. Wide tables go in chunks of columns."""
+    """Everything one pass over a column can aggregate, one row per column.
+
+    Numbers are aggregated in long form: the plan and its generated code stay the same size for ten or a thousand
+    columns, and each task sends one row per column. Dates and texts need few aggregates and go side by side.
+    """
     fields = [f for f in df.schema.fields if f.name in types]
-    parts = [_scalar_chunk(df, fields[i : i + COLUMN_CHUNK], types, as_of) for i in range(0, len(fields), COLUMN_CHUNK)]
+    numeric = [f for f in fields if types[f.name] == NUMERIC]
+    others = [f for f in fields if types[f.name] != NUMERIC]
+    texts = [f for f in numeric if isinstance(f.dataType, T.StringType)]
+    parts = []
+    if numeric:
+        stats = _numeric_stats(df, numeric)
+        if texts:
+            lengths = _wide_stats(df, texts, types, as_of, lengths_only=True)
+            stats = stats.join(F.broadcast(lengths), "column", "left")
+        else:
+            stats = stats.withColumns({c: F.lit(None) for c in ("max_length", "min_length", "avg_length", "padded_count", "bytes")})
+        parts.append(_shaped(stats, numeric, types))
+    parts += [_shaped(_wide_stats(df, others[i : i + COLUMN_CHUNK], types, as_of), others, types) for i in range(0, len(others), COLUMN_CHUNK)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _scalar_chunk(df: DataFrame, fields: list[T.StructField], types: dict[str, str], as_of: dt.date) -> DataFrame:
+def _numeric_stats(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    pairs = df.select(*[coded_number(f.name, f.dataType).alias(f.name) for f in fields]).unpivot([], [f.name for f in fields], "column", "v")
+    x = F.when(F.abs("v") < F.lit(float("inf")), F.col("v"))
+    pairs = pairs.select("column", "v", x.alias("x"))
+    x, v = F.col("x"), F.col("v")
+    return pairs.groupBy("column").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("v").alias("non_null"),
+        F.count("x").alias("finite"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+        F.avg("x").alias("mean"),
+        F.skewness("x").alias("skew"),
+        F.kurtosis("x").alias("kurt"),
+        F.stddev_samp("x").alias("std"),
+        F.count_if(x == 0).alias("zero_count"),
+        F.count_if(x < 0).alias("negative_count"),
+        F.count_if(v.isNotNull() & x.isNull()).alias("inf_nan"),
+        F.count_if(F.isnan("v")).alias("failures"),
+        F.array(*[F.count_if(x == float(s)) for s in SENTINELS]).alias("sentinel_counts"),
+    )
+
+
+def _wide_stats(df: DataFrame, fields: list[T.StructField], types: dict[str, str], as_of: dt.date, lengths_only: bool = False) -> DataFrame:
+    """Counts, dates and text lengths of columns side by side, then one row per column."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     structs = []
     for i, f in enumerate(fields):
-        c, kind = quoted(f.name), types[f.name]
-        wanted: dict[str, Column] = {"non_null": F.count_if(present(f.name, f.dataType))}
-        if kind == NUMERIC:
-            x = number_of(f.name, f.dataType)
-            wanted |= {
-                "finite": F.count(x),
-                "min": F.min(x),
-                "max": F.max(x),
-                "mean": F.avg(x),
-                "skew": F.skewness(x),
-                "kurt": F.kurtosis(x),
-                "std": F.stddev_samp(x),
-                "zero_count": F.count_if(x == 0),
-                "negative_count": F.count_if(x < 0),
-                "inf": F.count_if(infinity_flag(f.name, f.dataType)),
-                "failures": F.count_if(failure_flag(df, f.name, kind)),
-            }
-            wanted |= {f"sentinel{j}": F.count_if(x == float(s)) for j, s in enumerate(SENTINELS)}
-        elif kind == DATETIME:
-            d = timestamp_of(f.name, f.dataType)
-            wanted |= {
-                "parsed": F.count(d),
-                "earliest": F.min(d),
-                "latest": F.max(d),
-                "future": F.count_if(d > F.lit(as_of).cast("timestamp")),
-            }
+        c = quoted(f.name)
+        wanted: dict[str, Column] = {}
+        if not lengths_only:
+            wanted["non_null"] = F.count_if(present(f.name, f.dataType))
+            if types[f.name] == DATETIME:
+                d = timestamp_of(f.name, f.dataType)
+                wanted |= {"parsed": F.count(d), "earliest": F.min(d), "latest": F.max(d), "future": F.count_if(d > F.lit(as_of).cast("timestamp"))}
         if isinstance(f.dataType, T.StringType):
             wanted |= {
-                "padded": F.count_if(F.trim(c) != c),
+                "padded_count": F.count_if(F.trim(c) != c),
                 "max_length": F.max(F.length(c)),
                 "min_length": F.min(F.length(c)),
                 "avg_length": F.avg(F.length(c)),
                 "bytes": F.sum(F.octet_length(c)),
             }
         aggs += [v.alias(f"{k}_{i}") for k, v in wanted.items()]
-
-        def got(key: str, cast: str, i: int = i, wanted: dict[str, Column] = wanted) -> Column:
-            return (F.col(f"{key}_{i}") if key in wanted else F.lit(None)).cast(cast)
-
-        def finite_or_null(x: Column) -> Column:
-            return F.when(F.abs(x) < F.lit(float("inf")), x)
-
-        rows, non_null = F.col("rows"), got("non_null", "long")
-        numeric, datetime_ = kind == NUMERIC, kind == DATETIME
-        structs.append(
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(kind).alias("inferred_type"),
-                F.lit(f.dataType.simpleString()).alias("actual_dtype"),
-                F.lit(isinstance(f.dataType, T.StringType) and kind != CATEGORICAL).alias("type_mismatch"),
-                rows.alias("row_count"),
-                non_null.alias("non_null"),
-                F.when(rows > 0, non_null / rows).otherwise(F.lit(0.0)).alias("completeness"),
-                got("finite", "long").alias("finite_count"),
-                got("min", "double").alias("min"),
-                got("max", "double").alias("max"),
-                finite_or_null(got("mean", "double")).alias("mean"),
-                adjusted_skewness(got("skew", "double"), got("finite", "long")).alias("skewness"),
-                adjusted_kurtosis(got("kurt", "double"), got("finite", "long")).alias("kurtosis"),
-                finite_or_null(got("std", "double")).alias("std"),
-                got("zero_count", "long").alias("zero_count"),
-                got("negative_count", "long").alias("negative_count"),
-                (got("inf", "long") + got("failures", "long")).alias("inf_nan_count"),
-                (got("failures", "long") if numeric else (non_null - got("parsed", "long"))).alias("coercion_failure_count"),
-                F.array(*[got(f"sentinel{j}", "long") for j in range(len(SENTINELS))]).alias("sentinel_counts"),
-                iso(got("earliest", "timestamp")).alias("earliest"),
-                iso(got("latest", "timestamp")).alias("latest"),
-                (F.when(non_null > 0, got("parsed", "double") / non_null) if datetime_ else F.lit(None).cast("double")).alias("datetime_format_consistency"),
-                got("future", "long").alias("future_date_count"),
-                got("padded", "long").alias("padded_count"),
-                got("max_length", "long").alias("max_length"),
-                got("min_length", "long").alias("min_length"),
-                got("avg_length", "double").alias("avg_length"),
-                F.coalesce(got("bytes", "long"), non_null * F.lit(_width(f.dataType))).alias("memory_size"),
-            )
-        )
+        kept = {"padded_count": "long", "max_length": "long", "min_length": "long", "avg_length": "double", "bytes": "long"}
+        if not lengths_only:
+            kept |= {"non_null": "long", "parsed": "long", "earliest": "timestamp", "latest": "timestamp", "future": "long"}
+        cells = [(F.col(f"{k}_{i}") if k in wanted else F.lit(None)).cast(t).alias(k) for k, t in kept.items()]
+        structs.append(F.struct(F.lit(f.name).alias("column"), *([] if lengths_only else [F.col("rows").alias("row_count")]), *cells))
     return long_rows(df.agg(*aggs), structs)
 
 
+def _shaped(stats: DataFrame, fields: list[T.StructField], types: dict[str, str]) -> DataFrame:
+    """Aggregates of either kind in the common layout; what a kind does not have is null."""
+    have = set(stats.columns)
+
+    def got(name: str, cast: str) -> Column:
+        return (F.col(name) if name in have else F.lit(None)).cast(cast)
+
+    def by_column(values: dict[str, object], cast: str) -> Column:
+        pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v))]
+        return F.element_at(F.create_map(*pairs), F.col("column")).cast(cast)
+
+    def finite_or_null(c: Column) -> Column:
+        return F.when(F.abs(c) < F.lit(float("inf")), c)
+
+    rows, non_null, n = F.col("row_count"), F.col("non_null"), got("finite", "long")
+    kind = by_column({f.name: types[f.name] for f in fields}, "string")
+    failures = F.coalesce(got("failures", "long"), F.when(kind == DATETIME, non_null - got("parsed", "long")))
+    columns = {
+        "column": F.col("column"),
+        "inferred_type": kind,
+        "actual_dtype": by_column({f.name: f.dataType.simpleString() for f in fields}, "string"),
+        "type_mismatch": by_column({f.name: isinstance(f.dataType, T.StringType) and types[f.name] != CATEGORICAL for f in fields}, "boolean"),
+        "row_count": rows,
+        "non_null": non_null,
+        "completeness": F.when(rows > 0, non_null / rows).otherwise(F.lit(0.0)),
+        "finite_count": n,
+        "min": got("min", "double"),
+        "max": got("max", "double"),
+        "mean": finite_or_null(got("mean", "double")),
+        "skewness": adjusted_skewness(got("skew", "double"), n),
+        "kurtosis": adjusted_kurtosis(got("kurt", "double"), n),
+        "std": finite_or_null(got("std", "double")),
+        "zero_count": got("zero_count", "long"),
+        "negative_count": got("negative_count", "long"),
+        "inf_nan_count": got("inf_nan", "long"),
+        "coercion_failure_count": failures,
+        "sentinel_counts": got("sentinel_counts", "array<long>"),
+        "earliest": iso(got("earliest", "timestamp")),
+        "latest": iso(got("latest", "timestamp")),
+        "datetime_format_consistency": F.when((kind == DATETIME) & (non_null > 0), got("parsed", "double") / non_null),
+        "future_date_count": got("future", "long"),
+        "padded_count": got("padded_count", "long"),
+        "max_length": got("max_length", "long"),
+        "min_length": got("min_length", "long"),
+        "avg_length": got("avg_length", "double"),
+        "memory_size": F.coalesce(got("bytes", "long"), non_null * by_column({f.name: _width(f.dataType) for f in fields}, "long")),
+    }
+    return stats.select(*[c.alias(name) for name, c in columns.items()])
+
+
 def _width(dtype: T.DataType) -> int:
     """Bytes a fixed-width value takes; nested values have no fixed width and count one word."""
     widths = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4, T.DateType: 4}
@@ -155,14 +190,18 @@ def _width(dtype: T.DataType) -> int:
 
 
 def shape_consistency(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Dominant signature of text columns and its share of the non-null values."""
+    """Dominant signature of text columns and its share of the non-null values, over whole texts of any length."""
     shapes = df.select(*[value_key(signature(quoted(c))).alias(c) for c in columns])
     counted = shapes.unpivot([], columns, "column", "value").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    lookup = df.select(*[signature(quoted(c)).alias(c) for c in columns])
+    return _dominant(counted, lookup)
+
+
+def _dominant(counted: DataFrame, lookup: DataFrame | None) -> DataFrame:
     totals = counted.groupBy("column").agg(F.sum("n").alias("total"))
     top = top_per_column(counted, 1)
-    lookup = df.select(*[signature(quoted(c)).alias(c) for c in columns])
-    top = restore_long_values(lookup, top)
-    return top.join(totals, "column").select(
+    top = top if lookup is None else restore_long_values(lookup, top)
+    return top.join(F.broadcast(totals), "column").select(
         "column", F.col("value").alias("dominant_pattern"), (F.col("n") / F.col("total")).alias("regex_format_consistency")
     )
 
@@ -210,55 +249,49 @@ def semantic_warnings(as_of: dt.date, heaping_share: float | None = None) -> Col
 
 
 def profile(df: DataFrame, options: ProfileOptions | None = None) -> DataFrame:
-    """The whole profile, one row per column in table order (``position``)."""
+    """The whole profile, one row per column in table order (``position``).
+
+    Every frame joined below has at most one row per column of the table, so the joins are broadcasts of that size.
+    """
     options = options or ProfileOptions()
-    types = {**inferred_map(df, [c for c in df.columns if c not in options.types]), **options.types}
-    types = {c: types[c] for c in df.columns}
-    as_of = options.reference_date()
-    spark = df.sparkSession
-    if not types:
+    if not df.columns:
         raise ValueError("a profile needs at least one column")
+    known = inferred_with_length(df)
+    types = {c: options.types.get(c, kind) for c, (kind, _) in known.items()}
+    long_texts = {c for c, (_, length) in known.items() if length > LONG_VALUE}
+    as_of, spark = options.reference_date(), df.sparkSession
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(F.broadcast(right), "column", "left")
 
     out = scalar_stats(df, types, as_of)
-    freq = value_frequency(df)
+    frequencies = typed_frequencies(df)
     if options.exact:
-        out = out.join(frequency_stats(freq).drop("non_null"), "column", "left")
+        quantiles_here = not is_large(df)
+        out = beside(out, _per_column(frequencies, types, quantiles_here))
+        if not quantiles_here:
+            out = beside(out, quantile_rows(df, types))
     else:
-        out = out.join(approximate_distinct(df), "column", "left")
+        out = beside(beside(out, approximate_distinct(df)), approximate_quantile_rows(df, types))
     out = out.withColumns(
         {
             "unique_count": F.coalesce("unique_count", F.lit(0)),
             "unique_factor": F.when(F.col("row_count") > 0, F.coalesce("unique_count", F.lit(0)) / F.col("row_count")).otherwise(0.0),
         }
     )
-    out = out.join(quantile_rows(df, types), "column", "left")
     texts = [c for c, t in types.items() if t == CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)]
-    if texts:
-        out = out.join(shape_consistency(df, texts), "column", "left")
-    else:
-        out = out.withColumns({"dominant_pattern": F.lit(None).cast("string"), "regex_format_consistency": F.lit(None).cast("double")})
-
-    few = restore_long_values(df, _few_values(freq, options))
-    listed = few.groupBy("column").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("what") == "top", F.struct("rank", "value", "n")))),
-            lambda s: F.struct(s["value"].alias("value"), s["n"].alias("count")),
-        ).alias("top_values"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == "sample", F.struct("rank", "value")))), lambda s: s["value"]).alias("samples"),
-    )
-    out = out.join(listed, "column", "left")
-
+    shapes = _shapes(df, frequencies, [c for c in texts if c not in long_texts], [c for c in texts if c in long_texts])
+    out = beside(out, shapes) if shapes is not None else out.withColumns({"dominant_pattern": F.lit(None).cast("string"), "regex_format_consistency": F.lit(None).cast("double")})
+    out = beside(out, _listed_values(df, frequencies, options, bool(long_texts) or _has_nested(df)))
     failing = {c: t for c, t in types.items() if t != CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)}
     if failing:
-        from siltworks.operators.inference import coercion_failures
-
-        out = out.join(coercion_failures(df, failing).select("column", F.col("samples").alias("coercion_failure_samples")), "column", "left")
+        samples = _failure_samples(df, frequencies["text"], failing, bool(long_texts & set(failing)))
+        out = beside(out, samples).withColumn("coercion_failure_samples", F.when(F.col("column").isin(*failing), F.coalesce("coercion_failure_samples", F.lit(""))))
     else:
         out = out.withColumn("coercion_failure_samples", F.lit(None).cast("string"))
     if options.extended:
-        out = out.join(deviation_rows(df, types), "column", "left")
-        out = out.withColumn("metrics", extended_metrics())
-    order = spark.createDataFrame([(c, i) for i, c in enumerate(types)], "column string, position int")
+        out = beside(out, deviation_rows(df, types)).withColumn("metrics", extended_metrics())
+    order = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(types)], "column string, position int"))
     return (
         out.join(order, "column")
         .withColumn("warnings", semantic_warnings(as_of, options.heaping_share))
@@ -266,11 +299,81 @@ def profile(df: DataFrame, options: ProfileOptions | None = None) -> DataFrame:
     )
 
 
-def _few_values(freq: DataFrame, options: ProfileOptions) -> DataFrame:
+def _has_nested(df: DataFrame) -> bool:
+    return any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for f in df.schema.fields)
+
+
+def _per_column(frequencies: dict[str, DataFrame], types: dict[str, str], quantiles: bool) -> DataFrame:
+    """Distinct counts, values seen once, the top count and (on tables of moderate size) exact quartiles, per column."""
+    numeric = [c for c, t in types.items() if t == NUMERIC]
+    out = None
+    for kind, freq in frequencies.items():
+        number = text_to_number(F.col("value")) if kind == "text" else finite(F.col("value").cast("double"))
+        number = F.when(F.col("column").isin(*numeric), number) if numeric else F.lit(None).cast("double")
+        aggs = [
+            F.count(F.lit(1)).alias("unique_count"),
+            F.count_if(F.col("n") == 1).alias("n_unique"),
+            F.max("n").alias("top_count"),
+        ]
+        if quantiles:
+            aggs.append(F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
+        one = freq.withColumn("x", number).groupBy("column").agg(*aggs)
+        if quantiles:
+            one = one.select("column", "unique_count", "n_unique", "top_count", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _shapes(df: DataFrame, frequencies: dict[str, DataFrame], short: list[str], long: list[str]) -> DataFrame | None:
+    """Dominant signatures: of short texts from their distinct values, of long ones from the texts themselves."""
+    parts = []
+    if short:
+        shaped = frequencies["text"].where(F.col("column").isin(*short)).select("column", signature(F.col("value")).alias("value"), "n")
+        parts.append(_dominant(shaped.groupBy("column", "value").agg(F.sum("n").alias("n")), None))
+    if long:
+        parts.append(shape_consistency(df, long))
+    if not parts:
+        return None
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _listed_values(df: DataFrame, frequencies: dict[str, DataFrame], options: ProfileOptions, restore: bool) -> DataFrame:
     """Top values and seeded sample values per column, both limited inside each task before the shuffle."""
-    top = top_per_column(freq, options.top_k).withColumn("what", F.lit("top"))
-    sample = top_per_column(freq, options.samples, [seeded_md5(F.col("value"), options.seed).asc(), F.asc("value")])
-    return top.unionByName(sample.withColumn("what", F.lit("sample")))
+    few = None
+    for kind, freq in frequencies.items():
+        top = top_per_column(freq, options.top_k).withColumn("what", F.lit("top"))
+        sample = top_per_column(freq, options.samples, [F.xxhash64("value", F.lit(options.seed)).asc(), F.asc("value")]).withColumn("what", F.lit("sample"))
+        one = top.unionByName(sample).withColumn("value", F.col("value").cast("string"))
+        if kind == "text" and restore:
+            one = restore_long_values(df, one)
+        one = one.select("column", "what", "rank", "value", "n")
+        few = one if few is None else few.unionByName(one)
+    return few.groupBy("column").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("what") == "top", F.struct("rank", "value", "n")))),
+            lambda s: F.struct(s["value"].alias("value"), s["n"].alias("count")),
+        ).alias("top_values"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == "sample", F.struct("rank", "value")))), lambda s: s["value"]).alias("samples"),
+    )
+
+
+def _failure_samples(df: DataFrame, freq: DataFrame, failing: dict[str, str], restore: bool, k: int = 5) -> DataFrame:
+    """The smallest distinct texts per column that do not read as its type."""
+    numbers = [c for c, t in failing.items() if t == NUMERIC]
+    value = F.col("value")
+    bad_number = text_to_number(value).isNull() & ~value.rlike(INFINITY_RE)
+    bad = F.when(F.col("column").isin(*numbers), bad_number).otherwise(text_to_timestamp(value).isNull()) if numbers else text_to_timestamp(value).isNull()
+    top = top_per_column(freq.where(F.col("column").isin(*failing) & bad), k, [F.asc("value")])
+    top = restore_long_values(df, top) if restore else top
+    return top.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("coercion_failure_samples"))
+
+
+def approximate_quantile_rows(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Quartiles from a mergeable sketch, all columns in one pass."""
+    values = {c: number_of(c, df.schema[c].dataType) for c, t in types.items() if t == NUMERIC}
+    found = approximate_quantiles(df, values, (0.25, 0.5, 0.75)) if values else {}
+    rows = [(c, *(q or (None, None, None))) for c, q in found.items()]
+    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
 
 
 def approximate_distinct(df: DataFrame, relative_error: float = 0.02) -> DataFrame:

@@ -28,14 +28,18 @@ def exact_quantiles(
         return {}
     names = list(values)
     narrow = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
-    counts = narrow.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first() if _may_be_large(df, exact_rows) else None
-    if counts is None or max(counts) <= exact_rows:
-        row = narrow.agg(*[F.percentile(f"v{i}", list(probabilities)).alias(f"v{i}") for i in range(len(names))]).first()
-        return {n: list(row[f"v{i}"]) if row[f"v{i}"] is not None else [None] * len(probabilities) for i, n in enumerate(names)}
-    out: dict[str, list[float | None]] = {}
+    if not is_large(df, exact_rows):
+        # Equal values fold in the tasks; the exact aggregate then sees each value once, one group per column.
+        pairs = narrow.unpivot([], narrow.columns, "column", "value").where("value is not null")
+        counted = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        rows = counted.groupBy("column").agg(F.percentile("value", list(probabilities), F.col("n")).alias("q")).collect()
+        found = {r["column"]: list(r["q"]) for r in rows}
+        return {n: found.get(f"v{i}", [None] * len(probabilities)) for i, n in enumerate(names)}
+    counts = narrow.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
+    out = {}
     for i, n in enumerate(names):
         total = counts[i]
-        found: dict[int, float] = {}
+        found = {}
         ranks = sorted({r for p in probabilities for r in _rank_pair(p, total)[:2]}) if total else []
         column = narrow.select(F.col(f"v{i}").alias("v")).where("v is not null")
         for rank in ranks:
@@ -44,7 +48,7 @@ def exact_quantiles(
     return out
 
 
-def _may_be_large(df: DataFrame, exact_rows: int) -> bool:
+def is_large(df: DataFrame, exact_rows: int = EXACT_ROWS) -> bool:
     """A bare row count (answered from file footers where the source is parquet) decides the way."""
     return df.agg(F.count(F.lit(1))).first()[0] > exact_rows
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.dates import format_hits, timestamp_of
+from siltworks.functions.dates import format_hits, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import row_digest
 from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity_flag, number_of
 from siltworks.functions.strings import NULL_TOKENS, normalised_text
@@ -192,7 +192,7 @@ def format_checks(df: DataFrame, types: dict[str, str]) -> list[Check]:
     for f in df.schema.fields:
         if isinstance(f.dataType, T.StringType) and types[f.name] == DATETIME:
             hits = [h for _, h in format_hits(quoted(f.name))]
-            parsed = F.coalesce(*hits).isNotNull()
+            parsed = text_to_timestamp(quoted(f.name)).isNotNull()
             first = F.coalesce(hits[0], hits[1]).isNotNull()
             out.append(Check("FORMAT_INCONSISTENCY", INFO, [f.name], parsed & ~first, f"{f.name} mixes date formats", f"parse {f.name} with all formats", base=parsed))
     return out
@@ -263,26 +263,22 @@ _SEEDS = tuple((1_103_515_245 * (i + 1) % _PRIME, 12_345 * (i + 7) % _PRIME) for
 SHINGLE_WORDS, BAND_ROWS = 3, 3
 
 
-def _smallest(a: int, b: int) -> Column:
-    """Smallest value of one member of the hash family over the hashes of a text."""
-    return F.array_min(F.transform("h", lambda x: (x * F.lit(a) + F.lit(b)) % F.lit(_PRIME)))
-
-
-def near_duplicate_bands(df: DataFrame, key: str, text: str) -> DataFrame:
+def near_duplicate_bands(df: DataFrame, key: str, text: str, partitions: int | None = None) -> DataFrame:
     """``(key, band, bucket)``: min-hash sketch of word triples of the whole text, in bands.
 
-    Built from array functions inside the row, so a text of any length costs no shuffle. Two texts that share a
-    bucket are near copies with high probability. Texts below three words have no triple and no bucket.
+    Triples become rows and fold to twelve minima per text inside the task that read it; only those numbers, not the
+    texts, are shuffled. ``partitions`` spreads the texts first, for a source that offers fewer splits than there are
+    cores; a large source needs none. Two texts that share a bucket are near copies with high probability. Texts below three words
+    have no triple and no bucket.
     """
-    words = F.split(normalised_text(quoted(text)), " ")
-    with_words = df.select(quoted(key).alias(key), words.alias("w")).where(F.size("w") >= SHINGLE_WORDS)
-    triples = F.transform(
-        F.sequence(F.lit(1), F.size("w") - (SHINGLE_WORDS - 1)), lambda i: F.array_join(F.slice("w", i, F.lit(SHINGLE_WORDS)), " ")
-    )
-    hashes = F.transform(F.array_distinct(triples), lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long"))
-    hashed = with_words.select(key, hashes.alias("h"))
-    mins = [_smallest(a, b).alias(f"m{i}") for i, (a, b) in enumerate(_SEEDS)]
-    sketched = hashed.select(key, *mins)
+    texts = df.select(quoted(key).alias(key), quoted(text).alias("_text"))
+    texts = texts if partitions is None else texts.repartition(partitions, key)
+    words = texts.select(key, F.split(normalised_text(F.col("_text")), " ").alias("w"))
+    placed = words.select(key, "w", F.posexplode("w").alias("p", "first")).where(F.col("p") <= F.size("w") - SHINGLE_WORDS)
+    rest = [F.get("w", F.col("p") + i) for i in range(1, SHINGLE_WORDS)]
+    exploded = placed.select(key, F.concat_ws(" ", "first", *rest).alias("t"))
+    hashed = exploded.select(key, F.conv(F.substring(F.md5("t"), 1, 7), 16, 10).cast("long").alias("h"))
+    sketched = hashed.groupBy(key).agg(*[F.min((F.col("h") * F.lit(a) + F.lit(b)) % F.lit(_PRIME)).alias(f"m{i}") for i, (a, b) in enumerate(_SEEDS)])
     bands = [
         F.struct(F.lit(i // BAND_ROWS).alias("band"), F.concat_ws("-", *[F.col(f"m{j}").cast("string") for j in range(i, i + BAND_ROWS)]).alias("bucket"))
         for i in range(0, len(_SEEDS), BAND_ROWS)
@@ -290,7 +286,7 @@ def near_duplicate_bands(df: DataFrame, key: str, text: str) -> DataFrame:
     return sketched.select(key, F.explode(F.array(*bands)).alias("b")).select(key, "b.band", "b.bucket")
 
 
-def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, partitions: int | None = None) -> DataFrame:
     """``(key, anchor)``: every row that shares a bucket with another, beside the smallest key it shares one with.
 
     A bucket emits one line per member, to its smallest key, never its pairs. The buckets' anchors come from an
@@ -299,7 +295,7 @@ def near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     from siltworks.operators.skew import skew_safe_lookup
 
-    bands = near_duplicate_bands(df, key, text).withColumn("slot", F.xxhash64("band", "bucket")).drop("band", "bucket")
+    bands = near_duplicate_bands(df, key, text, partitions).withColumn("slot", F.xxhash64("band", "bucket")).drop("band", "bucket")
     anchors = bands.groupBy("slot").agg(F.min(key).alias("anchor"), F.count(F.lit(1)).alias("size")).where("size > 1")
     linked = skew_safe_lookup(bands, anchors, "slot", "size", "anchor").where("anchor is not null")
     return linked.groupBy(key).agg(F.min("anchor").alias("anchor"))
