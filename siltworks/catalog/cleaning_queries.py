@@ -133,7 +133,7 @@ def recipe_replay(spark, sf) -> DataFrame:
  lateral (values ('DROP_COLUMN', all_rows), ('CUSTOM_CODE', all_rows), ('CAST_TYPE', all_rows), ('CUSTOM_CODE', all_rows), ('CUSTOM_CODE', all_rows), ('DROP_ROWS', kept)) v(operation, n)"""
 )
 def recipe_audit(spark, sf) -> DataFrame:
-    """The audit log: rows after each step are observed inside the one job that computes the result."""
+    """The audit log of a recipe that was applied as a whole, with the rows each step left."""
     outcome = rc.apply(CLEANING, view(spark, sf, "orders_dirty"), cut_lineage)
     return outcome.audit().select("step_id", "operation", "status", "rows_after")
 

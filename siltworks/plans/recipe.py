@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators import cleaning as act
@@ -179,12 +179,12 @@ class Outcome:
 def apply(steps: list[Step], df: DataFrame, materialise: Callable[[DataFrame], DataFrame] | None = None) -> Outcome:
     """All steps in order, or none: on failure the input table comes back with the error and the log so far.
 
-    With ``materialise`` (for instance a checkpoint) the result is computed once; the rows after each step are counted
-    on the way by observations inside that same job, and failures of the job itself leave the input untouched as well.
+    With ``materialise`` (for instance a checkpoint) the result is computed once, a failure of that job leaves the
+    input untouched as well, and the log says how many rows each step left.
     """
     log: list[dict] = []
+    after: list[DataFrame] = []
     out = df
-    observed: list[tuple[dict, Observation]] = []
     for s in steps:
         entry = {
             "timestamp": dt.datetime.now(dt.timezone.utc).isoformat(),
@@ -200,21 +200,31 @@ def apply(steps: list[Step], df: DataFrame, materialise: Callable[[DataFrame], D
         except RecipeError as error:
             entry.update(status=FAILED, error=str(error))
             return Outcome(df, log, str(error))
-        if materialise is not None:
-            watch = Observation(f"step-{s.step_id}")
-            out = out.observe(watch, F.count(F.lit(1)).alias("rows_after"))
-            observed.append((entry, watch))
-    if materialise is not None:
+        after.append(out)
+    if materialise is not None and steps:
         try:
             out = materialise(out)
         except PySparkException as error:
             log[-1].update(status=FAILED, error=str(error))
             return Outcome(df, log, str(error))
-        for entry, watch in observed:
-            entry["rows_after"] = watch.get["rows_after"]
+        for entry, rows in zip(log, _rows_after(steps, df, after, out)):
+            entry["rows_after"] = rows
     return Outcome(out, log)
 
 
+def _rows_after(steps: list[Step], before: DataFrame, after: list[DataFrame], result: DataFrame) -> list[int]:
+    """Rows left by each step. Only steps that drop rows are counted, all in one job; the last one from the result."""
+    dropping = [i for i, s in enumerate(steps) if s.operation == "DROP_ROWS"]
+    tables = {-1: before if dropping else result}
+    tables |= {i: result if i == dropping[-1] else after[i] for i in dropping}
+    counted = None
+    for i, table in tables.items():
+        one = table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step"), "rows")
+        counted = one if counted is None else counted.unionByName(one)
+    rows = {r["step"]: r["rows"] for r in counted.collect()}
+    return [rows[max(j for j in rows if j <= i)] for i in range(len(steps))]
+
+
 def replay(steps: list[Step], df: DataFrame, target: str | None = None) -> DataFrame:
     """The same steps on another fold or on a stream; any error aborts, and the target must survive."""
     out = resolve(steps, df)
