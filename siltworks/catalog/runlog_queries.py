@@ -229,7 +229,7 @@ def session_status(spark, sf) -> DataFrame:
     return rl.session_status(table(spark, sf, "events"), "user_id", "event_id", "event_type", STATES)
 
 
-@query("select conv_id, string_agg(upper(role) || ': ' || text, chr(10) || chr(10) order by turn) as transcript from conversations group by 1")
+@query("select conv_id, cast(0 as bigint) as part, string_agg(upper(role) || ': ' || text, chr(10) || chr(10) order by turn) as transcript from conversations group by 1")
 def transcripts(spark, sf) -> DataFrame:
     return rl.transcript(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 

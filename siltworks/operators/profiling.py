@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ NUMERIC_METRICS = ("std", "variance", "kurtosis", "iqr", "mad")
 CATEGORICAL_METRICS = ("n_unique", "p_unique", "max_length", "min_length", "avg_length")
 DATETIME_METRICS = ("min", "max", "n_unique", "p_unique")
 MAX_METRICS = 20
+# Tags of a profile whose extended metrics failed, or were left out of a wide table on request.
+FALLBACK_TAG, SKIPPED_TAG = "extended_fallback_to_baseline", "extended_skipped_wide_table"
 # Guardrails of the optional sampled mode.
 SAMPLE_ABOVE_ROWS, SAMPLE_ROWS = 50_000, 10_000
 
@@ -49,6 +52,7 @@ class ProfileOptions:
     seed: int = 42
     heaping_share: float | None = None
     extended: bool = False
+    extended_column_limit: int | None = None
     exact: bool = True
 
     def reference_date(self) -> dt.date:
@@ -223,8 +227,8 @@ def deviation_rows(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, q[0]) for c, q in found.items()], "column string, mad double")
 
 
-def semantic_warnings(as_of: dt.date, heaping_share: float | None = None) -> Column:
-    """The warnings of a profile row as an array, in a fixed order."""
+def semantic_warnings(as_of: dt.date, heaping_share: float | None = None, tag: str | None = None) -> Column:
+    """The warnings of a profile row as an array, in a fixed order; ``tag`` says why extended metrics are missing."""
     numeric, rows, non_null = F.col("inferred_type") == NUMERIC, F.col("row_count"), F.col("non_null")
     text = F.col("actual_dtype") == "string"
     tags = [
@@ -245,6 +249,8 @@ def semantic_warnings(as_of: dt.date, heaping_share: float | None = None) -> Col
     ]
     if heaping_share is not None:
         tags.append(F.when(numeric & (F.col("top_count") / non_null >= heaping_share), "Value Heaping"))
+    if tag is not None:
+        tags.append(F.lit(tag))
     return F.array_compact(F.array(*tags))
 
 
@@ -289,12 +295,18 @@ def profile(df: DataFrame, options: ProfileOptions | None = None) -> DataFrame:
         out = beside(out, samples).withColumn("coercion_failure_samples", F.when(F.col("column").isin(*failing), F.coalesce("coercion_failure_samples", F.lit(""))))
     else:
         out = out.withColumn("coercion_failure_samples", F.lit(None).cast("string"))
-    if options.extended:
-        out = beside(out, deviation_rows(df, types)).withColumn("metrics", extended_metrics())
+    tag = None
+    if options.extended and options.extended_column_limit is not None and len(types) > options.extended_column_limit:
+        tag = SKIPPED_TAG
+    elif options.extended:
+        try:
+            out = beside(out, deviation_rows(df, types)).withColumn("metrics", extended_metrics())
+        except PySparkException:
+            tag = FALLBACK_TAG
     order = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(types)], "column string, position int"))
     return (
         out.join(order, "column")
-        .withColumn("warnings", semantic_warnings(as_of, options.heaping_share))
+        .withColumn("warnings", semantic_warnings(as_of, options.heaping_share, tag))
         .drop("sentinel_counts", "padded_count")
     )
 

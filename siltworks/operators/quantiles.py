@@ -65,21 +65,31 @@ def _interpolate(found: dict[int, float], p: float, total: int) -> float:
 
 
 def _order_statistic(column: DataFrame, rank: int, total: int, exact_rows: int, accuracy: int) -> float:
-    """The value at a 0-based rank: narrow a bracket around it until the distinct values inside are few."""
+    """The value at a 0-based rank: narrow a bracket around it until few values are left inside.
+
+    The sketch misses a rank by at most ``total / accuracy``, so the bracket holds the wanted value. Its two ends are
+    counted apart: a heavy value is either the answer or drops out, so every round leaves a small share of the rows.
+    """
     bracket = column
     while total > exact_rows:
         share, slack = (rank + 0.5) / total, 2.0 / accuracy + 1.0 / total
         low, high = bracket.agg(
             F.percentile_approx("v", [max(share - slack, 0.0), min(share + slack, 1.0)], accuracy).alias("b")
         ).first()["b"]
-        below, inside = bracket.agg(
-            F.count_if(F.col("v") < low).alias("below"), F.count_if(F.col("v").between(low, high)).alias("inside")
+        v = F.col("v")
+        below, at_low, between, at_high = bracket.agg(
+            F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high)), F.count_if(v == high)
         ).first()
-        if low == high and below <= rank < below + inside:
+        if below <= rank < below + at_low:
             return low
-        if not below <= rank < below + inside or inside == total:
-            break
-        bracket, rank, total = bracket.where(F.col("v").between(low, high)), rank - below, inside
+        if below + at_low + between <= rank < below + at_low + between + at_high:
+            return high
+        if not below <= rank < below + at_low + between:
+            accuracy //= 2
+            if accuracy < 2:
+                break
+            continue
+        bracket, rank, total = bracket.where((v > low) & (v < high)), rank - below - at_low, between
     # Equal values are one row from here on, so a heavy value cannot swell the last step.
     distinct = bracket.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     running = distinct.withColumn("upto", F.sum("n").over(W.orderBy("v")))

@@ -33,6 +33,8 @@ ACTIVITY_TYPES = (
 )
 ACTIVITY_PREVIEW, ACTIVITY_RAW, ACTIVITY_ROWS, BUFFER_ROWS = 300, 1500, 300, 1000
 MIN_PASSES = 3
+# A transcript longer than this goes on in a further part.
+PART_CHARS = 50_000_000
 
 
 def _group(c: Column, pattern: str, i: int) -> Column:
@@ -280,11 +282,18 @@ def session_status(df: DataFrame, session: str, seq: str, kind: str, mapping: di
     return folded.withColumn("status", F.coalesce("status", F.lit(INITIAL_STATUS)))
 
 
-def transcript(df: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
-    """``ROLE: text`` in order, joined by blank lines: one document per conversation."""
-    said = F.struct(F.col(turn).alias("t"), F.concat(F.upper(role), F.lit(": "), F.col(text)).alias("line"))
+def transcript(df: DataFrame, conversation: str, turn: str, role: str, text: str, part_chars: int = PART_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``ROLE: text`` in order, joined by blank lines.
+
+    A conversation is one document, part 0, up to ``part_chars`` characters; a longer one goes on in numbered parts
+    that follow each other, so that no value and no task has to hold a conversation of any length.
+    """
+    lines = df.select(conversation, F.col(turn).alias("_t"), F.concat(F.upper(role), F.lit(": "), F.col(text)).alias("_line"))
+    placed = running_before(lines, [conversation], ["_t"], F.col("_t").cast("double"), {"_chars": ("sum", F.length("_line").cast("long"))}, hot_rows)
+    part = F.floor(F.coalesce("_chars", F.lit(0)) / F.lit(part_chars))
+    said = F.struct(F.col("_t").alias("t"), F.col("_line").alias("line"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["line"]), "\n\n")
-    return df.groupBy(conversation).agg(joined.alias("transcript"))
+    return placed.groupBy(conversation, part.alias("part")).agg(joined.alias("transcript"))
 
 
 def history_lines(history: DataFrame) -> DataFrame:

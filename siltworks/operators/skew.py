@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltworks.session import BROADCAST_ROWS, pin_small
+from siltworks.session import BROADCAST_ROWS, cut_lineage, pin_small
 
 # A group up to this size sorts well inside one task; a larger one is cut into slices.
 HOT_ROWS = 5_000_000
@@ -21,26 +21,31 @@ HOT_KEYS = 1_000
 def skew_safe_lookup(df: DataFrame, lookup: DataFrame, key: str, weight: str, value: str, salts: int = 512, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` left-joined to ``lookup`` (one row per key, ``weight`` = how many rows of ``df`` have the key).
 
-    A lookup counted to be small is broadcast. Otherwise its few heaviest keys are broadcast, and only the remaining
-    rows are shuffled; rows already answered (and null keys) are spread over salts that match nothing.
+    A lookup counted to be small is broadcast. Otherwise it is written once, its few heaviest keys are broadcast, and
+    only the remaining rows are shuffled; rows already answered (and null keys) are spread over salts that match nothing.
     """
     pinned = pin_small(lookup, limit)
     if pinned is not lookup:
         return df.join(pinned.select(key, value), key, "left")
+    lookup = cut_lineage(lookup)
     heavy = lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS)
     heavy_rows = df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
     marked = df.join(F.broadcast(heavy_rows.select(key, F.col(value).alias("_hot"))), key, "left")
     answered = F.col("_hot").isNotNull() | F.col(f"`{key}`").isNull()
-    salted = marked.withColumn("_salt", F.when(answered, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(F.lit(0)))
+    salted = marked.withColumn("_salt", F.when(answered, 1 + F.pmod(F.xxhash64(*_hashable(df)), F.lit(salts))).otherwise(F.lit(0)))
     cold = lookup.select(key, F.col(value).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
     joined = salted.join(cold, [key, "_salt"], "left")
     return joined.withColumn(value, F.coalesce("_hot", "_cold")).drop("_hot", "_cold", "_salt")
 
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def slice_hot_groups(df: DataFrame, keys: list[str], order: Column, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, bool]:
     """Adds ``_slice`` and says whether any group was hot.
 
-    Ordinary groups are one slice, 0. Groups above ``hot_rows`` are cut into consecutive ranges of the numeric ``order``;
+    Ordinary groups are one slice, 0. At most rows / ``hot_rows`` groups can be hot, which bounds what is gathered here. Groups above ``hot_rows`` are cut into consecutive ranges of the numeric ``order``;
     the ranges come from a quantile sketch and are pinned before use, so that every evaluation agrees.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)

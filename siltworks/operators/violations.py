@@ -16,6 +16,8 @@ from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity
 from siltworks.functions.strings import NULL_TOKENS, normalised_text
 from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC, inferred_map, quoted
 from siltworks.operators.profiling import SENTINEL_SHARE, SENTINELS
+from siltworks.operators.skew import skew_safe_lookup
+from siltworks.session import cut_lineage
 
 CRITICAL, INFO = "CRITICAL", "INFO"
 # Personal-data patterns and column-name words.
@@ -293,9 +295,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, partitions: int | None =
     aggregate with partial results, so a bucket that holds a third of all rows is one small row per task; the way
     back joins through the bucket-safe lookup, heavy buckets broadcast.
     """
-    from siltworks.operators.skew import skew_safe_lookup
-
-    bands = near_duplicate_bands(df, key, text, partitions).withColumn("slot", F.xxhash64("band", "bucket")).drop("band", "bucket")
+    # The sketch reads every text, so it is written once; what is written is four numbers per text.
+    slots = near_duplicate_bands(df, key, text, partitions).select(key, F.xxhash64("band", "bucket").alias("slot"))
+    bands = cut_lineage(slots)
     anchors = bands.groupBy("slot").agg(F.min(key).alias("anchor"), F.count(F.lit(1)).alias("size")).where("size > 1")
     linked = skew_safe_lookup(bands, anchors, "slot", "size", "anchor").where("anchor is not null")
     return linked.groupBy(key).agg(F.min("anchor").alias("anchor"))

@@ -99,3 +99,12 @@ def test_brackets_prefer_the_main_exit(spark):
     out = rl.pass_brackets(df, "session", "seq", "ts", k == "enter", k == "main", k == "other").orderBy("pass")
     got = [(r["pass"], r["a"], r["b"]) for r in out.select("pass", F.unix_seconds("entered").alias("a"), F.unix_seconds("exited").alias("b")).collect()]
     assert got == [(1, 0, 2), (2, 4, 5), (3, 7, 8)]
+
+
+def test_long_conversations_go_on_in_parts(spark):
+    df = spark.createDataFrame([("c", i, "user", "x" * 10) for i in range(30)] + [("d", 0, "user", "hi")], "conv string, turn long, role string, text string")
+    whole = {r["conv"]: r["transcript"] for r in rl.transcript(df, "conv", "turn", "role", "text").collect()}
+    for hot_rows in (5, 10**9):
+        parts = rl.transcript(df, "conv", "turn", "role", "text", 100, hot_rows).orderBy("conv", "part").collect()
+        assert "\n\n".join(r["transcript"] for r in parts if r["conv"] == "c") == whole["c"] and sum(r["conv"] == "c" for r in parts) == 5
+        assert [r["transcript"] for r in parts if r["conv"] == "d"] == ["USER: hi"]

@@ -178,5 +178,7 @@ def test_malformed_lines_stay_visible(spark, tmp_path):
 def test_extended_and_approximate_profiles(raw):
     rows = {r["column"]: r for r in pr.profile(raw, pr.ProfileOptions(as_of=AS_OF, extended=True)).collect()}
     assert set(rows["age"]["metrics"]) >= {"n_missing", "std", "mad", "iqr"} and "avg_length" in rows["plan"]["metrics"]
+    wide = pr.profile(raw, pr.ProfileOptions(as_of=AS_OF, extended=True, extended_column_limit=5))
+    assert "metrics" not in wide.columns and wide.where("not array_contains(warnings, 'extended_skipped_wide_table')").count() == 0
     rough = {r["column"]: r for r in pr.profile(raw, pr.ProfileOptions(as_of=AS_OF, exact=False)).collect()}
     assert abs(rough["patient_id"]["unique_count"] - 59) <= 3 and rough["age"]["median"] is not None
