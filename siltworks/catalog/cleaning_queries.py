@@ -144,8 +144,7 @@ def recipe_failure(spark, sf) -> DataFrame:
     df = view(spark, sf, "orders_dirty")
     broken = [CLEANING[0], Step(2, "CUSTOM_CODE", "expression", "amount", {"sql": "amount + no_such_column"}), CLEANING[5]]
     outcome = rc.apply(broken, df)
-    untouched = outcome.table.agg(F.count("email").alias("rows")).withColumn("_one", F.lit(1))
-    return outcome.rollup().withColumn("_one", F.lit(1)).join(F.broadcast(untouched), "_one").drop("_one")
+    return outcome.rollup().withColumn("rows", outcome.table.agg(F.count("email")).scalar())
 
 
 BAD_RECIPE = [
@@ -165,8 +164,8 @@ def recipe_lint(spark, sf) -> DataFrame:
     """What the lint finds in a recipe that breaks every rule, beside the rows it would have touched."""
     df = view(spark, sf, "orders_dirty")
     found = [re.sub(r"^step \d+ |:.*", "", p) for p in rc.lint(BAD_RECIPE, df, "amount")]
-    problems = spark.createDataFrame([(p,) for p in found], "problem string").withColumn("_one", F.lit(1))
-    return problems.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    problems = spark.createDataFrame([(p,) for p in found], "problem string")
+    return problems.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 RULES = Rules(target="amount", as_of=AS_OF, sentinels={"amount": [-1.0, 9999.0]})
@@ -202,8 +201,8 @@ def pass_history(spark, sf) -> DataFrame:
 def committed_steps(spark, sf) -> DataFrame:
     """The steps committed over all passes, as a table, beside the size of the table they came from."""
     df = view(spark, sf, "orders_dirty")
-    steps = rc.steps_table(_passes(spark, sf).steps, df).select("position", "action").withColumn("_one", F.lit(1))
-    return steps.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    steps = rc.steps_table(_passes(spark, sf).steps, df).select("position", "action")
+    return steps.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 FOLD_SQL = """select *, case when rn <= floor(0.8 * n) then 'train' when rn <= floor(0.9 * n) then 'val' else 'test' end as fold from

@@ -151,8 +151,8 @@ def leakage_lint(spark, sf) -> DataFrame:
 def additivity_lint(spark, sf) -> DataFrame:
     df = table(spark, sf, "lineitem")
     steps = [FeatureStep("l_tax", "CUSTOM_FEATURE", ("l_tax",), {"sql": "l_tax * 2"}), FeatureStep("share", "CUSTOM_FEATURE", ("l_tax",), {"sql": "l_tax / sum(l_tax) over ()"})]
-    problems = spark.createDataFrame([(p,) for p in fr.additivity_problems(steps, df)], "problem string").withColumn("_one", F.lit(1))
-    return problems.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))), "_one").drop("_one")
+    problems = spark.createDataFrame([(p,) for p in fr.additivity_problems(steps, df)], "problem string")
+    return problems.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 def _rounds(df: DataFrame, number: int) -> list[FeatureStep]:

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from siltworks.catalog.cleaning_queries import CLEANING, FOLD_SQL
 from siltworks.catalog.registry import Family
-from siltworks.catalog.views import ctes, table, view
+from siltworks.catalog.views import AS_OF, ctes, table, view
 from siltworks.operators import scoring as sc
 from siltworks.operators import splitting as sp
 from siltworks.operators import training as tr
 from siltworks.plans import benchmark as bm
+from siltworks.operators.violations import Rules
 from siltworks.plans.feature_rounds import FeatureStep
+from siltworks.plans.run import run_table
 
 family = Family()
 QUERIES, ORACLES = family.queries, family.oracles
@@ -147,6 +149,16 @@ def model_report(spark, sf) -> DataFrame:
     return tr.model_metadata(model, df).drop("training_time_seconds")
 
 
+@query()
+def whole_run(spark, sf) -> DataFrame:
+    """From a raw table and a question to a scored model."""
+    df = view(spark, sf, "orders_dirty").drop("amount_s")
+    report = run_table(df, "o_orderkey", "What drives the amount?", rules=Rules(as_of=AS_OF, sentinels={"amount": [-1.0, 9999.0]}), task_type="regression")
+    return report.model.select(
+        "target_column", "best_model", "num_rows_trained", "num_features", F.lit(",".join(report.dropped)).alias("dropped"), F.lit(report.test_score).alias("test_score")
+    )
+
+
 REGISTRY = [
     bm.Dataset(
         "documents",

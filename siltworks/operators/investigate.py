@@ -11,6 +11,7 @@ from siltworks.functions.dates import timestamp_of
 from siltworks.functions.numbers import NATIVE_NUMERIC, finite, number_of, present
 from siltworks.operators.frequency import restore_long_values, top_per_column, value_frequency
 from siltworks.operators.inference import COLUMN_CHUNK, long_rows, quoted
+from siltworks.session import pin_small
 
 # Default sizes of the reports.
 INSPECT_ROWS, PAIRS, VIOLATION_SAMPLES, BINS, CATEGORIES = 5, 10, 5, 20, 25
@@ -45,9 +46,7 @@ def inspect_rows(df: DataFrame, predicate: str, key: str, limit: int = INSPECT_R
     """The first ``limit`` matching rows by key, each beside the total number of matches."""
     rows = matching(df, predicate)
     first = rows.orderBy(quoted(key)).limit(limit)
-    # The total is one row; joining on a constant makes it a broadcast of exactly that row.
-    total = count_matching(df, predicate).withColumn("_one", F.lit(1))
-    return first.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").drop("_one")
+    return first.withColumn("matches", count_matching(df, predicate).scalar())
 
 
 def cross_column_frequency(df: DataFrame, a: str, b: str, top_n: int = PAIRS) -> DataFrame:
@@ -64,11 +63,9 @@ def cross_column_frequency(df: DataFrame, a: str, b: str, top_n: int = PAIRS) ->
     sides = occurring.agg(F.collect_set("a").alias("as"), F.collect_set("b").alias("bs"))
     grid = sides.select(F.explode("as").alias("a"), "bs").select("a", F.explode("bs").alias("b"))
     never = grid.join(occurring, ["a", "b"], "left_anti").withColumn("count", F.lit(0).cast("long"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    pairs = occurring.unionByName(never).orderBy(F.desc("count"), "a", "b").limit(top_n).withColumn("_one", F.lit(1))
-    return pairs.join(F.broadcast(total), "_one").select(
-        F.col("a").alias(a), F.col("b").alias(b), "count", F.round(F.col("count") / F.col("total") * 100, 2).alias("pct")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    pairs = occurring.unionByName(never).orderBy(F.desc("count"), "a", "b").limit(top_n)
+    return pairs.select(F.col("a").alias(a), F.col("b").alias(b), "count", F.round(F.col("count") / total * 100, 2).alias("pct"))
 
 
 def temporal_ordering(df: DataFrame, earlier: str, later: str) -> DataFrame:
@@ -119,9 +116,9 @@ def category_distribution(df: DataFrame, column: str, top_n: int = CATEGORIES) -
     """Most frequent values with their share of the non-null rows, the distinct total and how many stay unlisted."""
     require(df, column)
     freq = value_frequency(df, [column])
-    totals = freq.agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("non_null")).withColumn("_one", F.lit(1))
-    top = restore_long_values(df.select(quoted(column)), top_per_column(freq, top_n)).withColumn("_one", F.lit(1))
-    return top.join(F.broadcast(totals), "_one").select(
+    totals = freq.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("non_null"))
+    top = restore_long_values(df.select(quoted(column)), top_per_column(freq, top_n))
+    return top.join(F.broadcast(totals), "column").select(
         "rank",
         "value",
         F.col("n").alias("count"),
@@ -150,18 +147,21 @@ def null_co_occurrence(df: DataFrame, threshold: float = NULL_OVERLAP, limit: in
     fields = df.schema.fields
     null_set = F.array_compact(F.array(*[F.when(~present(f.name, f.dataType), F.lit(i)) for i, f in enumerate(fields)]))
     patterns = df.select(null_set.alias("nulls")).where(F.size("nulls") > 0).groupBy("nulls").agg(F.count(F.lit(1)).alias("n"))
-    singles = patterns.select(F.explode("nulls").alias("i"), "n").groupBy("i").agg(F.sum("n").alias("total"))
+    # A column paired with itself gives the column's own null count.
     pairs = (
         patterns.select(F.explode("nulls").alias("i"), "nulls", "n")
-        .select("i", F.explode(F.filter("nulls", lambda j: j > F.col("i"))).alias("j"), "n")
+        .select("i", F.explode(F.filter("nulls", lambda j: j >= F.col("i"))).alias("j"), "n")
         .groupBy("i", "j")
         .agg(F.sum("n").alias("both_null"))
     )
-    left, right = singles.select("i", F.col("total").alias("ti")), singles.select(F.col("i").alias("j"), F.col("total").alias("tj"))
+    counted = pin_small(pairs)
+    own = counted.where("i = j")
+    left, right = own.select("i", F.col("both_null").alias("ti")), own.select("j", F.col("both_null").alias("tj"))
     ratio = F.col("both_null") / (F.col("ti") + F.col("tj") - F.col("both_null"))
     names = F.array(*[F.lit(f.name) for f in fields])
     return (
-        pairs.join(F.broadcast(left), "i")
+        counted.where("i < j")
+        .join(F.broadcast(left), "i")
         .join(F.broadcast(right), "j")
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= threshold)

@@ -336,11 +336,16 @@ def _per_column(frequencies: dict[str, DataFrame], types: dict[str, str], quanti
     return out
 
 
+def _above(freq: DataFrame, condition: Column) -> DataFrame:
+    """Filter a frequency table after its shuffle: tied to the count, the condition stays there, and the shuffle is shared."""
+    return freq.where(F.when(F.col("n") > 0, condition))
+
+
 def _shapes(df: DataFrame, frequencies: dict[str, DataFrame], short: list[str], long: list[str]) -> DataFrame | None:
     """Dominant signatures: of short texts from their distinct values, of long ones from the texts themselves."""
     parts = []
     if short:
-        shaped = frequencies["text"].where(F.col("column").isin(*short)).select("column", signature(F.col("value")).alias("value"), "n")
+        shaped = _above(frequencies["text"], F.col("column").isin(*short)).select("column", signature(F.col("value")).alias("value"), "n")
         parts.append(_dominant(shaped.groupBy("column", "value").agg(F.sum("n").alias("n")), None))
     if long:
         parts.append(shape_consistency(df, long))
@@ -375,7 +380,7 @@ def _failure_samples(df: DataFrame, freq: DataFrame, failing: dict[str, str], re
     value = F.col("value")
     bad_number = text_to_number(value).isNull() & ~value.rlike(INFINITY_RE)
     bad = F.when(F.col("column").isin(*numbers), bad_number).otherwise(text_to_timestamp(value).isNull()) if numbers else text_to_timestamp(value).isNull()
-    top = top_per_column(freq.where(F.col("column").isin(*failing) & bad), k, [F.asc("value")])
+    top = top_per_column(_above(freq, F.col("column").isin(*failing) & bad), k, [F.asc("value")])
     top = restore_long_values(df, top) if restore else top
     return top.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("coercion_failure_samples"))
 

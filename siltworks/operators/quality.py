@@ -34,7 +34,7 @@ def plausibility() -> Column:
     return F.aggregate("warnings", start, fold, lambda acc: acc["score"])
 
 
-def base_metrics(profile_rows: DataFrame) -> DataFrame:
+def base_metrics(profile_rows: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """One row: mean completeness, share of numeric columns without inf or failed values, and the columns at fault."""
     numeric = F.col("inferred_type") == NUMERIC
     dirty = numeric & (F.coalesce("inf_nan_count", F.lit(0)) > 0)
@@ -51,20 +51,20 @@ def base_metrics(profile_rows: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.when(numeric & F.exists("warnings", lambda w: w.contains(HEAPING)), F.struct("position", "column")))),
             lambda s: F.concat(F.lit("heaping: "), s["column"]),
         ).alias("heaping_flags"),
+        *(extra or []),
     )
 
 
 def _with_target(profile_rows: DataFrame, target: str | None) -> DataFrame:
-    """The base metrics beside the target's own numbers, folded into the same aggregate."""
+    """The base metrics beside the target's own numbers, in one aggregate."""
     hit = F.col("column") == F.lit(target)
-    extra = profile_rows.agg(
+    own = [
         F.count_if(hit).alias("target_found"),
         F.max(F.when(hit, F.col("completeness"))).alias("target_completeness"),
         F.max(F.when(hit, F.coalesce("inf_nan_count", F.lit(0)))).alias("target_inf_nan"),
         F.max(F.when(hit, F.exists("warnings", lambda w: w.contains(HEAPING)))).alias("target_heaped"),
-    )
-    # Both sides are exactly one row, so an equality on a constant joins them.
-    return base_metrics(profile_rows).withColumn("_one", F.lit(1)).join(extra.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    ]
+    return base_metrics(profile_rows, own)
 
 
 def _flags(target: str | None) -> list[Column]:

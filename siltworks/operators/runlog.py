@@ -256,9 +256,9 @@ def cost_rollup(df: DataFrame, node: str, model: str, cost: str, tokens: str, du
 
 def most_expensive(df: DataFrame, node: str, model: str, cost: str) -> DataFrame:
     """One row: the node and the model with the highest total cost."""
-    by_node = df.groupBy(node).agg(F.sum(cost).alias("c")).agg(F.max_by(node, "c").alias("node")).withColumn("_one", F.lit(1))
-    by_model = df.groupBy(model).agg(F.sum(cost).alias("c")).agg(F.max_by(model, "c").alias("model")).withColumn("_one", F.lit(1))
-    return by_node.join(by_model, "_one").drop("_one")
+    by_node = df.groupBy(node).agg(F.sum(cost).alias("c")).agg(F.max_by(node, "c").alias("node"))
+    by_model = df.groupBy(model).agg(F.sum(cost).alias("c")).agg(F.max_by(model, "c").alias("model"))
+    return by_node.withColumn("model", by_model.scalar())
 
 
 # Session states by the event that brings them about.

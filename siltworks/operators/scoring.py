@@ -42,16 +42,17 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: dict[object, str]) -> DataFra
     return auc_by_group(long, "class", F.col("hit"), "score").agg(F.avg("auc").alias("roc_auc"))
 
 
-def class_f1(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """``(class, tp, fp, fn, f1)`` over every class that occurs as a label or a prediction."""
-    confusion = df.groupBy(F.col(label).cast("string").alias("l"), F.col(prediction).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def class_f1(df: DataFrame, label: str, prediction: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(class, tp, fp, fn, f1)`` over every class that occurs as a label or a prediction, per group of ``by``."""
+    confusion = df.groupBy(*by, F.col(label).cast("string").alias("l"), F.col(prediction).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     sides = confusion.select(
+        *by,
         F.explode(
             F.when(F.col("l") == F.col("p"), F.array(_side("l", "tp"))).otherwise(F.array(_side("l", "fn"), _side("p", "fp")))
         ).alias("s"),
         "n",
-    ).select("s.class", "s.kind", "n")
-    counts = sides.groupBy("class").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("tp", "fp", "fn")])
+    ).select(*by, "s.class", "s.kind", "n")
+    counts = sides.groupBy(*by, "class").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("tp", "fp", "fn")])
     return counts.withColumn("f1", 2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 

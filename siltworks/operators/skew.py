@@ -15,7 +15,7 @@ from siltworks.session import BROADCAST_ROWS, cut_lineage, pin_small
 # A group up to this size sorts well inside one task; a larger one is cut into slices.
 HOT_ROWS = 5_000_000
 MAX_SLICES = 1024
-HOT_KEYS = 1_000
+HOT_KEYS, KEY_BYTES = 1_000, 64 * 1024
 
 
 def skew_safe_lookup(df: DataFrame, lookup: DataFrame, key: str, weight: str, value: str, salts: int = 512, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -28,7 +28,9 @@ def skew_safe_lookup(df: DataFrame, lookup: DataFrame, key: str, weight: str, va
     if pinned is not lookup:
         return df.join(pinned.select(key, value), key, "left")
     lookup = cut_lineage(lookup)
-    heavy = lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    # A thousand keys of at most 64 KB each: what is gathered stays below 64 MB.
+    short = F.octet_length(F.col(f"`{key}`").cast("string")) <= KEY_BYTES
+    heavy = lookup.where(short).orderBy(F.desc(weight), key).limit(HOT_KEYS)
     heavy_rows = df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
     marked = df.join(F.broadcast(heavy_rows.select(key, F.col(value).alias("_hot"))), key, "left")
     answered = F.col("_hot").isNotNull() | F.col(f"`{key}`").isNull()

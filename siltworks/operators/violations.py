@@ -377,12 +377,11 @@ def choose_target(columns: list[str], candidates: list[str], current: str | None
 
 def caveats(df: DataFrame, violations: DataFrame) -> DataFrame:
     """Messages an answer should carry: a small table, and the share of rows behind each sentinel or missing finding."""
-    total = df.agg(F.count(F.lit(1)).alias("rows")).withColumn("_one", F.lit(1))
+    total = df.agg(F.count(F.lit(1)).alias("rows"))
     small = total.where(F.col("rows") < SMALL_ROWS).select(F.concat(F.lit("small data: "), F.col("rows").cast("string"), F.lit(" rows")).alias("caveat"))
     share = (
         violations.where(F.col("category").isin("SENTINEL_VALUE", "MISSING_DATA"))
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(total), "_one")
+        .withColumn("rows", total.scalar())
         .select(F.concat(F.array_join("affected_columns", ", "), F.lit(": "), F.lower("category"), F.lit(" in "), F.format_number(F.col("n_rows") / F.col("rows") * 100, 1), F.lit("% of rows")).alias("caveat"))
     )
     return small.unionByName(share)

@@ -7,9 +7,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A frame is only ever broadcast when it was counted to hold at most this many rows.
-BROADCAST_ROWS = 100_000
+# A frame is only ever broadcast when it was counted to hold at most this many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 * 1024 * 1024
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def build_session(app: str = "siltworks", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,12 +56,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_root(spark), f"{name}-{os.urandom(6).hex()}")
 
 
-def pin_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Turn a frame proven to hold at most ``limit`` rows into a broadcast local relation.
+def pin_small(df: DataFrame, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Turn a frame proven to be small, in rows and in bytes, into a broadcast local relation.
 
-    Above the limit the frame comes back unchanged, and the join it feeds stays a shuffle join that AQE may split.
+    A larger frame comes back unchanged, and the join it feeds stays a shuffle join that AQE may split. At most
+    ``limit`` + 1 rows are looked at; where columns have no fixed width their bytes are summed before anything is gathered.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
+    head = df.limit(limit + 1)
+    loose = [f.name for f in df.schema.fields if not isinstance(f.dataType, FIXED_WIDTH)]
+    if loose:
+        head = head.persist()
+        width = sum((F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in loose[1:]), F.octet_length(F.to_json(F.struct(F.col(f"`{loose[0]}`")))))
+        count, size = head.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+        rows = head.collect() if count <= limit and size <= max_bytes else None
+        head.unpersist()
+    else:
+        rows = head.collect()
+        rows = rows if len(rows) <= limit else None
+    if rows is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
