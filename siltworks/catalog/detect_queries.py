@@ -164,6 +164,14 @@ def detect_mixed_formats(spark, sf) -> DataFrame:
     return shown(vl.run_checks(df, vl.format_checks(df, DIRTY_TYPES)))
 
 
+@query(
+    f"""{ctes('orders_dirty')} select case when try_strptime(order_date_s, '%Y-%m-%d') is not null then 'yyyy-M-d' when try_strptime(order_date_s, '%m/%d/%Y') is not null then 'M/d/yyyy'
+ when try_strptime(order_date_s, '%d/%m/%Y') is not null then 'd/M/yyyy' end as format, count(*) as n from orders_dirty where order_date_s is not null group by 1"""
+)
+def date_formats(spark, sf) -> DataFrame:
+    return vl.date_formats(view(spark, sf, "orders_dirty"), "order_date_s")
+
+
 @query(
     f"""{ctes('orders_dirty')} select 'o_orderkey' as "column", 'identifier' as reason union all select 'status_copy', 'constant' union all select 'email', 'personal data' union all select 'priority', 'leaks the outcome'"""
 )

@@ -40,7 +40,7 @@ def text_to_timestamp(c: Column) -> Column:
 
 def matched_format(c: Column) -> Column:
     """The name of the first format that parses the text."""
-    return F.coalesce(*[F.when(hit.isNotNull(), F.lit(name)) for name, hit in format_hits(c)])
+    return F.when(c.rlike(DATE_START_RE), F.coalesce(*[F.when(hit.isNotNull(), F.lit(name)) for name, hit in format_hits(c)]))
 
 
 def timestamp_of(name: str, dtype: T.DataType) -> Column:

@@ -7,8 +7,6 @@ each band and ranks the few rows inside it. The folds themselves are then a narr
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,8 +87,3 @@ def check_schema_drift(reference: DataFrame, fold: DataFrame, name: str = "fold"
     extra, missing = schema_drift(reference, fold)
     if extra or missing:
         raise ValueError(f"schema drift in {name}: extra={extra} missing={missing}")
-
-
-def expected_rank(share: float, n: int) -> int:
-    """How many rows of a class of ``n`` lie before a cut."""
-    return math.floor(share * n)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.functions.dates import format_hits, text_to_timestamp, timestamp_of
+from siltworks.functions.dates import format_hits, matched_format, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import row_digest
 from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity_flag, number_of
 from siltworks.functions.strings import NULL_TOKENS, normalised_text
@@ -200,6 +200,12 @@ def format_checks(df: DataFrame, types: dict[str, str]) -> list[Check]:
     return out
 
 
+def date_formats(df: DataFrame, column: str) -> DataFrame:
+    """``(format, n)``: how many values of a text column each known date format reads; null for those none reads."""
+    named = df.where(quoted(column).isNotNull()).select(matched_format(quoted(column)).alias("format"))
+    return named.groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
 def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | None = None, bounds: dict | None = None) -> DataFrame:
     """All violations that row-wise checks can find, then duplicates, in one numbered table."""
     rules = rules or Rules()
