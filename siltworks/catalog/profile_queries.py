@@ -294,6 +294,15 @@ def missingness_warnings(spark, sf) -> DataFrame:
     return df.select("column", F.explode("warnings").alias("warning")).where("warning = 'High Missingness'")
 
 
+@query(
+    """select 'ts' as "column", count(distinct ts) as unique_count, replace(cast(min(ts) as varchar), ' ', 'T') as earliest, replace(cast(max(ts) as varchar), ' ', 'T') as latest from events"""
+)
+def profile_exact_times(spark, sf) -> DataFrame:
+    """Times that differ by microseconds are different values."""
+    df = pr.profile(table(spark, sf, "events").select("ts"), options())
+    return df.select("column", "unique_count", "earliest", "latest")
+
+
 @query(
     " union all ".join(
         f"""select '{c}' as "column", 'Value Heaping' as warning from (select max(n) * 1.0 / sum(n) as s from (select count(*) as n from customer group by {c})) where s >= 0.03"""

@@ -124,7 +124,7 @@ def infinities(spark, sf) -> DataFrame:
     return df.agg(F.count_if(infinity_flag("amount", dtype)).alias("infinite"), F.count_if(~present("amount", dtype)).alias("missing"))
 
 
-@query("""select cast(event_id as varchar) as event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as ts, event_type, props from events""")
+@query("""select cast(event_id as varchar) as event_id, replace(cast(ts as varchar), ' ', 'T') as ts, event_type, props from events""")
 def json_safe_rows(spark, sf) -> DataFrame:
     return inf.json_safe(table(spark, sf, "events").select("event_id", "ts", "event_type", "props"))
 

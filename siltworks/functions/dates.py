@@ -54,5 +54,5 @@ def timestamp_of(name: str, dtype: T.DataType) -> Column:
 
 
 def iso(c: Column) -> Column:
-    """ISO text of a timestamp, to the second."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO text of a timestamp, with the fraction of a second where there is one."""
+    return F.replace(c.cast("string"), F.lit(" "), F.lit("T"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# JSON text of times keeps microseconds; the default would cut them to milliseconds.
+WHOLE_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def seeded_md5(key: Column, seed: int | str) -> Column:
     """Hex digest of the key's text followed by the seed."""
     return F.md5(F.concat(key.cast("string"), F.lit(str(seed))))
@@ -23,4 +27,4 @@ def hash_bucket(c: Column, buckets: int) -> Column:
 
 def row_digest(columns: list[str]) -> Column:
     """128-bit digest of whole rows: equal rows, nulls included, have equal digests."""
-    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))))
+    return F.unhex(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), WHOLE_TIMES)))

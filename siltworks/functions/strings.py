@@ -18,7 +18,7 @@ def canonical_text(name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(c), c + F.lit(0.0).cast(dtype)).cast("string")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        return F.replace(c.cast("string"), F.lit(" "), F.lit("T"))
     if isinstance(dtype, T.BinaryType):
         return F.make_valid_utf8(c.cast("string"))
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltworks.functions.hashing import WHOLE_TIMES
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
@@ -16,9 +18,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).options(ignoreNullFields=False, **WHOLE_TIMES).json(path)
 
 
 def json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row, nulls kept."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", **WHOLE_TIMES}).alias("json"))

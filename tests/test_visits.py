@@ -182,3 +182,11 @@ def test_extended_and_approximate_profiles(raw):
     assert "metrics" not in wide.columns and wide.where("not array_contains(warnings, 'extended_skipped_wide_table')").count() == 0
     rough = {r["column"]: r for r in pr.profile(raw, pr.ProfileOptions(as_of=AS_OF, exact=False)).collect()}
     assert abs(rough["patient_id"]["unique_count"] - 59) <= 3 and rough["age"]["median"] is not None
+
+
+def test_rows_that_differ_by_microseconds_are_no_duplicates(spark):
+    from siltworks.operators.violations import duplicate_summary
+
+    df = spark.range(3).select(F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.least(F.col("id"), F.lit(1))).alias("t"))
+    for frame in (df, df.select(F.col("t").cast("timestamp_ntz").alias("t"))):
+        assert duplicate_summary(frame).first().asDict() == {"groups": 1, "rows": 2, "surplus": 1}
