@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +31,17 @@ def build_session(app: str = "siltworks", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written tables; a temporary one only where none is named."""
+    """The shared folder for checkpoints and written tables: ``spark.checkpoint.dir``, or the folder a program has set.
+
+    Where neither is named, a folder below the warehouse, which driver and executors share as well.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if root is None and current.isDefined():
         return current.get()
     if root is None:
-        root = tempfile.mkdtemp(prefix="siltworks-checkpoint-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not current.isDefined():
         context.setCheckpointDir(root)
     return root
