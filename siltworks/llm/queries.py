@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.catalog.registry import Family
-from siltworks.llm import decontaminate, exact_dedup, line_dedup, packing, quality, toxicity, warc
+from siltworks.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, toxicity, warc
 from siltworks.llm.frames import LOWER, UPPER, crc_fold, table
 from siltworks.session import scratch_path
 
@@ -25,6 +25,13 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"), keep="largest")
 
 
+@family.query()
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    found = html_extract.extract(pages, html_extract.train(pages), ["page_id", "url"])
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @family.query()
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -46,6 +53,12 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_records(index, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@family.query()
+def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard_join.similar_groups(table(spark, folder, "documents"), jaccard_join.Rule(shingle=4, percent=85))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 @family.query()
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
