@@ -62,3 +62,11 @@ def dedup_lines(df: DataFrame, text_col: str = "text", site_col: str = "source",
     if report:
         out += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(acts, F.size(lines) - F.size(kept)).otherwise(F.lit(0)).cast("long").alias("n_cut")]
     return joined.select(*out)
+
+
+def recount(df: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """``df`` with the characters of the text in ``count_col``, where it has that column; null for a null text."""
+    if count_col not in df.columns:
+        return df
+    kind = df.schema[count_col].dataType
+    return df.withColumn(count_col, F.char_length(F.col(f"`{text_col}`")).cast(kind))

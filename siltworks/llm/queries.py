@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.catalog.registry import Family
-from siltworks.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, toxicity, warc
+from siltworks.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, substring_dedup, toxicity, warc
 from siltworks.llm.frames import LOWER, UPPER, crc_fold, table
 from siltworks.session import scratch_path
 
@@ -97,4 +97,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs, report=True).drop("source")
 
 
+@family.query()
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, folder, "documents")).drop("uid")
+
+
 QUERIES, ORACLES = family.queries, family.oracles
