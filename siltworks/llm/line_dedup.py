@@ -29,7 +29,7 @@ def boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str = "so
     Lines are what stands between line breaks, without blanks around; empty lines are never boilerplate, and a null
     site is a site like any other. Copies of a text count once for each of their sites.
     """
-    lines = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), F.trim))
+    lines = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), lambda x: F.trim(x)))
     rows = df.select(F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), F.explode(F.filter(lines, lambda x: x != "")).alias("x"))
     rows = rows.select("site", _mark(F.col("x")).alias("line"))
     sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", SKETCH_LG).alias("s"))
