@@ -78,6 +78,25 @@ def shingle_set(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(z)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """One bit per token hash, in a power of two of bits that is at least four times the tokens (and at least 64)."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(s >> np.uint64(20)).astype(np.int64) & (width - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """A lower bound of the tokens that only one of two sets has: bits that only one of their sketches has."""
+    if len(a) < len(b):
+        a, b = b, a
+    one, two = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(one) > len(two):
+        half = len(one) // 2
+        one = one[:half] | one[half:]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def _mark(text: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
 
@@ -92,9 +111,9 @@ def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
             for (uid, doc, mark), text in zip(carried, octets(batch.column(3))):
                 s = shingle_set(text, rule.shingle, known)
                 mins = [int(_mix(s * seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else [None] * MIN_HASHES
-                yield uid, doc, mark, len(s), xxhash.xxh128_digest(s.tobytes()), *mins
+                yield uid, doc, mark, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s), *mins
 
-    kind = "uid long, doc long, mark struct<a:long,b:long>, n long, class binary, " + ", ".join(f"m{i} long" for i in range(MIN_HASHES))
+    kind = "uid long, doc long, mark struct<a:long,b:long>, n long, class binary, sketch binary, " + ", ".join(f"m{i} long" for i in range(MIN_HASHES))
     return map_rows(rows.select("uid", "doc", "mark", "text"), run, kind)
 
 
@@ -143,12 +162,14 @@ def _prefixes(rows: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
 
 
 def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (x, y) of class numbers whose whole sets link. The sets are made anew from one text of each class.
+    """The pairs (x, y) of class numbers whose whole sets link.
+
+    Pairs whose sketches differ in more places than linked sets can are left out first. The sets are made anew from one text of each class.
 
     The members compared with an anchor y are dealt out in slices, each beside a copy of the anchor's set; a task reads
     its slices as a sorted stream and holds one anchor at a time.
     """
-    pairs = written(pairs.select("x", "y").distinct(), "pairs")
+    pairs = written(_possible(classes, pairs.select("x", "y").distinct(), rule), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes.select("cid", "mark"), "cid")
     wanted = written(wanted.select("cid", "mark.a", "mark.b"), "wanted")
     texts = rows.select("mark.a", "mark.b", "text").join(pin_small(wanted), ["a", "b"]).dropDuplicates(["cid"]).select("cid", "text")
@@ -183,6 +204,20 @@ def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -
     return written(map_rows(streams, compare, "x long, y long"), "verified")
 
 
+def _possible(classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sketches leave a link possible: linked sets differ in at most (1 - t) / (1 + t) of their tokens."""
+    own = classes.select("cid", "n", "sketch")
+    both = pairs.join(own.toDF("x", "n_x", "s_x"), "x").join(own.toDF("y", "n_y", "s_y"), "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for x, y, n, m, a, b in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+                if (100 + rule.percent) * differ(a, b) <= (100 - rule.percent) * (n + m):
+                    yield x, y
+
+    return map_rows(both, run, "x long, y long")
+
+
 def _star_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Each class beside the smallest class with the same minimum hash, where sizes allow a link."""
     out = None
@@ -196,7 +231,7 @@ def _star_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    joined = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    joined = classes.drop("sketch").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     return joined.withColumn("grp", F.coalesce("root", "cid")).drop("root")
 
 
@@ -241,7 +276,7 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     sets = written(_sets(rows, rule), "sets")
     mins = [f"m{i}" for i in range(MIN_HASHES)]
     lead = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")
-    classes = sets.where("n > 0").groupBy("class", "n", *mins).agg(F.min(lead).alias("lead"), F.min("mark").alias("mark"))
+    classes = sets.where("n > 0").groupBy("class", "n", *mins).agg(F.min(lead).alias("lead"), F.min("mark").alias("mark"), F.min("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     links = _verify(rows, classes, _star_pairs(classes, rule), rule)
     grouped = written(_labelled(classes, components(links)), "groups")
@@ -256,7 +291,7 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     final = _labelled(classes, components(links))
     roots = final.groupBy("grp").agg(F.min("lead").alias("best"))
     named = final.join(roots, "grp").select("class", "best")
-    joined = sets.join(named, "class", "left")
+    joined = sets.drop("sketch").join(named, "class", "left")
     return joined.select(
         "uid", F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("best.doc")).otherwise(F.col("doc")).alias("component_id"),

@@ -247,6 +247,16 @@ def test_jaccard_join_equals_brute_force(spark, awkward, small, rule):
     assert kept.where("coalesce(text, '') = ''").count() == 3
 
 
+def test_sketches_never_overstate_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((1, 1, 0), (40, 44, 38), (300, 257, 250), (500, 520, 10), (2000, 1800, 1700)):
+        tokens = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        a, b = np.unique(tokens[:n]), np.unique(tokens[n - common : n + m - common])
+        true = len(np.setxor1d(a, b))
+        assert jaccard_join.differ(jaccard_join.sketch(a), jaccard_join.sketch(b)) <= true
+        assert jaccard_join.differ(jaccard_join.sketch(a), jaccard_join.sketch(b)) >= 0.6 * true - 2
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (7, 7)], "x long, y long")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
