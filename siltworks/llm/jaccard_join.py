@@ -27,9 +27,9 @@ from siltworks.session import pin_small
 
 REMEMBERED = 400_000
 MIN_HASHES = 4
-# Tokens counted together in a task; those seen twice there, and this often in all, go to the end of the order.
-COUNT_TOKENS, OFTEN = 2_000_000, 16
-# As many frequent tokens as are broadcast, 8 bytes each; the others keep their place in the order.
+# Tokens counted together in a task; those seen twice there go to the end of the order, the commonest last.
+COUNT_TOKENS = 2_000_000
+# As many frequent tokens as are broadcast, 9 bytes each; the others keep their place in the order.
 FREQUENT = 1 << 20
 SLICE_MEMBERS = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -117,8 +117,8 @@ def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
     return map_rows(rows.select("uid", "doc", "mark", "text"), run, kind)
 
 
-def _frequent(rows: DataFrame, rule: Rule) -> np.ndarray:
-    """Tokens to put last: counted over all texts, those seen twice in a stretch of ``COUNT_TOKENS`` being summed up."""
+def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens to put last, sorted, and the power of two of their counts: counted over all texts, those seen twice in a stretch of ``COUNT_TOKENS`` being summed up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known, held, size = _Hashes(), [], 0
@@ -138,24 +138,26 @@ def _frequent(rows: DataFrame, rule: Rule) -> np.ndarray:
         if held:
             yield from told()
 
-    counts = map_rows(rows.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()["token"]
-    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+    counts = map_rows(rows.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
+    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], top["level"].to_numpy(np.int8)[order]
 
 
-def _prefixes(rows: DataFrame, rule: Rule, frequent: np.ndarray) -> DataFrame:
+def _prefixes(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """class and prefix tokens, in order, of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known, last = _Hashes(), shared.value
+        known, (last, levels) = _Hashes(), shared.value
         for batch in batches:
             for text in octets(batch.column(0)):
                 s = shingle_set(text, rule.shingle, known)
                 if len(s):
                     at = np.minimum(np.searchsorted(last, s), max(0, len(last) - 1))
-                    often = last[at] == s if len(last) else np.zeros(len(s), bool)
-                    order = np.concatenate([s[~often], s[often]])[: rule.prefix(len(s))]
+                    level = np.where(last[at] == s, levels[at], 0) if len(last) else np.zeros(len(s), np.int8)
+                    order = s[np.argsort(level, kind="stable")][: rule.prefix(len(s))]
                     yield xxhash.xxh128_digest(s.tobytes()), order.view(np.int64)
 
     return map_rows(rows.select("text"), run, "class binary, prefix array<long>")
