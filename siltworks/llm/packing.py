@@ -67,7 +67,12 @@ class WordIds:
 
     def _plain(self, text: str) -> bool:
         """No white space but single spaces between words and line breaks inside them, and no special token."""
-        return bool(text) and not _ODD_SPACE.search(text) and not any(s in text for s in self.special)
+        if not text or text[0].isspace() or text[-1].isspace() or any(s in text for s in self.special):
+            return False
+        if any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
+            return not _ODD_SPACE.search(text)
+        # Separators stand alone here, so any other white space would make more words than they do.
+        return len(text.split()) == text.count(" ") + text.count("\n") + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
