@@ -30,7 +30,7 @@ MIN_HASHES = 4
 # Tokens counted together in a task; those seen twice there go to the end of the order, the commonest last.
 COUNT_TOKENS = 2_000_000
 # As many frequent tokens as are broadcast, 9 bytes each; the others keep their place in the order.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 SLICE_MEMBERS = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]

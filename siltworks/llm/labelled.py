@@ -15,8 +15,8 @@ from siltworks.llm.frames import crc_fold, text_of
 class Bound:
     """At most so many rows of each class, and so many bytes of text in all, reach the driver."""
 
-    rows_per_class: int = 3000
-    text_bytes: int = 48 * 1024 * 1024
+    rows_per_class: int = 2000
+    text_bytes: int = 16 * 1024 * 1024
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: Bound, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], list[int], list[float]]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -69,22 +70,25 @@ def fit(texts: list[bytes], labels: list[int], weights: list[float], rounds: int
     if len(set(labels)) < 2:
         return SentenceModel(np.zeros(SLOTS, np.float32), float("nan"))
     number: dict[bytes, int] = {}
-    tokens, sentence_of, doc_of, seen = [], [], [], Counter()
+    tokens, sentence_of, doc_of, seen = array("i"), array("i"), array("i"), Counter()
     for d, text in enumerate(texts):
         own = set()
         for a, b in sentences(text):
             found = [number.setdefault(w, len(number)) for w in text[a:b].translate(_WORD_BYTES).split()]
-            tokens += found
-            sentence_of += [len(doc_of)] * len(found)
+            tokens.extend(found)
+            sentence_of.extend([len(doc_of)] * len(found))
             doc_of.append(d)
             own.update(found)
         seen.update(own)
-    tokens, sentence_of, doc_of = np.array(tokens, np.int64), np.array(sentence_of, np.int64), np.array(doc_of, np.int64)
-    slots = [features(w) for w in number]
-    word_of = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    slot_of = np.fromiter((x for s in slots for x in s), np.int64, len(word_of))
+    tokens, sentence_of, doc_of = (np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32) for a in (tokens, sentence_of, doc_of))
+    word_of, slot_of = array("i"), array("i")
+    for i, word in enumerate(number):
+        own = features(word)
+        slot_of.extend(own)
+        word_of.extend([i] * len(own))
+    word_of, slot_of = (np.frombuffer(a, np.int32) if len(a) else np.zeros(0, np.int32) for a in (word_of, slot_of))
     # A slot counts only if enough documents have it, so that names of a single document are not learnt by heart.
-    times = np.bincount(slot_of, np.array([seen[i] for i in range(len(slots))], float)[word_of], SLOTS)
+    times = np.bincount(slot_of, np.array([seen[i] for i in range(len(number))], float)[word_of], SLOTS)
     used = times[slot_of] >= max(4, least_share * len(texts))
     word_of, slot_of = word_of[used], slot_of[used]
     y, w = np.array(labels, float), np.array(weights, float) / len(labels)
