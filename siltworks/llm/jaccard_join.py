@@ -1,7 +1,8 @@
 """Exact Jaccard self-join of word shingle sets over a token-group matrix.
 
 Documents with the same set are one class. Similar classes are first put into groups: classes that share a minimum hash
-are compared with one leader, and verified links make the groups. The matrix then holds, for each token, the groups
+are compared with one leader, the class whose tokens are the commonest on average, as the middle of a group of copies
+has fewest words of its own; verified links make the groups. The matrix then holds, for each token, the groups
 whose union of prefix tokens has it: two sets at the threshold share a token of their prefixes, so a pair of groups
 without a common entry is never opened, and an entry counts only where sizes and positions leave room for enough
 overlap. Qualifying groups are opened by their best pair of classes first and in full only if that does not link them.
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
@@ -101,20 +103,29 @@ def _mark(text: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
 
 
-def _sets(rows: DataFrame, rule: Rule) -> DataFrame:
-    """uid, doc, mark, n, class (128 bits of the set) and minimum hashes of each row."""
+def _sets(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """uid, doc, mark, n, class (128 bits of the set), sketch, mean level and prefix of its tokens, and minimum hashes of each row."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known = _Hashes()
+        known, (last, levels) = _Hashes(), shared.value
         for batch in batches:
             carried = zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)])
             for (uid, doc, mark), text in zip(carried, octets(batch.column(3))):
                 s = shingle_set(text, rule.shingle, known)
-                mins = [int(_mix(s * seed).min().view(np.int64)) for seed in _SEEDS] if len(s) else [None] * MIN_HASHES
-                yield uid, doc, mark, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s), *mins
+                if not len(s):
+                    yield uid, doc, mark, 0, b"", b"", 0.0, [], *[None] * MIN_HASHES
+                    continue
+                level = np.zeros(len(s), np.int8)
+                if len(last):
+                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                    level = np.where(last[at] == s, levels[at], 0)
+                prefix = s[np.argsort(level, kind="stable")][: rule.prefix(len(s))]
+                mins = [int(_mix(s * seed).min().view(np.int64)) for seed in _SEEDS]
+                yield uid, doc, mark, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s), float(level.mean()), prefix.view(np.int64), *mins
 
-    kind = "uid long, doc long, mark struct<a:long,b:long>, n long, class binary, sketch binary, " + ", ".join(f"m{i} long" for i in range(MIN_HASHES))
-    return map_rows(rows.select("uid", "doc", "mark", "text"), run, kind)
+    kind = "uid long, doc long, mark struct<a:long,b:long>, n long, class binary, sketch binary, common double, prefix array<long>, "
+    return map_rows(rows.select("uid", "doc", "mark", "text"), run, kind + ", ".join(f"m{i} long" for i in range(MIN_HASHES)))
 
 
 def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -145,24 +156,6 @@ def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], top["level"].to_numpy(np.int8)[order]
 
 
-def _prefixes(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """class and prefix tokens, in order, of each row."""
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known, (last, levels) = _Hashes(), shared.value
-        for batch in batches:
-            for text in octets(batch.column(0)):
-                s = shingle_set(text, rule.shingle, known)
-                if len(s):
-                    at = np.minimum(np.searchsorted(last, s), max(0, len(last) - 1))
-                    level = np.where(last[at] == s, levels[at], 0) if len(last) else np.zeros(len(s), np.int8)
-                    order = s[np.argsort(level, kind="stable")][: rule.prefix(len(s))]
-                    yield xxhash.xxh128_digest(s.tobytes()), order.view(np.int64)
-
-    return map_rows(rows.select("text"), run, "class binary, prefix array<long>")
-
-
 def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) of class numbers whose whole sets link.
 
@@ -221,11 +214,11 @@ def _possible(classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _star_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
-    """Each class beside the smallest class with the same minimum hash, where sizes allow a link."""
+    """Each class beside the commonest class with the same minimum hash, where sizes allow a link."""
     out = None
     for i in range(MIN_HASHES):
         m = F.col(f"m{i}")
-        leaders = classes.groupBy(m.alias("m")).agg(F.min(F.struct("cid", "n")).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        leaders = classes.groupBy(m.alias("m")).agg(F.max(F.struct("common", "cid", "n")).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1")
         found = classes.select(m.alias("m"), "cid", "n").join(leaders, "m").where("cid <> l.cid")
         found = found.where(100 * F.least("n", "l.n") >= rule.percent * F.greatest("n", "l.n")).select(F.col("cid").alias("x"), F.col("l.cid").alias("y"))
         out = found if out is None else out.unionByName(found)
@@ -233,16 +226,13 @@ def _star_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    joined = classes.drop("sketch").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    joined = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     return joined.withColumn("grp", F.coalesce("root", "cid")).drop("root")
 
 
-def _matrix(rows: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+def _matrix(labelled: DataFrame) -> DataFrame:
     """Entries (token, grp) with their classes, of tokens that stand in more than one group."""
-    prefixes = _prefixes(rows, rule, _frequent(rows, rule)).dropDuplicates(["class"])
-    entries = prefixes.join(classes.select("class", "cid", "n", "grp"), "class").select("cid", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
-    from pyspark.sql import Window as W
-
+    entries = labelled.select("cid", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     over = W.partitionBy("token")
     entries = entries.withColumn("lo", F.min("grp").over(over)).withColumn("hi", F.max("grp").over(over))
     return written(entries.where("lo <> hi").select("token", "grp", "cid", "n", "pos"), "matrix")
@@ -275,25 +265,29 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(text_col).alias("text"))
     rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("mark", _mark(F.col("text")))
-    sets = written(_sets(rows, rule), "sets")
+    sets = written(_sets(rows, rule, _frequent(rows, rule)), "sets")
     mins = [f"m{i}" for i in range(MIN_HASHES)]
     lead = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")
-    classes = sets.where("n > 0").groupBy("class", "n", *mins).agg(F.min(lead).alias("lead"), F.min("mark").alias("mark"), F.min("sketch").alias("sketch"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    # What follows from the set is the same in all rows of a class.
+    same = [F.first(c).alias(c) for c in ("sketch", "common", "prefix", *mins)]
+    whole = sets.where("n > 0").groupBy("class", "n").agg(F.min(lead).alias("lead"), F.min("mark").alias("mark"), *same)
+    whole = written(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    classes = whole.drop("prefix")
     links = _verify(rows, classes, _star_pairs(classes, rule), rule)
-    grouped = written(_labelled(classes, components(links)), "groups")
-    candidates = written(_qualifying(_matrix(rows, grouped, rule), rule), "candidates")
+    roots = components(links)
+    grouped = written(_labelled(classes.drop("sketch"), roots), "groups")
+    candidates = written(_qualifying(_matrix(_labelled(whole, roots)), rule), "candidates")
     of = grouped.select("cid", "grp")
     named = candidates.join(of.toDF("x", "gx"), "x").join(of.toDF("y", "gy"), "y")
     best = named.groupBy(F.least("gx", "gy").alias("g"), F.greatest("gx", "gy").alias("h")).agg(F.max(F.struct("shared", "x", "y")).alias("p"))
     links = links.unionByName(_verify(rows, classes, best.select("p.x", "p.y"), rule))
-    of = written(_labelled(classes, components(links)), "groups").select("cid", "grp")
+    of = written(_labelled(classes.select("cid"), components(links)), "groups")
     rest = candidates.join(of.toDF("x", "gx"), "x").join(of.toDF("y", "gy"), "y").where("gx <> gy").join(best.select("p.x", "p.y"), ["x", "y"], "left_anti")
     links = links.unionByName(_verify(rows, classes, rest, rule))
-    final = _labelled(classes, components(links))
+    final = _labelled(classes.select("cid", "class", "lead"), components(links))
     roots = final.groupBy("grp").agg(F.min("lead").alias("best"))
     named = final.join(roots, "grp").select("class", "best")
-    joined = sets.drop("sketch").join(named, "class", "left")
+    joined = sets.select("uid", "doc", "n", "class").join(named, "class", "left")
     return joined.select(
         "uid", F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("best.doc")).otherwise(F.col("doc")).alias("component_id"),
