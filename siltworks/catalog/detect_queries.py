@@ -119,7 +119,13 @@ def near_duplicates_normalised(spark, sf) -> DataFrame:
     return vl.near_duplicates_normalised(table(spark, sf, "documents"), "text")
 
 
-_SKETCH = ", ".join(f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % {vl._PRIME}))" for a, b in vl._SEEDS)
+# The hash functions of the sketch, written out so that the comparison does not follow the code.
+_HASHES = (
+    (304572262, 1938672329), (2077048831, 535143864), (319740139, 501680725), (414808610, 354535317),
+    (2133449098, 2141167558), (145149928, 1913911866), (1994587971, 183052704), (493020052, 301316274),
+    (692061955, 2052187672), (1903991941, 82108813), (1777399355, 975188785), (1807215801, 375712170),
+)
+_SKETCH = ", ".join(f"list_min(list_transform(h, lambda x: (x * {a} + {b}) % 2147483647))" for a, b in _HASHES)
 
 
 @query(

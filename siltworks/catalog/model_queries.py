@@ -47,8 +47,8 @@ def plain_split(spark, sf) -> DataFrame:
 
 @query(
     f"""{ctes('orders_dirty')} select 'amount' as target, null::varchar as error, count(*) as rows, count(*) filter (where isfinite(amount)) as usable_rows, count(*) filter (where not coalesce(isfinite(amount), false)) as dropped_rows from orders_dirty
- union all select 'one_value', 'Target column ''one_value'' has only one unique value.', count(*), count(*), 0 from orders_dirty
- union all select 'nothing', 'Target column ''nothing'' not found in data.', null, null, null"""
+ union all select 'one_value', 'target ''one_value'' never varies', count(*), count(*), 0 from orders_dirty
+ union all select 'nothing', 'the table has no target column ''nothing''', null, null, null"""
 )
 def training_preflight(spark, sf) -> DataFrame:
     df = view(spark, sf, "orders_dirty").withColumn("one_value", F.lit(1))

@@ -235,7 +235,7 @@ def transcripts(spark, sf) -> DataFrame:
 
 
 @query(
-    """select cast(month(o_orderdate) as integer) as pass_number, '  Pass ' || month(o_orderdate) || ': ' || count(*) filter (where o_orderstatus = 'F') || ' violations found, ' || count(distinct o_orderpriority) || ' steps executed, ' || count(*) || ' rows remaining' as line
+    """select cast(month(o_orderdate) as integer) as pass_number, 'pass ' || month(o_orderdate) || ': findings ' || count(*) filter (where o_orderstatus = 'F') || ', steps ' || count(distinct o_orderpriority) || ', rows left ' || count(*) as line
  from orders group by 1, month(o_orderdate)"""
 )
 def history_lines(spark, sf) -> DataFrame:

@@ -45,6 +45,14 @@ def csv_round_trip(spark, sf) -> DataFrame:
     return readers.read_csv(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("select cast(doc_id as varchar) as doc_id, case when text not in ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None', 'n/a', '#N/A', '<NA>') then text end as text from documents")
+def csv_line_breaks(spark, sf) -> DataFrame:
+    """Whole texts, line breaks, quotes and all, out to delimited text and back."""
+    path = scratch_path(spark, "documents-csv")
+    writers.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return readers.read_csv(spark, path, ["doc_id", "text"])
+
+
 @query("select o_orderstatus, o_orderkey, round(o_totalprice, 2) as o_totalprice from orders")
 def parquet_round_trip(spark, sf) -> DataFrame:
     path = scratch_path(spark, "orders-parquet")

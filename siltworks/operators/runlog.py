@@ -300,5 +300,5 @@ def history_lines(history: DataFrame) -> DataFrame:
     """One readable line per pass."""
     return history.select(
         "pass_number",
-        F.format_string("  Pass %d: %d violations found, %d steps executed, %d rows remaining", "pass_number", "violations_found", "steps_executed", "rows_after").alias("line"),
+        F.format_string("pass %d: findings %d, steps %d, rows left %d", "pass_number", "violations_found", "steps_executed", "rows_after").alias("line"),
     )

@@ -59,9 +59,9 @@ def preflight(df: DataFrame, target: str | None) -> DataFrame:
     spark = df.sparkSession
     schema = "error string, rows long, usable_rows long, dropped_rows long"
     if target is None:
-        return spark.createDataFrame([("No target column specified.", None, None, None)], schema)
+        return spark.createDataFrame([("no target named", None, None, None)], schema)
     if target not in df.columns:
-        return spark.createDataFrame([(f"Target column '{target}' not found in data.", None, None, None)], schema)
+        return spark.createDataFrame([(f"the table has no target column '{target}'", None, None, None)], schema)
     c = quoted(target)
     wide = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -70,9 +70,9 @@ def preflight(df: DataFrame, target: str | None) -> DataFrame:
     )
     rows, usable = F.col("rows"), F.col("usable_rows")
     error = (
-        F.when(rows < MIN_ROWS, F.concat(F.lit("Too few rows to train ("), rows.cast("string"), F.lit(f"). Need at least {MIN_ROWS}.")))
-        .when(~F.col("varies"), f"Target column '{target}' has only one unique value.")
-        .when(usable < MIN_ROWS, F.concat(F.lit("Too few rows after dropping NaN/inf in target ("), usable.cast("string"), F.lit(f"). Need at least {MIN_ROWS}.")))
+        F.when(rows < MIN_ROWS, F.concat(rows.cast("string"), F.lit(f" rows where training takes {MIN_ROWS}")))
+        .when(~F.col("varies"), f"target '{target}' never varies")
+        .when(usable < MIN_ROWS, F.concat(usable.cast("string"), F.lit(f" rows with a finite target where training takes {MIN_ROWS}")))
     )
     return wide.select(error.alias("error"), "rows", "usable_rows", (rows - usable).alias("dropped_rows"))
 

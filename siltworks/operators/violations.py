@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from siltworks.functions.dates import format_hits, matched_format, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import row_digest
-from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity_flag, number_of
+from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity_flag, number_of, unit_number
 from siltworks.functions.strings import NULL_TOKENS, normalised_text
 from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC, inferred_map, quoted
 from siltworks.operators.profiling import SENTINEL_SHARE, SENTINELS
@@ -27,7 +27,7 @@ SSN_RE = r"(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}([^0-9]|$)"
 PII_PATTERNS = {"email": EMAIL_RE, "phone": PHONE_RE, "ssn": SSN_RE}
 PII_NAMES = ("email", "phone", "ssn", "address", "first_name", "last_name", "full_name")
 # Shares and sizes that decide a finding.
-PII_SHARE, FORMAT_SHARE, ID_FACTOR, SMALL_ROWS, UNIT_SHARE = 0.5, 0.9, 0.9, 500, 0.01
+PII_SHARE, FORMAT_SHARE, ID_FACTOR, SMALL_ROWS, UNIT_SHARE, MEASURED_SHARE = 0.5, 0.9, 0.9, 500, 0.01, 0.6
 TARGETS_LISTED = 5
 
 VIOLATION_SCHEMA = (
@@ -53,7 +53,10 @@ class Rules:
 
 @dataclass
 class Check:
-    """One thing to count, and what it means when the count reaches its share of the base."""
+    """One thing to count, and what it means when the count reaches its share of the base.
+
+    With a ``gate``, a condition and a share, it means so only where the condition reaches that share too; with ``below``, only where it does not.
+    """
 
     category: str
     severity: str
@@ -64,6 +67,8 @@ class Check:
     subtype: str | None = None
     base: Column | None = None
     share: float = 0.0
+    gate: tuple[Column, float] | None = None
+    below: bool = False
 
 
 def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
@@ -75,6 +80,12 @@ def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
     for i, c in enumerate(checks):
         aggs += [F.count_if(F.coalesce(c.hit, F.lit(False))).alias(f"h{i}"), F.count_if(c.base if c.base is not None else F.lit(True)).alias(f"b{i}")]
         hits, base = F.col(f"h{i}"), F.col(f"b{i}")
+        fires = (hits > 0) & (hits >= F.lit(c.share) * base)
+        if c.gate is not None:
+            condition, least = c.gate
+            aggs.append(F.count_if(F.coalesce(condition, F.lit(False))).alias(f"g{i}"))
+            reached = F.col(f"g{i}") >= F.lit(least) * base
+            fires = fires & (~reached if c.below else reached)
         structs.append(
             F.struct(
                 F.lit(i).alias("position"),
@@ -86,7 +97,7 @@ def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
                 F.concat(hits.cast("string"), F.lit(" of "), base.cast("string"), F.lit(" rows")).alias("evidence"),
                 F.lit(c.action).alias("suggested_action"),
                 hits.alias("n_rows"),
-                ((hits > 0) & (hits >= F.lit(c.share) * base)).alias("fires"),
+                fires.alias("fires"),
             )
         )
     found = df.agg(*aggs).select(F.explode(F.filter(F.array(*structs), lambda s: s["fires"])).alias("s")).select("s.*")
@@ -134,7 +145,11 @@ def custom_checks(rules: Rules) -> list[Check]:
 
 
 def type_checks(df: DataFrame, types: dict[str, str]) -> list[Check]:
-    """Numbers or dates stored as text; numbers that carry a unit."""
+    """Numbers or dates stored as text; numbers that carry a unit.
+
+    Units are to be taken out only where most values are numbers, with a unit or without; a column of codes, some of
+    which look like ``12B``, is only told of.
+    """
     out = []
     for f in df.schema.fields:
         if not isinstance(f.dataType, T.StringType):
@@ -142,7 +157,11 @@ def type_checks(df: DataFrame, types: dict[str, str]) -> list[Check]:
         c, kind = quoted(f.name), types[f.name]
         if kind != CATEGORICAL:
             out.append(Check("TYPE_ERROR", CRITICAL, [f.name], c.isNotNull(), f"{f.name} is {kind} but stored as text", f"cast {f.name}", subtype="STORED_AS_TEXT", base=c.isNotNull()))
-        out.append(Check("TYPE_ERROR", CRITICAL, [f.name], c.rlike(UNIT_NUMBER_RE), f"{f.name} holds numbers with a unit", f"extract the number in {f.name}", subtype="UNIT_SUFFIX", base=c.isNotNull(), share=UNIT_SHARE))
+        measured = (unit_number(c).isNotNull(), MEASURED_SHARE)
+        united = {"subtype": "UNIT_SUFFIX", "base": c.isNotNull(), "share": UNIT_SHARE, "gate": measured}
+        out.append(Check("TYPE_ERROR", CRITICAL, [f.name], c.rlike(UNIT_NUMBER_RE), f"{f.name} holds numbers with a unit", f"extract the number in {f.name}", **united))
+        if kind == CATEGORICAL:
+            out.append(Check("TYPE_ERROR", INFO, [f.name], c.rlike(UNIT_NUMBER_RE), f"{f.name} holds a few texts that look like numbers with a unit", "none", below=True, **united))
     return out
 
 
@@ -265,9 +284,22 @@ def near_duplicates_normalised(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-# Multipliers and offsets of the sketch's hash family, modulo a Mersenne prime.
+# Multiplier and offset of each hash function of the sketch, drawn independently, modulo a Mersenne prime.
 _PRIME = 2_147_483_647
-_SEEDS = tuple((1_103_515_245 * (i + 1) % _PRIME, 12_345 * (i + 7) % _PRIME) for i in range(12))
+_SEEDS = (
+    (304_572_262, 1_938_672_329),
+    (2_077_048_831, 535_143_864),
+    (319_740_139, 501_680_725),
+    (414_808_610, 354_535_317),
+    (2_133_449_098, 2_141_167_558),
+    (145_149_928, 1_913_911_866),
+    (1_994_587_971, 183_052_704),
+    (493_020_052, 301_316_274),
+    (692_061_955, 2_052_187_672),
+    (1_903_991_941, 82_108_813),
+    (1_777_399_355, 975_188_785),
+    (1_807_215_801, 375_712_170),
+)
 SHINGLE_WORDS, BAND_ROWS = 3, 3
 
 

@@ -47,6 +47,8 @@ def propose(found: list[Row], rules: Rules, types: dict[str, str], columns: list
         column = names[0] if names else None
         if kind == PERSONAL and column != rules.target:
             add("DROP_COLUMN", "drop_columns", column, {}, v)
+        elif kind == "TYPE_ERROR" and subtype == "UNIT_SUFFIX" and v["severity"] != CRITICAL:
+            continue
         elif kind == "TYPE_ERROR" and subtype == "UNIT_SUFFIX" and types[column] != "Datetime":
             add("CUSTOM_CODE", "extract_units", column, {}, v)
         elif kind == "TYPE_ERROR" and types[column] == "Numeric":

@@ -21,11 +21,13 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True).columns
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, keep_corrupt: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, keep_corrupt: bool = False, multi_line: bool = True) -> DataFrame:
     """Delimited text with a header, every column a string.
 
     Types are the profile's business: an explicit all-string schema spares the extra scan of schema inference. Texts
     that stand for a missing value become null. With ``keep_corrupt`` malformed lines stay visible in their own column.
+    Quoted values may hold line breaks; a file is then read by one task, so a large table comes as many files. Where no
+    value has a line break, ``multi_line=False`` splits files too.
     """
     names = columns or csv_header(spark, path)
     fields = [T.StructField(n, T.StringType()) for n in names]
@@ -33,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, k
         fields.append(T.StructField(CORRUPT, T.StringType()))
     reader = spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "PERMISSIVE")
     reader = reader.option("enforceSchema", False) if not keep_corrupt else reader
-    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", False).option("escape", '"')
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).option("escape", '"')
     df = reader.csv(path)
     # The texts a delimited file may use for a missing value on reading.
     defaults = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from siltworks.operators import investigate as iv
 from siltworks.operators.splitting import check_schema_drift, drop_declared
 from siltworks.operators.training import detect_problem_type, fit_best, permutation_importance, preflight, problem_type, score
+from siltworks.operators.violations import Rules
 from siltworks.plans import feature_rounds as fr
 from siltworks.plans.feature_rounds import FeatureStep
+from siltworks.plans.passes import clean_in_passes
 from siltworks.plans.recipe import RecipeError, Step, apply, lint, ordered, replay
 from siltworks.session import cut_lineage
 
@@ -150,12 +152,12 @@ def test_drift_and_declared_columns(table):
 
 def test_preflight_order(spark, table):
     first = lambda df, t: preflight(df, t).first()["error"]
-    assert first(table, None) == "No target column specified."
-    assert first(table, "zz") == "Target column 'zz' not found in data."
-    assert first(table, "x").startswith("Too few rows to train (4)")
+    assert first(table, None) == "no target named"
+    assert first(table, "zz") == "the table has no target column 'zz'"
+    assert first(table, "x").startswith("4 rows where")
     many = spark.range(20).selectExpr("cast(1 as double) as one", "case when id < 9 then id * 1.0D end as few", "cast(id as double) as good")
-    assert "only one unique value" in first(many, "one")
-    assert first(many, "few").startswith("Too few rows after dropping NaN/inf in target (9)")
+    assert "never varies" in first(many, "one")
+    assert first(many, "few").startswith("9 rows with a finite target")
     assert first(many, "good") is None
 
 
@@ -175,3 +177,12 @@ def test_a_model_learns_and_knows_why(spark):
     assert len(model.leaderboard) == 3 and model.rows == 420 and model.labels == ["no", "yes"]
     importance = permutation_importance(model, val, "id")
     assert max(importance, key=importance.get) == "signal" and abs(importance["noise"]) < 0.2
+
+
+def test_passes_leave_codes_alone(spark):
+    codes = spark.range(1000).selectExpr("id", "case when id % 50 = 0 then concat(id, 'B') else concat('part-', id) end as code", "concat(id, case when id % 3 = 0 then ' kg' else '' end) as weight")
+    result = clean_in_passes(codes, Rules())
+    kept = result.table.selectExpr("count(code) as codes", "count(weight) as weights", "sum(weight) as total").first()
+    assert (kept["codes"], kept["weights"], kept["total"]) == (1000, 1000, 499500.0)
+    told = result.violations.where("affected_columns[0] = 'code' and subtype = 'UNIT_SUFFIX'").collect()
+    assert [(v["severity"], v["n_rows"]) for v in told] == [("INFO", 20)]
