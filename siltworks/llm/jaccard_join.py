@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -99,22 +99,18 @@ def differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(one ^ two).sum())
 
 
-def _mark(text: Column) -> Column:
-    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
-
-
 def _sets(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """uid, doc, mark, n, class (128 bits of the set), sketch, mean level and prefix of its tokens, and minimum hashes of each row."""
+    """uid, doc, n, class (128 bits of the set), sketch, mean level and prefix of its tokens, and minimum hashes of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known, (last, levels) = _Hashes(), shared.value
         for batch in batches:
-            carried = zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)])
-            for (uid, doc, mark), text in zip(carried, octets(batch.column(3))):
+            uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for uid, doc, text in zip(uids, ids, octets(batch.column(2))):
                 s = shingle_set(text, rule.shingle, known)
                 if not len(s):
-                    yield uid, doc, mark, 0, b"", b"", 0.0, [], *[None] * MIN_HASHES
+                    yield uid, doc, 0, b"", b"", 0.0, [], *[None] * MIN_HASHES
                     continue
                 level = np.zeros(len(s), np.int8)
                 if len(last):
@@ -122,10 +118,10 @@ def _sets(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray])
                     level = np.where(last[at] == s, levels[at], 0)
                 prefix = s[np.argsort(level, kind="stable")][: rule.prefix(len(s))]
                 mins = [int(_mix(s * seed).min().view(np.int64)) for seed in _SEEDS]
-                yield uid, doc, mark, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s), float(level.mean()), prefix.view(np.int64), *mins
+                yield uid, doc, len(s), xxhash.xxh128_digest(s.tobytes()), sketch(s), float(level.mean()), prefix.view(np.int64), *mins
 
-    kind = "uid long, doc long, mark struct<a:long,b:long>, n long, class binary, sketch binary, common double, prefix array<long>, "
-    return map_rows(rows.select("uid", "doc", "mark", "text"), run, kind + ", ".join(f"m{i} long" for i in range(MIN_HASHES)))
+    kind = "uid long, doc long, n long, class binary, sketch binary, common double, prefix array<long>, "
+    return map_rows(rows.select("uid", "doc", "text"), run, kind + ", ".join(f"m{i} long" for i in range(MIN_HASHES)))
 
 
 def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -159,42 +155,33 @@ def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (x, y) of class numbers whose whole sets link.
 
-    Pairs whose sketches differ in more places than linked sets can are left out first. The sets are made anew from one text of each class.
+    Pairs whose sketches differ in more places than linked sets can are left out first. The sets are made anew, where
+    they are compared, from the text of the leading row of each class.
 
-    The members compared with an anchor y are dealt out in slices, each beside a copy of the anchor's set; a task reads
+    The members compared with an anchor y are dealt out in slices, each beside a copy of the anchor's text; a task reads
     its slices as a sorted stream and holds one anchor at a time.
     """
     pairs = written(_possible(classes, pairs.select("x", "y").distinct(), rule), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes.select("cid", "mark"), "cid")
-    wanted = written(wanted.select("cid", "mark.a", "mark.b"), "wanted")
-    texts = rows.select("mark.a", "mark.b", "text").join(pin_small(wanted), ["a", "b"]).dropDuplicates(["cid"]).select("cid", "text")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known = _Hashes()
-        for batch in batches:
-            for cid, text in zip(batch.column(0).to_pylist(), octets(batch.column(1))):
-                yield cid, np.sort(shingle_set(text, rule.shingle, known).view(np.int64))
-
-    sets = map_rows(texts, shingled, "cid long, tokens array<long>")
     slices = pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / SLICE_MEMBERS).alias("slices"))
     dealt = pairs.join(slices, "y").select("x", "y", F.pmod(F.xxhash64("x"), "slices").alias("slice"))
-    # Every set is fetched by one join: members by x, anchors by y once for each slice.
     need = dealt.select(F.col("x").alias("cid"), "y", "slice", F.lit(1).alias("member"))
     need = need.unionByName(dealt.select(F.col("y").alias("cid"), "y", "slice", F.lit(0).alias("member")).distinct())
-    streams = need.join(sets, "cid").repartition("y", "slice").sortWithinPartitions("y", "slice", "member").select("y", "slice", "member", "cid", "tokens")
+    need = written(need.join(classes.select("cid", F.col("lead.uid").alias("uid")), "cid"), "wanted")
+    texts = rows.select("uid", "text").join(pin_small(need), "uid").select("y", "slice", "member", "cid", "text")
+    streams = texts.repartition("y", "slice").sortWithinPartitions("y", "slice", "member")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        anchor = np.zeros(0, np.int64)
+        known, anchor = _Hashes(), np.zeros(0, np.uint64)
         for batch in batches:
-            y, member, cid, tokens = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
-            for i in range(batch.num_rows):
-                own = tokens[i].values.to_numpy(zero_copy_only=False)
-                if not member[i]:
+            ys, members, cids = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            for y, member, cid, text in zip(ys, members, cids, octets(batch.column(4))):
+                own = shingle_set(text, rule.shingle, known)
+                if not member:
                     anchor = own
                 elif len(anchor) and len(own):
                     at = np.minimum(np.searchsorted(anchor, own), len(anchor) - 1)
                     if rule.links(int((anchor[at] == own).sum()), len(anchor), len(own)):
-                        yield cid[i], y[i]
+                        yield cid, y
 
     return written(map_rows(streams, compare, "x long, y long"), "verified")
 
@@ -215,14 +202,12 @@ def _possible(classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 def _star_pairs(classes: DataFrame, rule: Rule) -> DataFrame:
     """Each class beside the commonest class with the same minimum hash, where sizes allow a link."""
-    out = None
-    for i in range(MIN_HASHES):
-        m = F.col(f"m{i}")
-        leaders = classes.groupBy(m.alias("m")).agg(F.max(F.struct("common", "cid", "n")).alias("l"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        found = classes.select(m.alias("m"), "cid", "n").join(leaders, "m").where("cid <> l.cid")
-        found = found.where(100 * F.least("n", "l.n") >= rule.percent * F.greatest("n", "l.n")).select(F.col("cid").alias("x"), F.col("l.cid").alias("y"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    mins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in range(MIN_HASHES)])).alias("k")
+    dealt = classes.select("cid", "n", "common", mins).select("k.i", "k.m", "cid", "n", "common")
+    leaders = dealt.groupBy("i", "m").agg(F.max(F.struct("common", "cid", "n")).alias("l"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    found = dealt.select("i", "m", "cid", "n").join(leaders, ["i", "m"]).where("cid <> l.cid")
+    found = found.where(100 * F.least("n", "l.n") >= rule.percent * F.greatest("n", "l.n"))
+    return found.select(F.col("cid").alias("x"), F.col("l.cid").alias("y"))
 
 
 def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -264,13 +249,13 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     ``df`` is to be a table that reads the same twice. Other columns are not read; an empty table gives no rows.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("mark", _mark(F.col("text")))
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
     sets = written(_sets(rows, rule, _frequent(rows, rule)), "sets")
     mins = [f"m{i}" for i in range(MIN_HASHES)]
     lead = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")
     # What follows from the set is the same in all rows of a class.
     same = [F.first(c).alias(c) for c in ("sketch", "common", "prefix", *mins)]
-    whole = sets.where("n > 0").groupBy("class", "n").agg(F.min(lead).alias("lead"), F.min("mark").alias("mark"), *same)
+    whole = sets.where("n > 0").groupBy("class", "n").agg(F.min(lead).alias("lead"), *same)
     whole = written(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
     classes = whole.drop("prefix")
     links = _verify(rows, classes, _star_pairs(classes, rule), rule)

@@ -6,10 +6,10 @@ threshold get an exact distinct count; lines on at least ``min_sites`` sites are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.llm.frames import text_of, written
+from siltworks.llm.frames import text_mark, text_of, written
 
 MIN_SITES = 10
 # A sketch of 2^10 slots errs by about 3 %; everything within these factors of the threshold is counted exactly.
@@ -18,11 +18,6 @@ SKETCH_LG, NEAR_LOW, NEAR_HIGH = 10, 0.7, 1.4
 MOST_CUT = 0.5
 
 
-def _mark(text: Column) -> Column:
-    """128 bits of a text."""
-    return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text).alias("b"))
-
-
 def boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Marks of the lines that stand on at least ``min_sites`` distinct sites, as rows of (line).
 
@@ -31,7 +26,7 @@ def boilerplate_lines(df: DataFrame, text_col: str = "text", site_col: str = "so
     """
     lines = F.array_distinct(F.transform(F.split(text_of(text_col), "\n"), lambda x: F.trim(x)))
     rows = df.select(F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\0null")).alias("site"), F.explode(F.filter(lines, lambda x: x != "")).alias("x"))
-    rows = rows.select("site", _mark(F.col("x")).alias("line"))
+    rows = rows.select("site", text_mark(F.col("x")).alias("line"))
     sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", SKETCH_LG).alias("s"))
     spread = written(sketches.select("line", F.hll_sketch_estimate("s").alias("n")).where(F.col("n") >= min_sites * NEAR_LOW), "line-spread")
     far = spread.where(F.col("n") > min_sites * NEAR_HIGH).select("line")
@@ -49,14 +44,14 @@ def dedup_lines(df: DataFrame, text_col: str = "text", site_col: str = "source",
     marks = boilerplate_lines(df, text_col, site_col, min_sites)
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
     text = F.col(inner[text_col])
-    rows = df.toDF(*inner.values()).withColumn("doc", _mark(F.coalesce(text.cast("string"), F.lit(""))))
-    found = rows.select("doc", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: _mark(F.trim(x))))).alias("line"))
+    rows = df.toDF(*inner.values()).withColumn("doc", text_mark(F.coalesce(text.cast("string"), F.lit(""))))
+    found = rows.select("doc", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), lambda x: text_mark(F.trim(x))))).alias("line"))
     cut = found.join(marks, "line").groupBy("doc").agg(F.collect_set("line").alias("cut"))
     joined = rows.join(cut, "doc", "left")
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("cut"), _mark(F.trim(x))))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("cut"), text_mark(F.trim(x))))
     left = F.array_join(kept, "\n")
-    cut_chars = F.aggregate(F.filter(lines, lambda x: F.array_contains(F.col("cut"), _mark(F.trim(x)))), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    cut_chars = F.aggregate(F.filter(lines, lambda x: F.array_contains(F.col("cut"), text_mark(F.trim(x)))), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     acts = F.col("cut").isNotNull() & (cut_chars <= F.length(text) * F.lit(most_cut))
     out = [F.when(acts, left).otherwise(text).alias(c) if c == text_col else F.col(i).alias(c) for c, i in inner.items()]
     if report:
