@@ -392,6 +392,26 @@ def test_repeated_passages_are_found_and_others_are_not(spark, awkward):
     assert substring_dedup.repeats(awkward.limit(0)).count() == 0
 
 
+def test_one_edited_word_anywhere_keeps_a_passage():
+    rule, known = substring_dedup.Passages(), jaccard_join._Hashes()
+
+    def row(words):
+        return substring_dedup.shingle_row(" ".join(words).encode(), rule.shingle, known)
+
+    for n in range(50, 75):
+        passage = prose(n, 6000 + n)
+        before, after = prose(40, 6100 + n), prose(40, 6200 + n)
+        for i in range(n):
+            near = passage[:i] + ["edited"] + passage[i + 1 :]
+            x, y = row(before + passage + after), row(prose(25, 6300 + n) + near + prose(60, 6400 + n))
+            seed = i + 1 if i < n // 2 else 0
+            got = substring_dedup.passages(x, y, [(40 + seed, 25 + seed)], rule)
+            assert len(got) == 1, (n, i)
+            a, b, c, d, similarity = got[0]
+            assert min(b - a, d - c) >= rule.width and similarity >= 0.8 and abs(a - 40) <= 12 and abs(b + 4 - 40 - n) <= 12
+    assert not substring_dedup.passages(row(before + passage[:44] + after), row(after + passage[:44] + before), [(45, 45)], rule)
+
+
 def test_window_positions_are_the_wide_nodes_of_the_tree():
     rng = np.random.default_rng(2)
     for n, width in ((5, 8), (40, 8), (200, 23)):
