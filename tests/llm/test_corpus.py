@@ -392,6 +392,20 @@ def test_repeated_passages_are_found_and_others_are_not(spark, awkward):
     assert substring_dedup.repeats(awkward.limit(0)).count() == 0
 
 
+def test_exact_repeats_are_paired_whatever_else_has_their_windows(spark):
+    rows, wanted = [], set()
+    for i in range(24):
+        passage = prose(52, 7000 + i)
+        # The first text has a part of the passage only, too little to be one.
+        for k, words in enumerate((passage[4:44], passage, passage)):
+            own = prose(120, 7100 + 3 * i + k)
+            rows.append((3 * i + k, " ".join(own[: 30 + k] + words + own[30 + k :]), "a"))
+        wanted.add((3 * i + 2, 3 * i + 1))
+    got = substring_dedup.repeats(docs_of(spark, rows).coalesce(1)).collect()
+    assert {(r["doc_id"], r["match_id"]) for r in got} >= wanted
+    assert all(r["doc_id"] // 3 == r["match_id"] // 3 for r in got)
+
+
 def test_one_edited_word_anywhere_keeps_a_passage():
     rule, known = substring_dedup.Passages(), jaccard_join._Hashes()
 
