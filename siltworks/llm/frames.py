@@ -27,6 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str = "uid") -> DataFrame:
+    """``df`` written once with a number for each row in ``column``: every later pass reads the same number beside a row."""
+    return written(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def text_of(name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
-from siltworks.llm.frames import map_rows, octets, text_of, written
+from siltworks.llm.frames import map_rows, numbered, octets, text_of, written
 from siltworks.session import pin_small
 
 REMEMBERED = 400_000
@@ -246,10 +246,13 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     of word shingles is at least the threshold, decided on whole sets; component_id is the smallest identifier that links
     lead to. Null and empty texts have no shingles, link with nothing and are their own component. Null identifiers are
     the smallest of nothing; ``first`` marks one row of each component, the one with the smallest identifier, nulls last.
-    ``df`` is to be a table that reads the same twice. Other columns are not read; an empty table gives no rows.
+    ``df`` is read once and its rows are numbered as written. Other columns are not read; an empty table gives no rows.
     """
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    return _groups(numbered(df.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text_of(text_col).alias("text")), "rows"), rule)
+
+
+def _groups(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``similar_groups`` of written rows (uid, doc, text)."""
     sets = written(_sets(rows, rule, _frequent(rows, rule)), "sets")
     mins = [f"m{i}" for i in range(MIN_HASHES)]
     lead = F.struct(F.col("doc").isNull().alias("none"), "doc", "uid")
@@ -282,7 +285,8 @@ def similar_groups(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
 
 def drop_similar(df: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one row of each component, the first; columns and row order within tasks stay as they are."""
-    gone = similar_groups(df, rule, id_col, text_col).where(~F.col("first")).select(F.col("uid").alias("_uid"))
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    rows = df.toDF(*inner.values()).withColumn("_uid", F.monotonically_increasing_id())
+    rows = numbered(df.toDF(*inner.values()), "rows", "_uid")
+    own = rows.select(F.col("_uid").alias("uid"), F.col(inner[id_col]).cast("long").alias("doc"), text_of(inner[text_col]).alias("text"))
+    gone = _groups(own, rule).where(~F.col("first")).select(F.col("uid").alias("_uid"))
     return rows.join(pin_small(written(gone, "gone")), "_uid", "left_anti").select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.llm.frames import fresh, map_rows, octets, text_of
+from siltworks.llm.frames import fresh, map_rows, numbered, octets, text_of
 from siltworks.session import pin_small, scratch_path
 
 LEAST_REVISIT = 100
@@ -65,7 +65,7 @@ def write_archives(pages: DataFrame, root: str | None = None, id_col: str = "pag
     spark = pages.sparkSession
     root = root or scratch_path(spark, "warc")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").cast("string").alias("url"), text_of(html_col).alias("html"))
-    rows = rows.withColumn("copy", F.monotonically_increasing_id()).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    rows = numbered(rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)), "pages", "copy")
     one = F.struct(F.col("page").isNull().alias("none"), "page", "copy")
     seen = rows.where(F.octet_length("html") >= least_revisit).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("first"))
     twice = pin_small(seen.where("n > 1").select("digest", "first.page", "first.copy").toDF("digest", "first_page", "first_copy"))

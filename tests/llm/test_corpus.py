@@ -392,6 +392,33 @@ def test_repeated_passages_are_found_and_others_are_not(spark, awkward):
     assert substring_dedup.repeats(awkward.limit(0)).count() == 0
 
 
+def test_rows_keep_their_numbers_when_scans_differ(spark, tmp_path):
+    import pyarrow as pa
+
+    text = " ".join(prose(120, 8000))
+    rows = [(i, text if i in (3, 17, 30) else text + " " + " ".join(prose(12, 8001)) if i == 25 else " ".join(prose(120, 8002 + i)), "a") for i in range(40)]
+
+    def mixed(batches):
+        held = pa.Table.from_batches(list(batches))
+        yield from held.take(np.random.default_rng().permutation(held.num_rows)).to_batches()
+
+    # Rows come in another order in every scan, as they do when splits are cut anew for other executors.
+    df = docs_of(spark, rows).coalesce(1)
+    df = df.mapInArrow(mixed, df.schema)
+    groups = jaccard_join.similar_groups(df, jaccard_join.Rule()).collect()
+    assert {r["doc_id"]: r["component_id"] for r in groups} == {i: 3 if i in (3, 17, 25, 30) else i for i in range(40)}
+    kept = jaccard_join.drop_similar(df).collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i in range(40) if i not in (17, 25, 30)]
+    got = substring_dedup.repeats(df).collect()
+    found = {r["doc_id"] for r in got} | {r["match_id"] for r in got}
+    assert found == {3, 17, 25, 30}
+    texts = sorted(r["text"] for r in substring_dedup.cut_repeats(df).collect() if r["doc_id"] in (3, 17, 25, 30))
+    assert sum(t.count(text[:200]) for t in texts) == 1
+    index = warc.write_archives(df.selectExpr("doc_id as page_id", "source as url", "text as html"), str(tmp_path / "w"), id_col="page_id")
+    pages = {r["page_id"]: r for r in warc.read_records(index, str(tmp_path / "w")).collect()}
+    assert pages[3]["record_type"] == "response" and all(pages[i]["refers_to"] == 3 for i in (17, 30))
+
+
 def test_exact_repeats_are_paired_whatever_else_has_their_windows(spark):
     rows, wanted = [], set()
     for i in range(24):
