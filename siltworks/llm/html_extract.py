@@ -25,7 +25,11 @@ from siltworks.llm.frames import map_rows, octets, text_of
 SAMPLE_PAGES, SAMPLE_BYTES = 200, 8 * 1024 * 1024
 NEXT_EDGE, PARENT_EDGE = 0.6, 0.4
 
-RAW = frozenset("script style noscript template iframe object svg math head title textarea select canvas audio video".split())
+# What stands in these is left out up to their end tag; without one, to the end of the page only where it is raw text.
+SKIPPED = frozenset("script style noscript template iframe object svg math title textarea select canvas audio video".split())
+RAW = frozenset("script style noscript iframe title textarea".split())
+# Any other start tag, and text, closes a head that has no end tag.
+IN_HEAD = SKIPPED | frozenset("base basefont bgsound link meta noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -84,6 +88,7 @@ def blocks(page: str) -> list[Block]:
     stack = [_Element("", 0, 0)]
     pieces: list[str] = []
     linked, links, number, at = 0, 0, 0, 0
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -98,6 +103,8 @@ def blocks(page: str) -> list[Block]:
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
+            if stack[-1].tag == "head" and raw.strip():
+                pop("head")
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             linked += len(text) if links else 0
@@ -123,9 +130,15 @@ def blocks(page: str) -> list[Block]:
         if ending:
             if any(e.tag == tag for e in stack):
                 pop(tag)
-        elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            pop("head")
+        if tag in SKIPPED:
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end or tag in RAW:
+                at = end.end() if end else len(page)
+            else:
+                endless.add(tag)
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
             if tag in ENDS_P and any(e.tag == "p" for e in stack):
                 pop("p")

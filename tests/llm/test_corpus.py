@@ -110,6 +110,16 @@ def test_html_given_pages_equal_their_articles(spark, small):
         assert r["text"] == " ".join(entities.unescape(plain).split())
 
 
+def test_html_without_end_of_head():
+    body = "<article><h1>Title here</h1><p>Some long text about things that are important in life.</p></article></html>"
+    want = "Title here Some long text about things that are important in life."
+    for head in ("<head><title>x</title><meta a=b><script>var y = '<p>';</script>", "<head><title>x</title></head>", "<head>", "<head><style>p {}</style><link rel=x><!-- c -->\n"):
+        for start in ("<body>", ""):
+            assert html_extract.main_text(f"<!doctype html><html>{head}{start}{body}", html_extract.PRIOR)[0] == want
+    assert html_extract.main_text(f"<html><body><video src=a><svg>{body}", html_extract.PRIOR)[0] == want
+    assert html_extract.main_text(f"<html><body>{body}<script>var z = 1; <p>never text", html_extract.PRIOR)[0] == want
+
+
 def test_minimum_cut_is_the_least_labelling():
     rng = random.Random(3)
     for _ in range(120):
