@@ -143,7 +143,12 @@ def score(df: DataFrame, model: QualityModel, keys: list[str], text_col: str = "
 
 
 def keep_good(df: DataFrame, model: QualityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``df`` without rows that score below ``threshold``; columns, nulls and repeated rows stay as they are."""
+    """``df`` without rows that score below ``threshold``; columns, nulls and repeated rows stay as they are.
+
+    A model that had nothing to learn from judges no row: all stay.
+    """
+    if not model.weights.any():
+        return df
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
     scored = score(df.toDF(*inner.values()), model, list(inner.values()), inner[text_col])
     return scored.where(F.col("score") >= threshold).select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -49,6 +49,11 @@ class SentenceModel:
     weights: np.ndarray
     bias: float
 
+    @property
+    def learnt(self) -> bool:
+        """Whether there were both classes to learn from."""
+        return self.bias == self.bias
+
     def word_weight(self, word: bytes) -> float:
         return float(self.weights[features(word)].sum())
 
@@ -152,7 +157,12 @@ def score(df: DataFrame, model: SentenceModel, keys: list[str], text_col: str =
 
 
 def drop_toxic(df: DataFrame, model: SentenceModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose score reaches ``threshold``; columns, nulls and repeated rows stay as they are."""
+    """``df`` without the rows whose score reaches ``threshold``; columns, nulls and repeated rows stay as they are.
+
+    A model that had nothing to learn from judges no row: all stay.
+    """
+    if not model.learnt:
+        return df
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
     scored = score(df.toDF(*inner.values()), model, list(inner.values()), inner[text_col])
     return scored.where(F.col("score") < threshold).select(*[F.col(i).alias(c) for c, i in inner.items()])

@@ -183,6 +183,30 @@ def test_toxicity_learns_sentences_and_names_them(spark):
     assert kept.columns == docs.columns and {r["doc_id"] % 3 for r in kept.collect()} == {1, 2}
 
 
+def test_training_sample_skips_only_what_does_not_fit(spark):
+    from siltworks.llm.labelled import Bound, training_rows
+
+    rows = [(i, f"text {i} " + ("long " * 2000 if i % 7 == 0 else "short"), "a") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    texts, ys, _ = training_rows(docs_of(spark, rows), labels, "toxic", Bound(text_bytes=9_000))
+    taught = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 and i % 7]
+    assert sorted(texts) == sorted(rows[i][1].encode() for i in taught) and sorted(ys) == sorted(i % 2 for i in taught)
+    # One identifier with many texts leaves room for the other class.
+    many = docs_of(spark, [(1, f"one {i}", "a") for i in range(50)] + [(2, f"two {i}", "a") for i in range(50)])
+    both = training_rows(many, spark.createDataFrame([(1, 1, 1), (2, 1, 0)], labels.schema), "toxic", Bound(rows_per_class=10))
+    assert sorted(both[1]) == [0] * 10 + [1] * 10
+
+
+def test_nothing_to_learn_from_drops_nothing(spark, monkeypatch):
+    docs = docs_of(spark, [(i, f"text {i}", "a") for i in range(9)])
+    for rows in ([], [(1, 1, 1), (2, 1, 1)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert toxicity.drop_toxic(docs, toxicity.train(docs, labels)).count() == 9
+        assert quality.keep_good(docs, quality.train(docs, labels), threshold=0.6).count() == 9
+        monkeypatch.setattr(corpus, "table", lambda spark, folder, name: labels if name == "labels" else docs)
+        assert {r["predicted"] for r in corpus.QUERIES["op8_toxicity"](spark, "").collect()} == {0}
+
+
 def test_quality_keeps_good_texts(spark, awkward, small):
     model = quality.train(table(spark, small, "documents"), table(spark, small, "labels"))
     kept = quality.keep_good(awkward, model, threshold=0.0)
