@@ -18,8 +18,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, lines that stand on many sites cut out of their texts; n_chars follows the text."""
-    return line_dedup.recount(line_dedup.dedup_lines(docs))
+    """All documents, lines that stand on many sites cut out of their texts, whatever their share; n_chars follows the text."""
+    return line_dedup.recount(line_dedup.dedup_lines(docs, most_cut=None))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -392,6 +392,24 @@ def test_line_dedup_keeps_what_is_no_boilerplate(spark, awkward):
     assert line_dedup.dedup_lines(awkward.limit(0)).count() == 0
 
 
+def test_pipeline_cuts_boilerplate_whatever_its_share(spark, awkward):
+    import corpus_pipeline
+
+    head, foot = " ".join(prose(12, 61)), " ".join(prose(12, 62))
+    rows = [(i, f"{head}\nshort {i}\n{foot}", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, "copied text all of it\nand its second line", f"s{i}") for i in range(12)]
+    rows += [(200 + i, f"{head}\nthe same page\n{foot}", f"s{i}") for i in range(12)] + [(300, "copied text all of it\nand more", "s1"), (301, None, "s1")]
+    df = docs_of(spark, rows)
+    got = {r["doc_id"]: r for r in corpus_pipeline.without_boilerplate(spark, df, "").collect()}
+    assert len(got) == len(rows) and got[301]["text"] is None
+    for i in range(24):
+        assert got[i]["text"] == f"short {i}" and got[i]["n_chars"] == len(f"short {i}")
+    assert all(got[100 + i]["text"] == "copied text all of it\nand its second line" and got[200 + i]["text"] == "the same page" for i in range(12))
+    assert got[300]["text"] == "copied text all of it\nand more"
+    out = line_dedup.dedup_lines(awkward, min_sites=2, most_cut=None)
+    assert out.columns == awkward.columns and out.count() == awkward.count()
+
+
 def test_repeated_passages_are_found_and_others_are_not(spark, awkward):
     shared = [prose(70, 900 + k) for k in range(3)]
     near = list(shared[2])
