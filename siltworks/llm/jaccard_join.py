@@ -1,11 +1,12 @@
-"""Exact Jaccard self-join of word shingle sets over a token-group matrix.
+"""Exact Jaccard self-join of word shingle sets by prefix tokens, opened group by group.
 
 Documents with the same set are one class. Similar classes are first put into groups: classes that share a minimum hash
 are compared with one leader, the class whose tokens are the commonest on average, as the middle of a group of copies
-has fewest words of its own; verified links make the groups. The matrix then holds, for each token, the groups
-whose union of prefix tokens has it: two sets at the threshold share a token of their prefixes, so a pair of groups
-without a common entry is never opened, and an entry counts only where sizes and positions leave room for enough
-overlap. Qualifying groups are opened by their best pair of classes first and in full only if that does not link them.
+has fewest words of its own; verified links make the groups. Then classes of different groups are joined on the tokens
+of their prefixes: two sets at the threshold share one, and an entry counts only where sizes and positions leave room
+for enough overlap. This is a join of classes, not of groups: there is no union of a group and no bound for a pair of
+groups, and all classes of different groups under a token are looked at. Pairs of groups are opened by their best pair
+of classes first and in full only if that does not link them.
 
 Prefixes follow one order of tokens for all sets: tokens seen often come last, so that common passages make no
 candidates. Any order gives the same links; which tokens are frequent only decides how many candidates are looked at.
@@ -216,7 +217,7 @@ def _labelled(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _matrix(labelled: DataFrame) -> DataFrame:
-    """Entries (token, grp) with their classes, of tokens that stand in more than one group."""
+    """Prefix entries, one per class and token, of tokens that stand in more than one group."""
     entries = labelled.select("cid", "n", "grp", F.posexplode("prefix").alias("pos", "token"))
     over = W.partitionBy("token")
     entries = entries.withColumn("lo", F.min("grp").over(over)).withColumn("hi", F.max("grp").over(over))
