@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.catalog.registry import Family
-from siltworks.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, packing, quality, substring_dedup, toxicity, warc
+from siltworks.llm import decontaminate, exact_dedup, fertility, filter_audit, html_extract, jaccard_join, line_dedup, packing, quality, substring_dedup, toxicity, warc, whitening
 from siltworks.llm.frames import LOWER, UPPER, crc_fold, table
 from siltworks.session import scratch_path
 
@@ -102,4 +102,40 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeats(table(spark, folder, "documents")).drop("uid")
 
 
+@family.query()
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening(table(spark, folder, "embeddings"))
+
+
+@family.query(r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+  case when len(words) < 200 then 1 else 0 end + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+  + case when 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) then 4 else 0 end
+  + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end
+  + case when coalesce(doc_id > min(doc_id) over (partition by text), false) then 16 else 0 end as fails
+  from w left join l using (doc_id)),
+v as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+i as (select unnest(range(5)) as i),
+o as (select chr(65 + a.i::int) || chr(65 + b.i::int) || chr(65 + c.i::int) || chr(65 + d.i::int) || chr(65 + e.i::int) as filter_order, [1 << a.i, 1 << b.i, 1 << c.i, 1 << d.i, 1 << e.i] as bits
+  from i a, i b, i c, i d, i e where (1 << a.i) | (1 << b.i) | (1 << c.i) | (1 << d.i) | (1 << e.i) = 31),
+s as (select filter_order, (i + 1)::int as step, bits[i + 1] as own, list_sum(bits[1:i])::bigint as before from o, i),
+c as (select filter_order, step, own, coalesce(before, 0) as before from s),
+r as (select part, filter_order, step, own, sum(n) filter (where fails & (own | before) = 0) as kept, sum(n) filter (where fails & own > 0 and fails & before = 0) as removed,
+  sum(n) filter (where fails & own > 0 and fails & before > 0) as redundant, sum(n) filter (where fails = own) as unique_fails,
+  sum(good) filter (where fails & own > 0 and fails & before = 0) as good_lost, sum(toxic) filter (where fails & own > 0 and fails & before = 0) as toxic_lost from v, c group by 1, 2, 3, 4)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant,
+  coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+  coalesce(sum(removed) over (partition by part, own), 0)::bigint as shapley from r
+""")
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@family.query()
+def op13_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.rules(table(spark, folder, "documents"), ["doc_id"])
+
+
 QUERIES, ORACLES = family.queries, family.oracles
