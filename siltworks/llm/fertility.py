@@ -225,9 +225,10 @@ def rules(
         ):
             side = own.where(F.col("octave").isNotNull() if level == "octave" else F.col("octave").isNull() & F.col("grp").isNotNull())
             out = out.join(side.select(F.col("grp").alias("_g"), F.col("octave").alias("_o"), F.col("limits").alias(f"_{level}{v}")), on, "left").drop("_g", "_o")
-        whole = own.where(F.col("grp").isNull()).select(F.col("limits").alias(f"_all{v}"))
-        out = out.join(F.broadcast(whole.agg(F.first(f"_all{v}").alias(f"_all{v}"))), F.lit(True), "left")
-        limits = F.coalesce(F.col(f"_octave{v}"), F.col(f"_grp{v}"), F.col(f"_all{v}"))
+        # One row at most: the limits over all texts, five numbers.
+        whole = own.where(F.col("grp").isNull()).select("limits.*").first()
+        known = [F.struct(*[F.lit(x).alias(n) for n, x in whole.asDict().items()])] if whole is not None else []
+        limits = F.coalesce(F.col(f"_octave{v}"), F.col(f"_grp{v}"), *known)
         outside += [
             F.when(t["chars_per_token"] < limits["chars_per_token_from"], "few characters per token"),
             F.when(t["chars_per_token"] > limits["chars_per_token_to"], "many characters per token"),
