@@ -168,6 +168,28 @@ def recipe_lint(spark, sf) -> DataFrame:
     return problems.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
+DISGUISED = [
+    Step(1, "CUSTOM_CODE", "expression", "priority", {"sql": "case when priority is null then 'F' else priority end"}),
+    Step(2, "CUSTOM_CODE", "expression", "amount_s", {"sql": "case when rand(7) < 2 then amount_s end"}),
+    Step(3, "CUSTOM_CODE", "expression", "amount", {"sql": "concat('n', cast(amount as string))"}),
+    Step(4, "DROP_ROWS", "drop_rows", None, {"condition": "isnull(amount_s)"}),
+    Step(5, "CUSTOM_CODE", "trim", "priority"),
+    Step(6, "CUSTOM_CODE", "expression", "order_date_s", {"sql": "if(order_date_s <=> null, cast(current_date() as string), order_date_s)"}),
+]
+
+
+@query(
+    f"""{DIRTY} select v.step_id, v.rule, v.columns, v.rows_touched from (select count(*) filter (where priority is null) as gaps, count(amount) as priced, count(*) filter (where amount_s is null) as unpriced,
+ count(*) filter (where amount_s is not null and trim(priority) <> priority) as padded from orders_dirty) t,
+ lateral (values (1, 'fill', 'priority', gaps), (2, 'repeatable', '', 0), (3, 'target', 'amount', priced), (4, 'row drop', 'amount_s', unpriced), (5, 'none', '', padded),
+ (6, 'fill', 'order_date_s', 0), (6, 'repeatable', '', 0)) v(step_id, rule, columns, rows_touched)"""
+)
+def recipe_lint_steps(spark, sf) -> DataFrame:
+    """What each step of a recipe breaks, in spellings that a look at its text would miss, and how many rows it would touch."""
+    found = rc.lint_table(DISGUISED, view(spark, sf, "orders_dirty"), "amount")
+    return found.select("step_id", "rule", F.array_join("columns", ",").alias("columns"), "rows_touched")
+
+
 RULES = Rules(target="amount", as_of=AS_OF, sentinels={"amount": [-1.0, 9999.0]})
 
 

@@ -155,6 +155,27 @@ def additivity_lint(spark, sf) -> DataFrame:
     return problems.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
+DISGUISED = [
+    FeatureStep("net", "CUSTOM_FEATURE", ("l_quantity", "l_discount"), {"sql": "case when l_returnflag = 'R' then l_quantity * (1 - l_discount) end"}),
+    FeatureStep("packed", "CUSTOM_FEATURE", ("l_quantity",), {"sql": "length(to_json(struct(*)))"}),
+    FeatureStep("noise", "CUSTOM_FEATURE", ("l_quantity",), {"sql": "l_quantity + rand(3)"}),
+    FeatureStep("share", "CUSTOM_FEATURE", ("l_tax",), {"sql": "l_tax / sum(l_tax) over (partition by l_suppkey)"}),
+    FeatureStep("pieces", "CUSTOM_FEATURE", ("l_tax",), {"sql": "explode(array(l_tax, l_discount))"}),
+    FeatureStep("l_tax", "CUSTOM_FEATURE", ("l_tax",), {"sql": "l_tax * 2"}),
+    FeatureStep("age", "CUSTOM_FEATURE", ("l_shipdate",), {"sql": "datediff(current_date(), l_shipdate)"}),
+]
+
+
+@query(
+    """select v.* from (select count(*) as n, count(*) filter (where l_returnflag = 'R') as r from lineitem) t,
+ lateral (values (1, 'net', 'none', r), (2, 'packed', 'leak', n), (3, 'noise', 'repeatable', n), (4, 'share', 'row', null), (5, 'pieces', 'row', null), (6, 'l_tax', 'new', null), (7, 'age', 'repeatable', n)) v(position, new_column, rule, "values")"""
+)
+def feature_lint_steps(spark, sf) -> DataFrame:
+    """What each feature step breaks, read off its resolved plan, beside the rows it would give a value."""
+    found = fr.feature_lint_table(DISGUISED, table(spark, sf, "lineitem"), "l_extendedprice")
+    return found.select("position", "new_column", "rule", "values")
+
+
 def _rounds(df: DataFrame, number: int) -> list[FeatureStep]:
     return {
         1: [FeatureStep("month", "DATETIME_EXPAND", ("o_orderdate",), {"kind": "month"}), FeatureStep("leak", "NUMERIC_TRANSFORM", ("o_totalprice",), {"kind": "abs"})],

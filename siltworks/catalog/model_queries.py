@@ -171,7 +171,7 @@ REGISTRY = [
         features=[FeatureStep("source_frequency", "CATEGORY_ENCODE", ("source",), {"kind": "frequency"})],
         baseline=0.5,
     ),
-    bm.Dataset("orders", lambda spark, sf: view(spark, sf, "orders_dirty"), "amount", "regression", "rmse", "o_orderkey", steps=CLEANING),
+    bm.Dataset("orders", lambda spark, sf: view(spark, sf, "orders_dirty"), "amount", "regression", "rmse", "o_orderkey", drop=["amount_s"], steps=[s for s in CLEANING if s.column != "amount_s"], features=[]),
     bm.Dataset("broken", lambda spark, sf: table(spark, sf, "orders"), "o_orderstatus", "multiclass_classification", "macro_f1", "o_orderkey", drop=["no_such_column"]),
 ]
 
@@ -181,3 +181,24 @@ def benchmark_runs(spark, sf) -> DataFrame:
     """A registry of labelled tables from split to held-out score; the broken entry does not stop the others."""
     bound = [bm.Dataset(**{**vars(d), "load": lambda s, d=d: d.load(s, sf)}) for d in REGISTRY]
     return bm.formatted(bm.run(spark, bound))
+
+
+_FOLDS = {
+    "documents": FOLD_SQL.format(s="toxic", t="labelled").replace("o_orderkey", "doc_id"),
+    "orders": FOLD_SQL.format(s="1", t="orders_dirty"),
+}
+
+
+@query(
+    f"""{ctes('orders_dirty')}, labelled as (select doc_id, toxic from documents join labels using (doc_id)),
+ d as (select 'documents' as name, fold, true as usable from ({_FOLDS['documents']})),
+ o as (select 'orders' as name, fold, coalesce(amount not in (-1, 9999) and isfinite(amount), false) as usable from ({_FOLDS['orders']})),
+ f as (select * from d union all select * from o),
+ c as (select name, count(*) as whole, count(*) filter (where fold = 'train' and usable) as train, count(*) filter (where fold <> 'train' and usable) as rest, count(*) filter (where fold = 'test' and usable) as test from f group by 1)
+ select name, v.position, v.stage, 'ok' as status, v.rows from c, lateral (values (1, 'split', whole), (2, 'fit', train), (3, 'replay', rest), (4, 'features', rest), (5, 'train', train), (6, 'score', test)) v(position, stage, rows)
+ union all select 'broken', 1, 'split', 'graph_failed', null"""
+)
+def benchmark_stages(spark, sf) -> DataFrame:
+    """How far each dataset came and how many rows each stage left: only the training fold is fitted on."""
+    bound = [bm.Dataset(**{**vars(d), "load": lambda s, d=d: d.load(s, sf)}) for d in REGISTRY]
+    return bm.run_stages(spark, bound).select("name", "position", "stage", "status", "rows")

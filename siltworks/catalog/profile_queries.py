@@ -10,6 +10,7 @@ from siltworks.catalog.source_queries import date_sql, number_sql
 from siltworks.catalog.views import AS_OF, ctes, table, view
 from siltworks.functions.strings import signature
 from siltworks.operators import frequency as fq
+from siltworks.operators import heavy as hv
 from siltworks.operators import profiling as pr
 from siltworks.operators import quality as ql
 from siltworks.operators.inference import inferred_map
@@ -115,14 +116,25 @@ def top_values(spark, sf) -> DataFrame:
 
 
 @query(
-    """with r as (select text as value, count(*) as n, row_number() over (order by count(*) desc, case when length(text) > 256 then chr(1) || 'md5:' || md5(text) else text end) as rank
+    """with r as (select text as value, count(*) as n, row_number() over (order by count(*) desc, text) as rank
  from documents group by text) select cast(rank as integer) as rank, value, n from r where rank <= 5"""
 )
 def top_long_texts(spark, sf) -> DataFrame:
-    """Long values travel as digests and come back whole; ties go by digest."""
+    """Long values travel as their beginning and a digest, and come back whole; ties go by the text."""
     return fq.top_values(table(spark, sf, "documents"), ["text"], 5).select("rank", "value", "n")
 
 
+@query(
+    """with v as (select 'event_type' as "column", event_type as value, event_type as place, count(*) as n from events group by 2 union all select 'props', props, props, count(*) from events group by 2
+ union all select 'user_id', cast(user_id as varchar), lpad(cast(user_id as varchar), 20, '0'), count(*) from events group by user_id union all select 'event_id', cast(event_id as varchar), lpad(cast(event_id as varchar), 20, '0'), count(*) from events group by event_id),
+ r as (select *, row_number() over (partition by "column" order by n desc, place) as rank from v)
+ select "column", cast(rank as integer) as rank, value, n from r where rank <= 5"""
+)
+def heavy_hitters(spark, sf) -> DataFrame:
+    """Frequent values from sketched candidates and one recount; only the column without frequent values is counted in full."""
+    return hv.top_values_by_recount(table(spark, sf, "events"), ["event_type", "props", "user_id", "event_id"], 5)
+
+
 @query(
     """with p as (select md5(cast(o_orderkey as varchar) || '42') as digest, o_orderstatus, o_orderpriority, cast(o_custkey as varchar) as o_custkey from orders),
  u as (select 'o_orderstatus' as "column", digest, o_orderstatus as value from p union all select 'o_orderpriority', digest, o_orderpriority from p union all select 'o_custkey', digest, o_custkey from p),
@@ -361,6 +373,31 @@ def quality_base_metrics(spark, sf) -> DataFrame:
     return base.select(F.round("completeness", 9).alias("completeness"), F.round("structural_integrity", 9).alias("structural_integrity"), "dirty_columns", "row_count")
 
 
+@query(
+    " union all ".join(
+        f"""select '{c}' as "column", (select count(*) from orders) as row_count, (select count({c}) from orders) as non_null, true as near_distinct, true as near_quartiles,
+ (select cast({c} as varchar) from orders group by {c} order by count(*) desc, {c} limit 1) as top_value, (select max(n) from (select count(*) as n from orders group by {c})) as top_count"""
+        for c in ("o_orderstatus", "o_orderpriority")
+    )
+    + """ union all select 'o_totalprice', count(*), count(o_totalprice), true, true, null, null from orders"""
+)
+def cheap_profile(spark, sf) -> DataFrame:
+    """The profile on request that shuffles no values: sketches, then exact counts of what they name; held against the exact one."""
+    df = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    names = ["column", "unique_count", "q1", "median", "q3", "min", "max"]
+    exact = pr.profile(df, options()).select("column", *[F.col(c).alias(f"exact_{c}") for c in names[1:]])
+    both = pr.profile(df, options(exact=False)).join(F.broadcast(exact), "column")
+    near = F.abs(F.col("unique_count") - F.col("exact_unique_count")) <= 0.1 * F.col("exact_unique_count") + 2
+    width = F.col("max") - F.col("min")
+    close = [F.coalesce(F.abs(F.col(q) - F.col(f"exact_{q}")) <= 0.05 * width, F.col("column") != "o_totalprice") for q in ("q1", "median", "q3")]
+    frequent = F.col("column") != "o_totalprice"
+    top = F.col("top_values")[0]
+    return both.select(
+        "column", "row_count", "non_null", near.alias("near_distinct"), (close[0] & close[1] & close[2]).alias("near_quartiles"),
+        F.when(frequent, top["value"]).alias("top_value"), F.when(frequent, top["count"]).alias("top_count"),
+    )
+
+
 CLEANING = [
     Step(1, "DROP_COLUMN", "drop_columns", "email"),
     Step(2, "CUSTOM_CODE", "extract_units", "amount_s"),

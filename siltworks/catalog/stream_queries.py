@@ -16,7 +16,7 @@ from siltworks.plans.recipe import Step, replay
 from siltworks.session import scratch_path
 from siltworks.streaming.monitor import windowed_quality
 from siltworks.streaming.replay import replay_on_stream, run_to_parquet, stream_parquet
-from siltworks.streaming.sessions import live_durations, live_status
+from siltworks.streaming.sessions import live_durations, live_status, settled_durations
 from siltworks.streaming.tail import deduplicated_tail
 
 family = Family()
@@ -90,8 +90,9 @@ def stream_tail(spark, sf) -> DataFrame:
 
 @query(f"{_SPANS} select cast(session as varchar) as session, node, seq, {_MS} as duration_ms from s")
 def stream_durations(spark, sf) -> DataFrame:
+    """With the default lateness of an hour; starts may be days older."""
     log = spark.sql(VIEWS["run_log"].replace("from events", "from {events}"), events=stream(spark, sf, "events"))
-    return drained(live_durations(log, "session", "node", "seq", "ts", "event_type", "view", "purchase"), "durations")
+    return settled_durations(drained(live_durations(log, "session", "node", "seq", "ts", "event_type", "view", "purchase"), "durations"))
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions.numbers import NATIVE_NUMERIC, number_of
-from siltworks.operators.frequency import DIGEST_MARK, restore_long_values, top_per_column, value_frequency, value_key
+from siltworks.operators.frequency import LONG_VALUE, restore_long_values, top_per_column, value_frequency, value_key
 from siltworks.operators.inference import long_rows, quoted
 from siltworks.operators.quantiles import exact_quantiles
 
@@ -176,7 +176,7 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
     if not listed:
         return rows.withColumn("rare_categories", F.lit(None).cast("string"))
     few = df.sparkSession.createDataFrame(listed, "column string, rank int, value string")
-    few = restore_long_values(df, few) if any(v.startswith(DIGEST_MARK) for _, _, v in listed) else few
+    few = restore_long_values(df, few) if any(len(v) > LONG_VALUE for _, _, v in listed) else few
     joined = few.groupBy("column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]), "|").alias("rare_categories")
     )

@@ -11,25 +11,18 @@ from siltworks.functions.hashing import seeded_md5
 from siltworks.functions.strings import canonical_text
 
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-# Longer values travel through the shuffle as a 128-bit digest; the few that are reported are looked up afterwards.
+# Longer values travel through the shuffle as their beginning and a 128-bit digest; the few that are reported are looked up afterwards.
 LONG_VALUE = 256
-DIGEST_MARK = "\u0001md5:"
 
 
 def value_key(c: Column, long_value: int = LONG_VALUE) -> Column:
-    """The value itself, or its digest when it is long."""
-    return F.when(F.length(c) > long_value, F.concat(F.lit(DIGEST_MARK), F.md5(c))).otherwise(c)
+    """The value itself, or its first characters followed by its digest when it is long: equal keys are equal values, in order of the values."""
+    return F.when(F.length(c) > long_value, F.concat(F.substring(c, 1, long_value), F.md5(c))).otherwise(c)
 
 
 def value_frequency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column, value, n)`` over non-null values: unpivot, partial count per task, one shuffle of distinct values."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    texts = [
-        (value_key(canonical_text(f.name, f.dataType)) if _may_be_long(f.dataType) else canonical_text(f.name, f.dataType)).alias(f.name)
-        for f in fields
-    ]
-    pairs = df.select(*texts).unpivot([], [f.name for f in fields], "column", "value")
-    return pairs.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _counted(_text_pairs(df, [f for f in df.schema.fields if columns is None or f.name in columns]))
 
 
 def typed_frequencies(df: DataFrame, columns: list[str] | None = None) -> dict[str, DataFrame]:
@@ -38,6 +31,11 @@ def typed_frequencies(df: DataFrame, columns: list[str] | None = None) -> dict[s
     Numbers are grouped and shuffled as eight bytes; only the few that are reported ever become text. Each table reads
     its own columns only.
     """
+    return {kind: _counted(pairs) for kind, (_, pairs) in typed_pairs(df, columns).items()}
+
+
+def typed_pairs(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[list[str], DataFrame]]:
+    """By kind: the columns, and ``(column, value)`` of every non-null value."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     out = {}
     for kind, types in (("long", WHOLE), ("double", (T.DoubleType,))):
@@ -45,13 +43,25 @@ def typed_frequencies(df: DataFrame, columns: list[str] | None = None) -> dict[s
         if names:
             values = [F.col(f"`{n}`").cast("long") if kind == "long" else _plain_double(F.col(f"`{n}`")) for n in names]
             pairs = df.select(*[v.alias(n) for v, n in zip(values, names)]).unpivot([], names, "column", "value")
-            out[kind] = pairs.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    texts = [f.name for f in fields if not isinstance(f.dataType, (*WHOLE, T.DoubleType))]
+            out[kind] = names, pairs.where("value is not null")
+    texts = [f for f in fields if not isinstance(f.dataType, (*WHOLE, T.DoubleType))]
     if texts:
-        out["text"] = value_frequency(df, texts)
+        out["text"] = [f.name for f in texts], _text_pairs(df, texts)
     return out
 
 
+def _text_pairs(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    texts = [
+        (value_key(canonical_text(f.name, f.dataType)) if _may_be_long(f.dataType) else canonical_text(f.name, f.dataType)).alias(f.name)
+        for f in fields
+    ]
+    return df.select(*texts).unpivot([], [f.name for f in fields], "column", "value").where("value is not null")
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _plain_double(c: Column) -> Column:
     """NaN is missing and negative zero is zero."""
     return F.when(~F.isnan(c), c + F.lit(0.0))
@@ -71,14 +81,14 @@ def top_per_column(freq: DataFrame, k: int, order: list[Column] | None = None) -
 
 
 def restore_long_values(df: DataFrame, few: DataFrame) -> DataFrame:
-    """Digests in ``few`` (``column``, ``value`` and more; k rows per column) back to whole texts, by one more scan."""
+    """Keys of long values in ``few`` (``column``, ``value`` and more; k rows per column) back to whole texts, by one more scan."""
     fields = [f for f in df.schema.fields if _may_be_long(f.dataType)]
     if not fields:
         return few
     texts = df.select(*[canonical_text(f.name, f.dataType).alias(f.name) for f in fields])
     pairs = texts.unpivot([], [f.name for f in fields], "column", "whole").where(F.length("whole") > LONG_VALUE)
     keyed = pairs.select("column", value_key(F.col("whole")).alias("value"), "whole")
-    wanted = few.where(F.col("value").startswith(DIGEST_MARK)).select("column", "value").distinct()
+    wanted = few.where(F.length("value") > LONG_VALUE).select("column", "value").distinct()
     found = keyed.join(F.broadcast(wanted), ["column", "value"]).groupBy("column", "value").agg(F.any_value("whole").alias("whole"))
     return few.join(found, ["column", "value"], "left").withColumn("value", F.coalesce("whole", "value")).drop("whole")
 

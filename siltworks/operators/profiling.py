@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from siltworks.functions.dates import iso, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import seeded_md5
-from siltworks.functions.numbers import INFINITY_RE, adjusted_kurtosis, adjusted_skewness, coded_number, finite, number_of, present, text_to_number
+from siltworks.functions.numbers import INFINITY_RE, adjusted_kurtosis, adjusted_skewness, coded_number, number_of, present, text_to_number
 from siltworks.functions.strings import signature
-from siltworks.operators.frequency import LONG_VALUE, restore_long_values, top_per_column, typed_frequencies, value_key
-from siltworks.operators.inference import CATEGORICAL, COLUMN_CHUNK, DATETIME, NUMERIC, inferred_with_length, long_rows, quoted
-from siltworks.operators.quantiles import approximate_quantiles, exact_quantiles, is_large
+from siltworks.operators.frequency import LONG_VALUE, restore_long_values, top_per_column, typed_frequencies, typed_pairs, value_key
+from siltworks.operators.heavy import heavy_top
+from siltworks.operators.inference import CATEGORICAL, COLUMN_CHUNK, DATETIME, NUMERIC, coercion_failures, failure_flag, inferred_with_length, long_rows, quoted
+from siltworks.operators.quantiles import exact_quantiles, sketch_quantiles
 
 # Sentinels and thresholds of the warnings.
 SENTINELS = (-1, 0, 999, 9999)
@@ -210,20 +211,22 @@ def _dominant(counted: DataFrame, lookup: DataFrame | None) -> DataFrame:
     )
 
 
-def quantile_rows(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """``(column, q1, median, q3)`` of the numeric columns."""
-    values = {c: number_of(c, df.schema[c].dataType) for c, t in types.items() if t == NUMERIC}
-    found = exact_quantiles(df, values)
-    rows = [(c, *q) for c, q in found.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
+def _numbers(df: DataFrame, types: dict[str, str]) -> dict[str, Column]:
+    return {c: number_of(c, df.schema[c].dataType) for c, t in types.items() if t == NUMERIC}
 
 
-def deviation_rows(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """``(column, mad)``: median absolute deviation from the median, a second quantile pass around the first."""
-    values = {c: number_of(c, df.schema[c].dataType) for c, t in types.items() if t == NUMERIC}
-    medians = exact_quantiles(df, values, (0.5,))
-    around = {c: F.abs(values[c] - F.lit(m[0])) for c, m in medians.items() if m[0] is not None}
-    found = exact_quantiles(df, around, (0.5,))
+def quantile_rows(df: DataFrame, types: dict[str, str], exact: bool = True) -> DataFrame:
+    """``(column, q1, median, q3)`` of the numeric columns: exact, or read off sketches in one scan."""
+    found = (exact_quantiles if exact else sketch_quantiles)(df, _numbers(df, types), (0.25, 0.5, 0.75))
+    return df.sparkSession.createDataFrame([(c, *q) for c, q in found.items()], "column string, q1 double, median double, q3 double")
+
+
+def deviation_rows(df: DataFrame, types: dict[str, str], medians: dict[str, float | None] | None = None, exact: bool = True) -> DataFrame:
+    """``(column, mad)``: median absolute deviation from the median, a second quantile pass around the first (or the given one)."""
+    values, quantiles = _numbers(df, types), exact_quantiles if exact else sketch_quantiles
+    medians = {c: q[0] for c, q in quantiles(df, values, (0.5,)).items()} if medians is None else medians
+    around = {c: F.abs(values[c] - F.lit(m)) for c, m in medians.items() if m is not None}
+    found = quantiles(df, around, (0.5,))
     return df.sparkSession.createDataFrame([(c, q[0]) for c, q in found.items()], "column string, mad double")
 
 
@@ -271,27 +274,32 @@ def profile(df: DataFrame, options: ProfileOptions | None = None) -> DataFrame:
         return left.join(F.broadcast(right), "column", "left")
 
     out = scalar_stats(df, types, as_of)
-    frequencies = typed_frequencies(df)
+    quartiles = quantile_rows(df, types, options.exact)
+    out = beside(out, quartiles)
+    texts = [c for c, t in types.items() if t == CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)]
+    failing = {c: t for c, t in types.items() if t != CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)}
     if options.exact:
-        quantiles_here = not is_large(df)
-        out = beside(out, _per_column(frequencies, types, quantiles_here))
-        if not quantiles_here:
-            out = beside(out, quantile_rows(df, types))
+        frequencies = typed_frequencies(df)
+        out = beside(out, _per_column(frequencies))
+        shapes = _shapes(df, frequencies, [c for c in texts if c not in long_texts], [c for c in texts if c in long_texts])
+        listed = _listed_values(df, frequencies, options, bool(long_texts) or _has_nested(df))
+        samples = coercion_failures(df, failing).select("column", F.col("samples").alias("coercion_failure_samples")) if failing else None
     else:
-        out = beside(beside(out, approximate_distinct(df)), approximate_quantile_rows(df, types))
+        top = heavy_values(df, options.top_k)
+        tops = top.where("rank = 1").select("column", F.col("n").alias("top_count"))
+        out = beside(beside(out, approximate_distinct(df)), tops)
+        shapes = heavy_shapes(df, texts) if texts else None
+        listed = _cheap_lists(df, top, options)
+        samples = _cheap_failures(df, failing, options.samples) if failing else None
     out = out.withColumns(
         {
             "unique_count": F.coalesce("unique_count", F.lit(0)),
             "unique_factor": F.when(F.col("row_count") > 0, F.coalesce("unique_count", F.lit(0)) / F.col("row_count")).otherwise(0.0),
         }
     )
-    texts = [c for c, t in types.items() if t == CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)]
-    shapes = _shapes(df, frequencies, [c for c in texts if c not in long_texts], [c for c in texts if c in long_texts])
     out = beside(out, shapes) if shapes is not None else out.withColumns({"dominant_pattern": F.lit(None).cast("string"), "regex_format_consistency": F.lit(None).cast("double")})
-    out = beside(out, _listed_values(df, frequencies, options, bool(long_texts) or _has_nested(df)))
-    failing = {c: t for c, t in types.items() if t != CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)}
-    if failing:
-        samples = _failure_samples(df, frequencies["text"], failing, bool(long_texts & set(failing)))
+    out = beside(out, listed)
+    if samples is not None:
         out = beside(out, samples).withColumn("coercion_failure_samples", F.when(F.col("column").isin(*failing), F.coalesce("coercion_failure_samples", F.lit(""))))
     else:
         out = out.withColumn("coercion_failure_samples", F.lit(None).cast("string"))
@@ -300,7 +308,8 @@ def profile(df: DataFrame, options: ProfileOptions | None = None) -> DataFrame:
         tag = SKIPPED_TAG
     elif options.extended:
         try:
-            out = beside(out, deviation_rows(df, types)).withColumn("metrics", extended_metrics())
+            medians = {r["column"]: r["median"] for r in quartiles.collect()}
+            out = beside(out, deviation_rows(df, types, medians, options.exact)).withColumn("metrics", extended_metrics())
         except PySparkException:
             tag = FALLBACK_TAG
     order = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(types)], "column string, position int"))
@@ -315,23 +324,11 @@ def _has_nested(df: DataFrame) -> bool:
     return any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)) for f in df.schema.fields)
 
 
-def _per_column(frequencies: dict[str, DataFrame], types: dict[str, str], quantiles: bool) -> DataFrame:
-    """Distinct counts, values seen once, the top count and (on tables of moderate size) exact quartiles, per column."""
-    numeric = [c for c, t in types.items() if t == NUMERIC]
+def _per_column(frequencies: dict[str, DataFrame]) -> DataFrame:
+    """Distinct counts, values seen once and the top count, per column."""
     out = None
-    for kind, freq in frequencies.items():
-        number = text_to_number(F.col("value")) if kind == "text" else finite(F.col("value").cast("double"))
-        number = F.when(F.col("column").isin(*numeric), number) if numeric else F.lit(None).cast("double")
-        aggs = [
-            F.count(F.lit(1)).alias("unique_count"),
-            F.count_if(F.col("n") == 1).alias("n_unique"),
-            F.max("n").alias("top_count"),
-        ]
-        if quantiles:
-            aggs.append(F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
-        one = freq.withColumn("x", number).groupBy("column").agg(*aggs)
-        if quantiles:
-            one = one.select("column", "unique_count", "n_unique", "top_count", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+    for freq in frequencies.values():
+        one = freq.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"), F.count_if(F.col("n") == 1).alias("n_unique"), F.max("n").alias("top_count"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -374,34 +371,62 @@ def _listed_values(df: DataFrame, frequencies: dict[str, DataFrame], options: Pr
     )
 
 
-def _failure_samples(df: DataFrame, freq: DataFrame, failing: dict[str, str], restore: bool, k: int = 5) -> DataFrame:
-    """The smallest distinct texts per column that do not read as its type."""
-    numbers = [c for c, t in failing.items() if t == NUMERIC]
-    value = F.col("value")
-    bad_number = text_to_number(value).isNull() & ~value.rlike(INFINITY_RE)
-    bad = F.when(F.col("column").isin(*numbers), bad_number).otherwise(text_to_timestamp(value).isNull()) if numbers else text_to_timestamp(value).isNull()
-    top = top_per_column(_above(freq, F.col("column").isin(*failing) & bad), k, [F.asc("value")])
-    top = restore_long_values(df, top) if restore else top
-    return top.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("coercion_failure_samples"))
+def heavy_values(df: DataFrame, k: int) -> DataFrame:
+    """``(column, rank, value, n)``: the most frequent values named by sketches, with their exact counts; whole texts.
+
+    A column whose values are all rare has no frequent ones: what the sketch names there are some of its values.
+    """
+    out = None
+    for kind, (_, pairs) in typed_pairs(df).items():
+        top = heavy_top(pairs, k).drop("proven").withColumn("value", F.col("value").cast("string"))
+        top = restore_long_values(df, top) if kind == "text" else top
+        one = top.select("column", "rank", "value", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def heavy_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Dominant signature and its share, from sketched candidates: signatures are counted, not values."""
+    pairs = df.select(*[value_key(signature(quoted(c))).alias(c) for c in columns]).unpivot([], columns, "column", "value").where("value is not null")
+    totals = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("total"))
+    top = restore_long_values(df.select(*[signature(quoted(c)).alias(c) for c in columns]), heavy_top(pairs, 1).drop("proven"))
+    return top.join(F.broadcast(totals), "column").select("column", F.col("value").alias("dominant_pattern"), (F.col("n") / F.col("total")).alias("regex_format_consistency"))
+
+
+def _one_per_bucket(pairs: DataFrame, k: int, seed: int, least: Column) -> DataFrame:
+    """At most ``k`` different values per column: of each of ``k`` seeded hash buckets the first in order of ``least``.
+
+    An aggregate: a task sends ``k`` values per column, whatever it read.
+    """
+    bucket = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(k)).alias("bucket")
+    return pairs.groupBy("column", bucket).agg(F.min_by("value", F.struct(least, F.col("value"))).alias("value"))
+
+
+def _cheap_lists(df: DataFrame, top: DataFrame, options: ProfileOptions) -> DataFrame:
+    """Top values and sample values per column without a frequency table."""
+    samples = None
+    for kind, (_, pairs) in typed_pairs(df).items():
+        few = _one_per_bucket(pairs, options.samples, options.seed, F.xxhash64("value", F.lit(options.seed + 1))).withColumn("value", F.col("value").cast("string"))
+        few = restore_long_values(df, few) if kind == "text" else few
+        one = few.select("column", "value")
+        samples = one if samples is None else samples.unionByName(one)
+    listed = samples.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    entries = top.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+    told = entries.select("column", F.transform("t", lambda s: F.struct(s["value"].alias("value"), s["n"].alias("count"))).alias("top_values"))
+    return told.join(F.broadcast(listed), "column", "left")
 
 
-def approximate_quantile_rows(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Quartiles from a mergeable sketch, all columns in one pass."""
-    values = {c: number_of(c, df.schema[c].dataType) for c, t in types.items() if t == NUMERIC}
-    found = approximate_quantiles(df, values, (0.25, 0.5, 0.75)) if values else {}
-    rows = [(c, *(q or (None, None, None))) for c, q in found.items()]
-    return df.sparkSession.createDataFrame(rows, "column string, q1 double, median double, q3 double")
+def _cheap_failures(df: DataFrame, failing: dict[str, str], k: int) -> DataFrame:
+    """Up to ``k`` different texts per column that do not read as its type: the smallest of each hash bucket."""
+    bad = df.select(*[F.when(failure_flag(df, c, t), quoted(c)).alias(c) for c, t in failing.items()]).unpivot([], list(failing), "column", "value").where("value is not null")
+    few = _one_per_bucket(bad, k, 0, F.lit(0))
+    return few.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("coercion_failure_samples"))
 
 
 def approximate_distinct(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
-    """Sketch-based distinct counts in one pass; columns of the exact variant that need all values are null."""
+    """Sketch-based distinct counts in one pass; the count of values seen once needs all values and is null."""
     structs = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.col(f"d{i}").alias("unique_count"),
-            F.lit(None).cast("long").alias("n_unique"),
-            F.lit(None).cast("long").alias("top_count"),
-        )
+        F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("unique_count"), F.lit(None).cast("long").alias("n_unique"))
         for i, c in enumerate(df.columns)
     ]
     return long_rows(df.agg(*[F.approx_count_distinct(quoted(c), relative_error).alias(f"d{i}") for i, c in enumerate(df.columns)]), structs)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher, Imputer, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from siltworks.functions.dates import timestamp_of
 from siltworks.functions.hashing import seeded_md5
 from siltworks.functions.numbers import NATIVE_NUMERIC, number_of
 from siltworks.functions.strings import canonical_text
+from siltworks.operators.encoding import CategoryEncoding, fit_categories
 from siltworks.operators.inference import quoted
 from siltworks.operators.scoring import accuracy, auc_by_group, class_f1, macro_f1, rmse, roc_auc, roc_auc_ovr
 
@@ -27,7 +29,6 @@ TASKS = {"binary_classification": "binary", "multiclass_classification": "multic
 DEFAULT_METRIC = {"binary": "roc_auc", "multiclass": "macro_f1", "regression": "rmse"}
 LOWER_IS_BETTER = ("rmse",)
 MIN_ROWS, LEADERBOARD, IMPORTANCE_ROWS, TOP_FEATURES = 10, 10, 1_000, 10
-HASHED_FEATURES = 256
 FEW_CLASSES = 20
 
 
@@ -36,10 +37,22 @@ def problem_type(task_type: str | None) -> str | None:
     return TASKS.get(task_type.strip().lower().replace(" ", "_")) if task_type else None
 
 
+def few_values(df: DataFrame, column: str, most: int) -> int:
+    """The number of different values where there are at most ``most``; ``most`` + 1 or more where there are more.
+
+    A sketch settles the many; only where it says that there may be few are values shuffled, and then few of them.
+    """
+    c = quoted(column)
+    guess = df.agg(F.approx_count_distinct(c, 0.05)).first()[0]
+    if guess > 2 * most + 10:
+        return most + 1
+    return df.where(c.isNotNull()).groupBy(c).agg(F.count(F.lit(1))).count()
+
+
 def detect_problem_type(df: DataFrame, target: str) -> str:
     """Two values are binary; text or few whole values multiclass; everything else regression."""
     dtype = df.schema[target].dataType
-    distinct = df.select(quoted(target)).where(quoted(target).isNotNull()).distinct().limit(FEW_CLASSES + 1).count()
+    distinct = few_values(df, target, FEW_CLASSES)
     if distinct == 2:
         return "binary"
     whole = isinstance(dtype, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType))
@@ -95,11 +108,12 @@ class TrainedModel:
     leaderboard: list[tuple[str, float, float]]
     seconds: float
     rows: int
+    encoding: CategoryEncoding
     importance: dict[str, float] = field(default_factory=dict)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` and, for classification, ``probability`` (array in the order of ``labels``)."""
-        out = self.pipeline.transform(typed_features(df, self.features, self.target))
+        out = self.pipeline.transform(self.encoding.transform(typed_features(df, self.features, self.target)))
         if self.problem == "regression":
             return out.withColumn("label", F.col("_y"))
         out = out.withColumn("probability", vector_to_array("probability")).withColumn("label", F.col("_y"))
@@ -162,7 +176,7 @@ def _score(predicted: DataFrame, problem: str, metric: str, labels: list[str]) -
         return macro_f1(pairs, "label", "prediction").first()[0]
     if metric == "accuracy":
         return accuracy(pairs, "label", "prediction").first()[0]
-    raise ValueError(f"Unknown metric: {metric}")
+    raise ValueError(f"no such metric here: {metric}")
 
 
 def fit_best(train: DataFrame, validation: DataFrame, target: str, task_type: str | None = None, metric: str | None = None, ignore: tuple[str, ...] = (), seed: int = 0) -> TrainedModel:
@@ -175,13 +189,6 @@ def fit_best(train: DataFrame, validation: DataFrame, target: str, task_type: st
     numeric = [c for c in typed.columns if c.startswith("_n") and c[2:].isdigit()]
     texts = [c for c in typed.columns if c.startswith("_t") and c[2:].isdigit()]
     filled = [f"{c}_f" for c in numeric]
-    stages: list[object] = []
-    if numeric:
-        stages.append(Imputer(inputCols=numeric, outputCols=filled, strategy="mean"))
-    if texts:
-        # Hashing needs no pass over the values and no vocabulary, whatever their number.
-        stages.append(FeatureHasher(inputCols=texts, outputCol="_hashed", numFeatures=HASHED_FEATURES))
-    stages.append(VectorAssembler(inputCols=filled + (["_hashed"] if texts else []), outputCol="_x", handleInvalid="keep"))
     labels: list[str] = []
     prepared = typed
     if problem == "regression":
@@ -191,29 +198,41 @@ def fit_best(train: DataFrame, validation: DataFrame, target: str, task_type: st
         indexer: StringIndexerModel = StringIndexer(inputCol="_y", outputCol="_label", stringOrderType="alphabetAsc").fit(prepared)
         labels = list(indexer.labelsArray[0])
         prepared = indexer.transform(prepared)
-    base = Pipeline(stages=stages).fit(prepared)
-    ready = base.transform(prepared).select("_x", "_label").persist()
+    encoding = fit_categories(prepared, texts, "_y", labels or None)
+    stages: list[object] = [Imputer(inputCols=numeric, outputCols=filled, strategy="mean")] if numeric else []
+    stages.append(VectorAssembler(inputCols=filled + encoding.outputs, outputCol="_x", handleInvalid="keep"))
+    encoded = encoding.transform(prepared, "_y")
+    base = Pipeline(stages=stages).fit(encoded)
+    ready = base.transform(encoded).select("_x", "_label").persist()
     started = time.perf_counter()
     ranked: list[tuple[str, float, float, PipelineModel]] = []
     check = drop_invalid_target(validation, target)
     for name, estimator in _candidates(problem, seed).items():
         t0 = time.perf_counter()
         fitted = PipelineModel(stages=[base, estimator.fit(ready)])
-        model = TrainedModel(target, problem, metric, name, fitted, features, labels, [], 0.0, 0)
+        model = TrainedModel(target, problem, metric, name, fitted, features, labels, [], 0.0, 0, encoding)
         value = _score(model.predict(check), problem, metric, labels)
         ranked.append((name, value, time.perf_counter() - t0, fitted))
     rows = ready.count()
     ready.unpersist()
     ranked.sort(key=lambda r: r[1] if r[1] is not None else float("-inf"), reverse=metric not in LOWER_IS_BETTER)
     board = [(n, v, s) for n, v, s, _ in ranked[:LEADERBOARD]]
-    return TrainedModel(target, problem, metric, ranked[0][0], ranked[0][3], features, labels, board, time.perf_counter() - started, rows)
+    return TrainedModel(target, problem, metric, ranked[0][0], ranked[0][3], features, labels, board, time.perf_counter() - started, rows, encoding)
 
 
 def permutation_importance(model: TrainedModel, df: DataFrame, key: str, rows: int = IMPORTANCE_ROWS, seed: int = 0) -> dict[str, float]:
     """Drop of the metric when one feature is shuffled, on a seeded sample of at most ``rows`` rows; one scoring job.
 
-    Every feature adds one shuffled copy of the sample; the copies are scored together and compared per feature.
+    Empty where scoring fails: importance is an extra that a run does without.
     """
+    try:
+        return _importance(model, df, key, rows, seed)
+    except PySparkException:
+        return {}
+
+
+def _importance(model: TrainedModel, df: DataFrame, key: str, rows: int, seed: int) -> dict[str, float]:
+    """Every feature adds one shuffled copy of the sample; the copies are scored together and compared per feature."""
     usable = drop_invalid_target(df, model.target)
     sample = usable.orderBy(seeded_md5(quoted(key), seed), quoted(key)).limit(rows)
     place = sample.withColumn("_rn", F.row_number().over(W.orderBy(seeded_md5(quoted(key), seed), quoted(key)))).persist()

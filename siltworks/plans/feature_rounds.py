@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import features as fx
 from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC
+from siltworks.plans.lineage import step_facts
 from siltworks.plans.recipe import RecipeError
 
 # The feature operations and the limits of a run.
@@ -64,25 +64,20 @@ class FeatureStep:
 
 
 def leaks(step: FeatureStep, df: DataFrame, target: str | None) -> bool:
-    """True when the step makes the target or reads it.
+    """True when the step makes the target or reads it, directly or through a column that was made of it.
 
-    A custom expression is resolved against the table without the target: what only resolves with it, reads it.
+    Read off the analysed plan, so that ``struct(*)`` or another spelling of the name cannot hide it.
     """
     if target is None:
         return False
     if step.new_column == target or target in step.sources:
         return True
-    if step.operation != "CUSTOM_FEATURE" or target not in df.columns:
+    if step.fitted or target not in df.columns:
         return False
     try:
-        df.drop(target).select(step.column()).schema  # noqa: B018 - resolves the plan
-        return False
+        return target in step_facts(df, step.apply(df)).reads.get(step.new_column, frozenset())
     except PySparkException:
-        try:
-            df.select(step.column()).schema  # noqa: B018
-        except PySparkException:
-            return False
-        return True
+        return False
 
 
 def leakage_lint(steps: list[FeatureStep], df: DataFrame, target: str | None) -> list[FeatureStep]:
@@ -100,28 +95,82 @@ def leakage_lint(steps: list[FeatureStep], df: DataFrame, target: str | None) ->
     return kept
 
 
+@dataclass(frozen=True)
+class FeatureProblem:
+    new_column: str
+    rule: str
+    text: str
+
+    def __str__(self) -> str:
+        return f"{self.new_column} {self.text}"
+
+
 def additivity_problems(steps: list[FeatureStep], df: DataFrame) -> list[str]:
-    """Each step adds exactly one new column, keeps the others, and looks at single rows only."""
-    problems, names = [], list(df.columns)
+    return [str(p) for p in feature_problems(steps, df)]
+
+
+def feature_problems(steps: list[FeatureStep], df: DataFrame, target: str | None = None) -> list[FeatureProblem]:
+    """Each step adds exactly one new column, keeps the others, looks at single rows only and gives the same every time.
+
+    With a ``target`` steps that read it are reported as well. Frequency encoding is the one step that may look at all
+    rows: its counts come from the training fold.
+    """
+    problems: list[FeatureProblem] = []
+    table, names = df, list(df.columns)
     for s in steps:
-        if s.new_column in names:
-            problems.append(f"{s.new_column} exists already")
-        sql = str(s.params.get("sql", ""))
-        if re.search(r"\bover\s*\(|\bselect\b|\bexplode", sql, re.IGNORECASE):
-            problems.append(f"{s.new_column} looks at more than its row")
-        names.append(s.new_column)
-    if not problems:
+        there = s.new_column in table.columns
+        if there:
+            problems.append(FeatureProblem(s.new_column, "new", "exists already"))
+        if target is not None and leaks(s, table, target):
+            problems.append(FeatureProblem(s.new_column, "leak", f"reads the target {target}"))
+        if s.fitted:
+            table = table if there else table.withColumn(s.new_column, F.lit(0).cast("long"))
+            names += [] if there else [s.new_column]
+            continue
         try:
-            out = df
-            for s in steps:
-                out = s.apply(out) if not s.fitted else out.withColumn(s.new_column, F.lit(0).cast("long"))
-            if out.columns != names:
-                problems.append(f"columns changed: {out.columns}")
-        except PySparkException as error:
-            problems.append(str(error))
+            after = s.apply(table)
+            facts = step_facts(table, after)
+        except (PySparkException, KeyError, ValueError) as error:
+            problems.append(FeatureProblem(s.new_column, "resolves", f"does not resolve: {error}"))
+            continue
+        for broken, rule, text in (
+            (facts.whole_table or facts.generates, "row", "looks at more than its row"),
+            (not facts.deterministic, "repeatable", "does not give the same again"),
+            (facts.timed, "repeatable", "depends on when it runs"),
+            (facts.opaque, "opaque", "uses a function nobody can look into"),
+        ):
+            if broken:
+                problems.append(FeatureProblem(s.new_column, rule, text))
+        names += [] if there else [s.new_column]
+        if after.columns != names:
+            problems.append(FeatureProblem(s.new_column, "columns", f"changes the columns to {after.columns}"))
+            names = list(after.columns)
+        table = after
     return problems
 
 
+def feature_lint_table(steps: list[FeatureStep], df: DataFrame, target: str | None = None) -> DataFrame:
+    """One row per problem of a feature step, and one for each step without any, beside the values it would add.
+
+    ``values`` counts the rows of ``df`` to which the step gives a value, for all steps in one scan; steps that look beyond their
+    row, or do not resolve, have no count.
+    """
+    problems = feature_problems(steps, df, target)
+    barred = {p.new_column for p in problems if p.rule in ("row", "resolves", "new")}
+    rows, counts, table = [], [], df
+    for i, s in enumerate(steps):
+        own = [p for p in problems if p.new_column == s.new_column]
+        rows += [(i + 1, s.new_column, p.rule, p.text) for p in own] or [(i + 1, s.new_column, "none", "nothing to object to")]
+        if s.new_column not in barred and not s.fitted:
+            table = s.apply(table)
+            counts.append(F.struct(F.lit(i + 1).alias("position"), F.count(F.col(f"`{s.new_column}`")).alias("values")))
+    out = df.sparkSession.createDataFrame(rows, "position int, new_column string, rule string, problem string")
+    if not counts:
+        return out.withColumn("values", F.lit(None).cast("long"))
+    counted = table.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("one")).select("one.*")
+    return out.join(F.broadcast(counted), "position", "left")
+
+
 def fit(steps: list[FeatureStep], train: DataFrame) -> dict[str, DataFrame]:
     """Counts of the training fold for each frequency-encoded source."""
     return {s.sources[0]: fx.value_counts(train, s.sources[0]) for s in steps if s.fitted}

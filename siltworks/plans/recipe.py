@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.operators import cleaning as act
+from siltworks.plans.lineage import ASKS_FOR_NULL, outcome_of_null, step_facts
 
 # The operations, the spellings they are also known by, and the order of a recipe.
 OPERATIONS = ("DROP_COLUMN", "DROP_ROWS", "RENAME_COLUMN", "CAST_TYPE", "CUSTOM_CODE")
@@ -97,48 +97,142 @@ def ordered(steps: list[Step]) -> list[Step]:
     return [replace(s, step_id=i + 1) for i, s in enumerate(placed)]
 
 
+@dataclass(frozen=True)
+class Problem:
+    """What is wrong with one step, or (step 0) with a recipe as a whole."""
+
+    step_id: int
+    rule: str
+    columns: tuple[str, ...]
+    text: str
+
+    def __str__(self) -> str:
+        return f"step {self.step_id} {self.text}" if self.step_id else self.text
+
+
 def lint(steps: list[Step], df: DataFrame, target: str | None = None, pairs: list[tuple[str, str]] | None = None, flagged: set[str] | None = None) -> list[str]:
-    """Everything that is wrong with a recipe; an empty list is a clean one. Nothing is executed.
+    """The problems of a recipe as sentences; an empty list is a clean recipe. Nothing is executed."""
+    return [str(p) for p in problems_of(steps, df, target, pairs, flagged)]
 
-    No new columns, no filling of gaps, no statistics of the whole table, no row drop on missing features, the target
-    stays, and the steps keep their order. A partner of a paired measurement is only nulled when it was flagged itself.
+
+def problems_of(steps: list[Step], df: DataFrame, target: str | None = None, pairs: list[tuple[str, str]] | None = None, flagged: set[str] | None = None) -> list[Problem]:
+    """Everything that is wrong with a recipe, judged by the plan each step resolves to and not by its text.
+
+    No new columns, no filling of gaps, no statistics of the whole table, nothing random, opaque or dependent on the hour, no
+    rescaling, no row drop on missing features; the target stays what it is, and the steps keep their order. A partner
+    of a paired measurement is only nulled when it was flagged itself.
     """
-    problems = []
+    problems: list[Problem] = []
+
+    def report(step_id: int, rule: str, columns, text: str) -> None:
+        problems.append(Problem(step_id, rule, tuple(columns), text))
+
     stages = [_STAGE[s.action] for s in steps]
     if stages != sorted(stages):
-        problems.append(f"steps are not in order: {' -> '.join(STEP_ORDER)}")
+        report(0, "order", (), f"steps are not in order: {' -> '.join(STEP_ORDER)}")
     for s in steps:
         touched = s.params.get("columns") or [s.column]
         if target is not None and s.action in ("drop_columns", "rename") and target in touched:
-            problems.append(f"step {s.step_id} drops or renames the target {target}")
+            report(s.step_id, "target", (target,), f"drops or renames the target {target}")
         if s.action == "drop_missing_target" and target is not None and s.column != target:
-            problems.append(f"step {s.step_id} drops rows on missing {s.column}, which is not the target")
-        sql = str(s.params.get("sql", "")) + str(s.params.get("condition", ""))
-        if re.search(r"\bover\s*\(|\bselect\b", sql, re.IGNORECASE):
-            problems.append(f"step {s.step_id} uses statistics of the whole table")
-        if s.action == "expression" and re.search(r"\b(coalesce|ifnull|nvl)\s*\(", sql, re.IGNORECASE):
-            problems.append(f"step {s.step_id} fills missing values")
-        if s.action == "drop_rows" and re.search(r"\bis\s+null\b", sql, re.IGNORECASE):
-            others = [c for c in df.columns if c != target and re.search(rf"\b{re.escape(c)}\b", sql)]
-            if others:
-                problems.append(f"step {s.step_id} drops rows on missing {', '.join(others)}")
+            report(s.step_id, "row drop", (s.column,), f"drops rows on missing {s.column}, which is not the target")
     for a, b in pairs or []:
         nulled = {s.column for s in steps if s.action in ("null_outside", "null_sentinels")}
         if {a, b} <= nulled and flagged is not None and not {a, b} <= flagged:
-            problems.append(f"both sides of the pair {a}, {b} are nulled but only one was flagged")
-    try:
-        after = resolve(steps, df)
-    except (RecipeError, PySparkException, KeyError, ValueError) as error:
-        return [*problems, f"does not resolve: {error}"]
+            report(0, "pair", (a, b), f"both sides of the pair {a}, {b} are nulled but only one was flagged")
+    table, resolved = df, True
+    for s in steps:
+        try:
+            after = resolve([s], table)
+        except (RecipeError, PySparkException, KeyError, ValueError) as error:
+            report(s.step_id, "resolves", (), f"does not resolve: {error}")
+            resolved = False
+            break
+        for rule, columns, text in _plan_problems(s, table, after, target):
+            report(s.step_id, rule, columns, text)
+        table = after
+    if not resolved:
+        return problems
     renamed = {s.params["to"] for s in steps if s.action == "rename"}
-    added = set(after.columns) - set(df.columns) - renamed
+    added = set(table.columns) - set(df.columns) - renamed
     if added:
-        problems.append(f"adds columns: {sorted(added)}")
-    if target is not None and target not in after.columns:
-        problems.append(f"target {target} does not survive")
+        report(0, "columns", sorted(added), f"adds columns: {sorted(added)}")
+    if target is not None and target not in table.columns:
+        report(0, "target", (target,), f"target {target} does not survive")
     return problems
 
 
+def _plan_problems(s: Step, before: DataFrame, after: DataFrame, target: str | None) -> list[tuple[str, tuple[str, ...], str]]:
+    """The rules about a step's plan. Only free SQL can break most of them; the named actions go through the same questions."""
+    facts, out = step_facts(before, after), []
+    free = s.action in ("expression", "drop_rows")
+    if facts.whole_table and s.action != "drop_duplicates":
+        out.append(("whole table", (), "uses statistics of the whole table"))
+    if not facts.deterministic or facts.timed:
+        out.append(("repeatable", (), "does not give the same again" if not facts.deterministic else "depends on when it runs"))
+    if facts.opaque:
+        out.append(("opaque", (), "uses a function nobody can look into"))
+    if target in facts.after and target in facts.changed and target in facts.before:
+        was, now = facts.before[target], facts.after[target]
+        if now == "string" != was:
+            out.append(("target", (target,), f"turns the target {target} into text"))
+        elif free and now != was:
+            out.append(("target", (target,), f"changes the type of the target {target}"))
+        if free and target not in facts.reads[target]:
+            out.append(("target", (target,), f"replaces the target {target}"))
+    if s.action == "expression" and s.column in facts.before and s.column in facts.changed:
+        filled = outcome_of_null(before, s.apply, s.column, s.column)
+        if filled == "value" or filled == "open" and facts.kinds & ASKS_FOR_NULL:
+            out.append(("fill", (s.column,), "fills missing values"))
+        elif s.column not in facts.reads[s.column] and not facts.whole_table and s.column != target:
+            out.append(("replace", (s.column,), f"puts something else in the place of {s.column}"))
+        if {"Subtract", "Divide"} <= facts.kinds and not facts.kinds & {"If", "CaseWhen"} and facts.reads[s.column] == {s.column}:
+            out.append(("scale", (s.column,), f"rescales {s.column}"))
+    if s.action == "drop_rows":
+        asked = facts.kinds & ASKS_FOR_NULL
+        missing = [c for c in before.columns if c in facts.conditions and c != target and (asked and outcome_of_null(before, s.apply, c) != "null" or outcome_of_null(before, s.apply, c) == "value")]
+        if missing:
+            out.append(("row drop", tuple(missing), f"drops rows on missing {', '.join(missing)}"))
+    return out
+
+
+def lint_table(steps: list[Step], df: DataFrame, target: str | None = None, pairs: list[tuple[str, str]] | None = None, flagged: set[str] | None = None) -> DataFrame:
+    """One row per problem of a step, and one for each step without any, beside the rows of ``df`` the step changes or drops.
+
+    The plans are read on the driver; the rows are counted in one job, whatever the number of steps. A step that
+    does not resolve, and those after it, have no count.
+    """
+    problems = problems_of(steps, df, target, pairs, flagged)
+    spark, counted, table = df.sparkSession, None, df
+    for s in steps:
+        try:
+            one = _touched(s, table).select(F.lit(s.step_id).alias("step_id"), F.col("n").alias("rows_touched"))
+            table = resolve([s], table)
+        except (RecipeError, PySparkException, KeyError, ValueError):
+            break
+        counted = one if counted is None else counted.unionByName(one)
+    rows = [(s.step_id, s.operation, p.rule, list(p.columns), p.text) for s in steps for p in problems if p.step_id == s.step_id]
+    clean = [(s.step_id, s.operation, "none", [], "nothing to object to") for s in steps if not any(p.step_id == s.step_id for p in problems)]
+    rows += clean + [(0, "RECIPE", p.rule, list(p.columns), p.text) for p in problems if not p.step_id]
+    out = spark.createDataFrame(rows, "step_id int, operation string, rule string, columns array<string>, problem string")
+    return out.withColumn("rows_touched", F.lit(None).cast("long")) if counted is None else out.join(F.broadcast(counted), "step_id", "left")
+
+
+def _touched(s: Step, before: DataFrame) -> DataFrame:
+    """How many rows of its input a step drops, or changes in its column; columns that go are not counted as changes."""
+    if s.operation == "DROP_ROWS":
+        kept = resolve([s], before).agg(F.count(F.lit(1)).alias("kept"))
+        return before.agg(F.count(F.lit(1)).alias("all")).select((F.col("all") - kept.scalar()).alias("n"))
+    if s.operation in ("DROP_COLUMN", "RENAME_COLUMN"):
+        return before.agg(F.lit(0).cast("long").alias("n"))
+    copy = "_before"
+    while copy in before.columns:
+        copy += "_"
+    after = resolve([s], before.withColumn(copy, F.col(f"`{s.column}`")))
+    same = F.col(f"`{s.column}`").cast("string").eqNullSafe(F.col(copy).cast("string"))
+    return after.agg(F.count_if(~same).alias("n"))
+
+
 def resolve(steps: list[Step], df: DataFrame) -> DataFrame:
     """The lazy result; a step that does not resolve against its input fails here, before any job."""
     out = df
@@ -147,7 +241,7 @@ def resolve(steps: list[Step], df: DataFrame) -> DataFrame:
             out = s.apply(out)
             out.schema  # noqa: B018 - forces analysis of this step
         except (PySparkException, KeyError, ValueError) as error:
-            raise RecipeError(f"Step {s.step_id} ({s.operation}) failed: {error}") from error
+            raise RecipeError(f"step {s.step_id}, {s.operation}: {error}") from error
     return out
 
 
@@ -229,7 +323,7 @@ def replay(steps: list[Step], df: DataFrame, target: str | None = None) -> DataF
     """The same steps on another fold or on a stream; any error aborts, and the target must survive."""
     out = resolve(steps, df)
     if target is not None and target not in out.columns:
-        raise RecipeError(f"Target column '{target}' missing after replay")
+        raise RecipeError(f"the replayed steps lose the target {target}")
     return out
 
 

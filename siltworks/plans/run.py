@@ -5,15 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from siltworks.operators.profiling import ProfileOptions, profile
 from siltworks.operators.quality import quality_score
 from siltworks.operators.splitting import three_way_split
 from siltworks.operators.training import fit_best, model_metadata, permutation_importance, preflight, score
-from siltworks.operators.violations import Rules, caveats, choose_target, drop_candidates, findings_summary, target_candidates
-from siltworks.plans.feature_rounds import FeatureStep, fit, propose_features, replay_features, run_rounds
-from siltworks.plans.passes import PassesResult, clean_in_passes
+from siltworks.operators.violations import Rules, caveats, choose_target, findings_summary, target_candidates
+from siltworks.plans.feature_rounds import FeatureStep
+from siltworks.plans.fitted import fit_state
+from siltworks.plans.passes import PassesResult
+from siltworks.session import cut_lineage
 from siltworks.sources.writers import write_csv, write_json
 
 
@@ -44,9 +45,10 @@ class RunReport:
 
 
 def run_table(df: DataFrame, key: str, question: str = "", target: str | None = None, rules: Rules | None = None, task_type: str | None = None, train: bool = True) -> RunReport:
-    """Profile, choose the target, clean in passes, drop identifiers and personal data, derive features, train, score.
+    """Profile, choose the target, split, and learn cleaning, dropped columns and features from the training fold; train, score.
 
-    ``key`` identifies the rows; it is kept for the folds and never a feature.
+    ``key`` identifies the rows; it is kept for the folds and never a feature. ``rules`` are left as they are. Without ``train``
+    there is no split, and the whole table is learnt from.
     """
     rules = rules or Rules()
     options = ProfileOptions(as_of=rules.as_of)
@@ -55,24 +57,19 @@ def run_table(df: DataFrame, key: str, question: str = "", target: str | None =
     chosen = choose_target(df.columns, ranked, rules.target, target)
     if chosen is None:
         raise ValueError("no column can be predicted")
-    rules.target = chosen
-    passes = clean_in_passes(df, rules)
-    after = profile(passes.table, options)
-    candidates = {r["column"] for r in drop_candidates(after, passes.violations, chosen, rules.leaky).collect()}
-    # Continuous measurements are nearly unique by nature; only texts and whole numbers are identifiers.
-    measured = {c for c, t in passes.table.dtypes if t in ("double", "float", "timestamp", "timestamp_ntz", "date")}
-    dropped = sorted((candidates - measured) & set(passes.table.columns) - {key, chosen})
-    slim = passes.table.drop(*dropped)
-    plan = run_rounds(slim, chosen, lambda table, n: propose_features(after.where(F.col("column").isin(*slim.columns) & (F.col("column") != key)), chosen, table.columns, n) if n == 1 else [])
-    report = RunReport(chosen, first, quality_score(first, chosen), passes, dropped, plan.steps, plan.table, caveats(df, passes.violations), findings_summary(passes.violations))
+    regression = task_type == "regression" or dict(df.dtypes)[chosen] == "double"
+    folds = [cut_lineage(f) for f in three_way_split(df, key, None if regression else chosen)] if train else [df]
+    fitted = fit_state(folds[0], chosen, key, rules)
+    state, passes = fitted.state, fitted.passes
+    report = RunReport(
+        chosen, first, quality_score(first, chosen), passes, state.dropped, state.features, state.transform(df), caveats(df, passes.violations), findings_summary(passes.violations)
+    )
     if not train:
         return report
-    report.error = preflight(plan.table, chosen).first()["error"]
+    report.error = preflight(fitted.table, chosen).first()["error"]
     if report.error is None:
-        folds = three_way_split(slim, key, None if task_type == "regression" or dict(slim.dtypes)[chosen] == "double" else chosen)
-        fitted = fit(plan.steps, folds[0])
-        training, validation, test = (replay_features(plan.steps, f, fitted) for f in folds)
-        model = fit_best(training, validation, chosen, task_type, ignore=(key,))
+        validation, test = (state.transform(f) for f in folds[1:])
+        model = fit_best(fitted.table, validation, chosen, task_type, ignore=(key,))
         model.importance = permutation_importance(model, validation, key)
         report.model = model_metadata(model, df)
         report.test_score = score(model, test, model.metric)

@@ -12,7 +12,9 @@ from siltworks.operators.violations import Rules
 from siltworks.plans import feature_rounds as fr
 from siltworks.plans.feature_rounds import FeatureStep
 from siltworks.plans.passes import clean_in_passes
-from siltworks.plans.recipe import RecipeError, Step, apply, lint, ordered, replay
+from siltworks.plans.benchmark import FEATURES_FAILED, GRAPH_FAILED, OK, REPLAY_FAILED, TRAINING_FAILED, Dataset, run, run_one
+from siltworks.plans.fitted import FitState, fit_state
+from siltworks.plans.recipe import RecipeError, Step, apply, lint, lint_table, ordered, replay
 from siltworks.session import cut_lineage
 
 
@@ -66,6 +68,71 @@ def test_lint_names_each_problem(table, step, words):
     assert any(words in p for p in lint([step], table, "y"))
 
 
+@pytest.mark.parametrize(
+    "step, rule",
+    [
+        (Step(1, "CUSTOM_CODE", "expression", "c", {"sql": "case when c is null then 'F' else c end"}), "fill"),
+        (Step(1, "CUSTOM_CODE", "expression", "c", {"sql": "if(c <=> null, 'F', c)"}), "fill"),
+        (Step(1, "CUSTOM_CODE", "expression", "c", {"sql": "concat_ws('', c)"}), "fill"),
+        (Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "x + rand()"}), "repeatable"),
+        (Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "case when current_timestamp() > '2020-01-01' then x end"}), "repeatable"),
+        (Step(1, "CUSTOM_CODE", "expression", "y", {"sql": "concat('n', cast(y as string))"}), "target"),
+        (Step(1, "CUSTOM_CODE", "expression", "y", {"sql": "x"}), "target"),
+        (Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "y"}), "replace"),
+        (Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "(x - 3.5) / 1.25"}), "scale"),
+        (Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "x / (select max(id) from range(5))"}), "whole table"),
+        (Step(1, "DROP_ROWS", "drop_rows", None, {"condition": "isnull(x)"}), "row drop"),
+        (Step(1, "DROP_ROWS", "drop_rows", None, {"condition": "coalesce(x, -5) < 0"}), "row drop"),
+        (Step(1, "DROP_ROWS", "drop_rows", None, {"condition": "not (x is not null and y > 0)"}), "row drop"),
+    ],
+)
+def test_lint_looks_through_other_spellings(table, step, rule):
+    assert rule in {r["rule"] for r in lint_table([step], table, "y").collect()}
+
+
+@pytest.mark.parametrize(
+    "step",
+    [
+        Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "case when x > 5 then null else x end"}),
+        Step(1, "CUSTOM_CODE", "expression", "c", {"sql": "nullif(trim(c), '')"}),
+        Step(1, "CUSTOM_CODE", "expression", "x", {"sql": "nullif(x, -1)"}),
+        Step(1, "DROP_ROWS", "drop_rows", None, {"condition": "x > 5"}),
+        Step(1, "DROP_ROWS", "drop_rows", None, {"condition": "y is null"}),
+        Step(1, "CAST_TYPE", "cast", "c", {"to": "double"}),
+        Step(1, "CUSTOM_CODE", "null_non_finite", "x"),
+        Step(1, "CUSTOM_CODE", "null_outside", "x", {"low": 0.0}),
+        Step(1, "DROP_ROWS", "drop_duplicates", None, {"keys": ["id"], "order": ["id"]}),
+    ],
+)
+def test_lint_leaves_honest_steps_alone(table, step):
+    assert lint([step], table, "y") == []
+
+
+def test_lint_counts_what_a_step_touches(table):
+    steps = [Step(1, "CUSTOM_CODE", "trim", "c"), Step(2, "DROP_ROWS", "drop_rows", None, {"condition": "isnull(c)"}), Step(3, "DROP_COLUMN", "drop_columns", "x")]
+    got = {r["step_id"]: (r["rule"], r["rows_touched"]) for r in lint_table(steps, table, "y").collect()}
+    assert got == {0: ("order", None), 1: ("none", 1), 2: ("row drop", 1), 3: ("none", 0)}
+
+
+def test_feature_lints_read_the_plan(table):
+    spark = table.sparkSession
+    spark.udf.register("own", lambda v: v, "double")
+    steps = [
+        FeatureStep("packed", "CUSTOM_FEATURE", ("x",), {"sql": "to_json(struct(*))"}),
+        FeatureStep("again", "CUSTOM_FEATURE", ("packed",), {"sql": "length(packed)"}),
+        FeatureStep("noise", "CUSTOM_FEATURE", ("x",), {"sql": "uuid()"}),
+        FeatureStep("hidden", "CUSTOM_FEATURE", ("x",), {"sql": "own(x)"}),
+        FeatureStep("many", "CUSTOM_FEATURE", ("x",), {"sql": "explode(array(1, 2))"}),
+        FeatureStep("c", "CUSTOM_FEATURE", ("x",), {"sql": "upper(c)"}),
+        FeatureStep("fine", "CUSTOM_FEATURE", ("x",), {"sql": "x * 2"}),
+    ]
+    found = {}
+    for p in fr.feature_problems(steps, table, "y"):
+        found.setdefault(p.new_column, set()).add(p.rule)
+    assert found == {"packed": {"leak"}, "noise": {"repeatable"}, "hidden": {"opaque"}, "many": {"row"}, "c": {"new"}}
+    assert [s.new_column for s in fr.leakage_lint(steps[:2] + steps[-1:], table, "y")] == ["again", "fine"]
+
+
 def test_lint_accepts_a_clean_recipe_in_order(table):
     steps = ordered([Step(0, "DROP_ROWS", "drop_missing_target", "y"), Step(0, "CUSTOM_CODE", "trim", "c"), Step(0, "DROP_COLUMN", "drop_columns", "id")])
     assert [s.action for s in steps] == ["drop_columns", "trim", "drop_missing_target"] and [s.step_id for s in steps] == [1, 2, 3]
@@ -186,3 +253,67 @@ def test_passes_leave_codes_alone(spark):
     assert (kept["codes"], kept["weights"], kept["total"]) == (1000, 1000, 499500.0)
     told = result.violations.where("affected_columns[0] = 'code' and subtype = 'UNIT_SUFFIX'").collect()
     assert [(v["severity"], v["n_rows"]) for v in told] == [("INFO", 20)]
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """A number to predict, a category with a gap, a sentinel, an identifier; key 1000 and more only in the test fold's reach."""
+    return spark.range(600).selectExpr(
+        "id", "concat('ref-', id) as ref", "case when id % 11 = 0 then 9999.0 else id % 50 end as x", "case when id % 7 = 0 then null else concat('g', id % 5) end as g",
+        "cast(id % 50 as double) * 3 + pmod(xxhash64(id), 10) as y",
+    )
+
+
+def dataset(frame, **more):
+    return Dataset("made", lambda spark: frame, "y", "regression", "rmse", "id", **({"rules": Rules(sentinels={"x": [9999.0]}), "features": []} | more))
+
+
+def failing_on(frame, fold: int, column: str = "x"):
+    """A condition that is true for the rows of one fold only."""
+    from siltworks.operators.splitting import three_way_split
+
+    ids = sorted(r["id"] for r in three_way_split(frame, "id")[fold].select("id").collect())
+    return f"case when id = {ids[0]} then cast('no number' as double) else {column} end"
+
+
+def test_stages_of_a_run(labelled, spark):
+    done = run_one(spark, dataset(labelled))
+    assert done.result["status"] == OK and done.result["test_score"] > 0
+    assert [(s[2], s[3]) for s in done.stages] == [(n, OK) for n in ("split", "fit", "replay", "features", "train", "score")]
+    assert [s[4] for s in done.stages][0] == 600 and done.result["n_train"] == 480 == done.stages[1][4]
+
+
+def test_replays_that_fail_are_told_apart(labelled, spark):
+    bad_step = Step(1, "CUSTOM_CODE", "expression", "x", {"sql": failing_on(labelled, 2)})
+    assert run_one(spark, dataset(labelled, steps=[bad_step])).result["status"] == REPLAY_FAILED
+    bad_feature = FeatureStep("z", "CUSTOM_FEATURE", ("x",), {"sql": failing_on(labelled, 2)})
+    assert run_one(spark, dataset(labelled, features=[bad_feature])).result["status"] == FEATURES_FAILED
+    assert run_one(spark, dataset(labelled.limit(0))).result["status"] == TRAINING_FAILED
+    assert run_one(spark, Dataset("made", lambda s: labelled, "nothing", "regression", "rmse", "id")).result["status"] == GRAPH_FAILED
+    unknown = Dataset("made", lambda s: labelled, "y", "regression", "no_such_metric", "id", features=[])
+    assert run_one(spark, unknown).result["status"] == TRAINING_FAILED
+    both = [dataset(labelled, steps=[bad_step]), unknown]
+    assert [r["status"] for r in run(spark, both).collect()] == [REPLAY_FAILED, TRAINING_FAILED]
+
+
+def test_no_test_row_reaches_the_fit(labelled, spark):
+    """Whatever stands in the other folds, what is learnt stays the same."""
+    from siltworks.operators.splitting import assign_folds
+
+    marked = assign_folds(labelled, "id")
+    other = marked.selectExpr("id", "ref", "case when fold = 'train' then x else -77777 end as x", "case when fold = 'train' then g else concat('new', id) end as g", "case when fold = 'train' then y else -1 end as y")
+    states = []
+    for frame in (labelled, other):
+        train = assign_folds(frame, "id").where("fold = 'train'").drop("fold")
+        fitted = fit_state(train, "y", "id", Rules(sentinels={"x": [9999.0]}), features=[FeatureStep("gn", "CATEGORY_ENCODE", ("g",), {"kind": "frequency"})])
+        states.append((fitted.state.steps, fitted.state.dropped, fitted.state.features, sorted(map(tuple, fitted.state.counts["g"].collect()))))
+    assert states[0] == states[1] and "ref" in states[0][1] and states[0][3]
+
+
+def test_fit_state_survives_writing(labelled, spark, tmp_path):
+    fitted = fit_state(labelled, "y", "id", Rules(sentinels={"x": [9999.0]}), features=[FeatureStep("gn", "CATEGORY_ENCODE", ("g",), {"kind": "frequency"}), FeatureStep("b", "BINNING", ("x",), {"edges": [0.0, 10.0, 60.0]})])
+    fitted.state.save(spark, str(tmp_path / "state"))
+    again = FitState.load(spark, str(tmp_path / "state"))
+    assert (again.steps, again.dropped, again.features) == (fitted.state.steps, fitted.state.dropped, fitted.state.features)
+    want = fitted.state.transform(labelled).orderBy("id").collect()
+    assert again.transform(labelled).orderBy("id").collect() == want and len(want) == 600

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siltworks.operators import runlog as rl
 from siltworks.operators import skew as sk
-from siltworks.operators.quantiles import exact_quantiles
+from siltworks.operators.quantiles import exact_quantiles, sketch_quantiles
 from siltworks.operators.scoring import auc_by_group
 from siltworks.operators.splitting import assign_folds, three_way_split
 
@@ -139,20 +139,52 @@ def test_auc_counts_every_pair(spark, hot_rows):
         assert got[g] == pytest.approx(wins / (len(pos) * len(neg)), abs=1e-12)
 
 
-@pytest.mark.parametrize("shape", ["normal", "ties", "heavy", "constant"])
+@pytest.mark.parametrize("shape", ["normal", "ties", "heavy", "constant", "two", "one"])
 def test_quantiles_by_bracketing(spark, shape):
     rng = np.random.default_rng(11)
-    x = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 12, 3000).astype(float), "heavy": np.where(rng.random(3000) < 0.6, 7.0, rng.normal(size=3000)), "constant": np.full(500, 2.5)}[shape]
+    n = 3000
+    x = {
+        "normal": rng.normal(size=n), "ties": rng.integers(0, 12, n).astype(float), "heavy": np.where(rng.random(n) < 0.6, 7.0, rng.normal(size=n)),
+        "constant": np.full(500, 2.5), "two": np.array([3.0, -1.0]), "one": np.array([4.0]),
+    }[shape]
     df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
     probabilities = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    for exact_rows, accuracy in ((100, 200), (10, 50), (10**6, 200)):
-        got = exact_quantiles(df, {"x": F.col("x")}, probabilities, exact_rows, accuracy)["x"]
+    found = []
+    for inside, size, slack in ((10, 8, 0.2), (50, 32, 0.06), (10**9, 4096, 0.004), (10, 8, 0.0)):
+        got = exact_quantiles(df, {"x": F.col("x")}, probabilities, inside, size, slack)["x"]
         assert got == pytest.approx(list(np.quantile(x, probabilities)), abs=1e-12)
+        found.append(got)
+    assert all(f == found[0] for f in found)
+
+
+def test_quantiles_take_a_fixed_number_of_jobs(spark):
+    """Sketch, narrow, count: the same few scans for one column and for thirty."""
+    df = spark.range(40_000).selectExpr(*[f"cast((id * {2 * i + 7919}) % 39983 as double) as c{i}" for i in range(30)])
+    tracker = spark.sparkContext.statusTracker()
+    for inside, most in ((10**9, 2), (2000, 4)):
+        jobs = []
+        for names in (["c0"], df.columns):
+            spark.sparkContext.setJobGroup(f"quantiles-{inside}-{len(names)}", "")
+            got = exact_quantiles(df, {c: F.col(c) for c in names}, (0.25, 0.5, 0.75), inside_rows=inside)
+            scans = {s for j in tracker.getJobIdsForGroup(f"quantiles-{inside}-{len(names)}") for s in tracker.getJobInfo(j).stageIds}
+            jobs.append(len(scans))
+            want = {c: list(np.quantile(df.select(c).toPandas()[c], (0.25, 0.5, 0.75))) for c in names[:3]}
+            assert {c: got[c] for c in names[:3]} == want
+        spark.sparkContext.setJobGroup("", "")
+        assert jobs[1] <= jobs[0] + 2
 
 
 def test_quantiles_of_an_empty_column(spark):
     df = spark.range(50).selectExpr("cast(null as double) as x", "cast(id as double) as y")
-    assert exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.5,), exact_rows=10) == {"x": [None], "y": [24.5]}
+    for inside in (5, 10**9):
+        assert exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.5,), inside) == {"x": [None], "y": [24.5]}
+    assert exact_quantiles(df.limit(0), {"y": F.col("y")}, (0.5,)) == {"y": [None]} and exact_quantiles(df, {}, (0.5,)) == {}
+
+
+def test_sketched_quantiles_lie_near_the_ranks(spark):
+    df = spark.range(20_000).selectExpr("cast(id as double) as x", "cast(null as double) as y")
+    got = sketch_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, (0.25, 0.5, 0.75))
+    assert got["x"] == pytest.approx([5000, 10000, 15000], abs=100) and got["y"] == [None] * 3
 
 
 @pytest.mark.parametrize("target", [None, "t"])
@@ -180,12 +212,14 @@ def test_profile_does_not_depend_on_partitions(spark, small):
     assert a == b
 
 
-def test_large_table_profile_takes_quantiles_by_bracketing(spark, small, monkeypatch):
+def test_profile_quartiles_do_not_depend_on_the_number_of_scans(spark, small, monkeypatch):
     from siltworks.catalog.views import AS_OF, view
     from siltworks.operators import profiling as pr
 
     df = view(spark, small, "orders_dirty")
-    want = pr.profile(df, pr.ProfileOptions(as_of=AS_OF)).select("column", "q1", "median", "q3").collect()
-    monkeypatch.setattr(pr, "is_large", lambda frame: True)
-    got = pr.profile(df, pr.ProfileOptions(as_of=AS_OF)).select("column", "q1", "median", "q3").collect()
-    assert sorted(got) == sorted(want)
+    columns = ["column", "q1", "median", "q3", "metrics"]
+    want = pr.profile(df, pr.ProfileOptions(as_of=AS_OF, extended=True)).select(columns).collect()
+    for inside in (10, 10**9):
+        monkeypatch.setattr(pr, "exact_quantiles", lambda frame, values, p=(0.25, 0.5, 0.75), n=inside: exact_quantiles(frame, values, p, n))
+        got = pr.profile(df, pr.ProfileOptions(as_of=AS_OF, extended=True)).select(columns).collect()
+        assert {r["column"]: r for r in got} == {r["column"]: r for r in want}
