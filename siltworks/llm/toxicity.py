@@ -27,6 +27,8 @@ SLOTS = 1 << 18
 LEADS = (4, 5, 6, 7, 8, 9)
 REMEMBERED = 400_000
 OFFENDING = 0.5
+# Score of every text where no model could be learnt: a share of toxic texts that a corpus may well have.
+UNKNOWN = 0.1
 _SENTENCE = re.compile(rb"[^.!?\n]+(?:[.!?]+|\n|$)|[.!?\n]+")
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -71,7 +73,7 @@ class _Weights(dict):
 
 
 def fit(texts: list[bytes], labels: list[int], weights: list[float], rounds: int = 150, rate: float = 0.08, decay: float = 5e-5, least_share: float = 0.003) -> SentenceModel:
-    """Noisy-or likelihood of the document labels, by Adam. Without both classes every score is one half."""
+    """Noisy-or likelihood of the document labels, by Adam. Without both classes nothing is learnt."""
     if len(set(labels)) < 2:
         return SentenceModel(np.zeros(SLOTS, np.float32), float("nan"))
     number: dict[bytes, int] = {}
@@ -126,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: Bound
 def score(df: DataFrame, model: SentenceModel, keys: list[str], text_col: str = "text", offending: float = OFFENDING) -> DataFrame:
     """``keys`` of each row with score (0 to 1) and worst: byte spans and probabilities of offending sentences.
 
-    Null and empty texts have no sentence and score 0 (one half if there was nothing to learn from). Whole texts are
+    Null and empty texts have no sentence and score 0. If there was nothing to learn from, every text scores ``UNKNOWN``, below any
+    usual threshold: without evidence nothing is called toxic. Whole texts are
     scored, repeated rows alike; no other column is an input. ``keys`` must not be called score or worst.
     """
     rows = df.select(*[F.col(f"`{k}`") for k in keys], text_of(text_col).alias("_t"))
@@ -140,7 +143,7 @@ def score(df: DataFrame, model: SentenceModel, keys: list[str], text_col: str =
             carried = zip(*[batch.column(i).to_pylist() for i in range(width)]) if width else iter([()] * batch.num_rows)
             for key, text in zip(carried, octets(batch.column(width))):
                 if bias != bias:
-                    yield *key, 0.5, []
+                    yield *key, UNKNOWN, []
                     continue
                 clean, worst = 0.0, []
                 for a, b in sentences(text):
