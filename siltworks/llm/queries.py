@@ -80,21 +80,20 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"))
     scored = toxicity.score(docs, model, ["doc_id"])
-    return scored.select("doc_id", crc_fold(F.col("doc_id")).alias("held_out"), "score", (F.lit(model.learnt) & (F.col("score") >= TOXIC_AT)).cast("int").alias("predicted"), "worst")
+    return scored.select("doc_id", crc_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "worst")
 
 
 @family.query(f"""
-with l as (select doc_id, source, text, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-s as (select trim(raw) as line from l where trim(raw) <> '' group by 1 having count(distinct coalesce(source, chr(1))) >= {line_dedup.MIN_SITES}),
-m as (select l.*, s.line is not null as cut from l left join s on trim(l.raw) = s.line),
-d as (select doc_id, any_value(text) as text, count(*) as n_lines, count(*) filter (where cut) as n_cut, coalesce(sum(length(raw)) filter (where cut), 0) as chars,
-  coalesce(string_agg(raw, chr(10) order by pos) filter (where not cut), '') as rest from m group by doc_id)
-select doc_id, case when chars <= length(text) * {line_dedup.MOST_CUT} then rest else text end as text, n_lines,
-  case when chars <= length(text) * {line_dedup.MOST_CUT} then n_cut else 0 end as n_cut from d
+with c as (select text, count(distinct coalesce(source, chr(1))) >= {line_dedup.MIN_SITES} as copied from (select coalesce(text, '') as text, source from documents) group by 1),
+l as (select d.doc_id, d.text, case when c.copied then 'copies of ' || md5(d.text) else 'site ' || coalesce(d.source, chr(1)) end as site,
+  unnest(string_split(d.text, chr(10))) as raw, unnest(range(len(string_split(d.text, chr(10))))) as pos from documents d left join c on c.text = d.text),
+s as (select trim(raw) as line from l where trim(raw) <> '' group by 1 having count(distinct site) >= {line_dedup.MIN_SITES}),
+m as (select l.*, s.line is not null as cut from l left join s on trim(l.raw) = s.line)
+select doc_id, coalesce(string_agg(raw, chr(10) order by pos) filter (where not cut), '') as text, count(*) as n_lines, count(*) filter (where cut) as n_cut from m group by doc_id
 """)
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return line_dedup.dedup_lines(docs, report=True).drop("source")
+    return line_dedup.dedup_lines(docs, report=True, most_cut=None).drop("source")
 
 
 @family.query()
