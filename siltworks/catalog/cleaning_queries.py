@@ -227,6 +227,18 @@ def committed_steps(spark, sf) -> DataFrame:
     return steps.withColumn("rows", df.agg(F.count(F.lit(1))).scalar())
 
 
+@query(
+    f"""{DIRTY}, f as (select count(*) filter (where not coalesce(isfinite(amount), false)) as missing, count(*) filter (where isinf(amount)) as inf, count(*) filter (where amount = -1) as minus,
+ count(*) filter (where {date_sql('order_date_s')} > timestamp '{AS_OF}') as future from orders_dirty)
+ select cast(v.pass_number as integer) as pass_number, v.category, v.columns, v.status, v.rows_before from f, lateral (values
+ (0, 'MISSING_DATA', 'amount', 'new', null), (1, 'MISSING_DATA', 'amount', 'repaired', missing), (0, 'OUTLIER', 'order_date_s', 'new', null), (1, 'OUTLIER', 'order_date_s', 'repaired', future)) v(pass_number, category, columns, status, rows_before)"""
+)
+def findings_ledger(spark, sf) -> DataFrame:
+    """What the passes found against the pass before: the missing target and the future dates are repaired, and not reported again."""
+    ledger = _passes(spark, sf).ledger_table()
+    return ledger.where("category in ('MISSING_DATA', 'OUTLIER')").select("pass_number", "category", "columns", "status", "rows_before")
+
+
 FOLD_SQL = """select *, case when rn <= floor(0.8 * n) then 'train' when rn <= floor(0.9 * n) then 'val' else 'test' end as fold from
  (select *, row_number() over (partition by {s} order by md5(cast(o_orderkey as varchar) || '42'), o_orderkey) as rn, count(*) over (partition by {s}) as n from {t})"""
 

@@ -120,6 +120,21 @@ def near_duplicates_normalised(spark, sf) -> DataFrame:
     return vl.near_duplicates_normalised(table(spark, sf, "documents"), "text")
 
 
+_SHAPE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '[^\p{L}\p{Nd}\s]+', '.', 'g'), '\p{Nd}+', '9', 'g'), '\p{L}+', 'A', 'g'), '\s+', '_', 'g')"
+
+
+@query(
+    f"{ctes('orders_dirty')}, s as ("
+    + " union all ".join(f"select '{c}' as \"column\", {_SHAPE.replace('{c}', c)} as shape from orders_dirty where {c} is not null" for c in ("amount_s", "order_date_s", "priority", "status", "email"))
+    + """), g as (select "column", shape, count(*) as n from s group by all), r as (select *, row_number() over (partition by "column" order by n desc, shape) as k, sum(n) over (partition by "column") as total, count(*) over (partition by "column") as shapes from g)
+ select a."column", a.shape, a.n, b.shape as second_shape, b.n as second_n, a.shapes, a.total::bigint as total from r a join r b on a."column" = b."column" and a.k = 1 and b.k = 2
+ where a.n >= 0.5 * a.total and a.n < 0.9 * a.total and b.n >= 0.05 * a.total"""
+)
+def detect_mixed_shapes(spark, sf) -> DataFrame:
+    """Text columns whose values come in several shapes: the commonest two and their counts."""
+    return vl.mixed_shapes(view(spark, sf, "orders_dirty"), ["amount_s", "order_date_s", "priority", "status", "email"])
+
+
 # The hash functions of the sketch, written out so that the comparison does not follow the code.
 _HASHES = (
     (304572262, 1938672329), (2077048831, 535143864), (319740139, 501680725), (414808610, 354535317),

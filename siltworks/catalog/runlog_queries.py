@@ -234,6 +234,15 @@ def transcripts(spark, sf) -> DataFrame:
     return rl.transcript(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
 
 
+@query(
+    """with t as (select conv_id, string_agg(upper(role) || ': ' || text, chr(10) || chr(10) order by turn) as whole from conversations group by 1)
+ select conv_id, k as piece, k * 100 as start, substr(whole, k * 100 + 1, 100) as text from (select conv_id, whole, unnest(range((length(whole) + 99) // 100)) as k from t)"""
+)
+def transcript_pieces(spark, sf) -> DataFrame:
+    """Transcripts in pieces of a hundred characters, cut inside lines where a piece ends there."""
+    return rl.transcript_pieces(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", piece_chars=100)
+
+
 @query(
     """select cast(month(o_orderdate) as integer) as pass_number, 'pass ' || month(o_orderdate) || ': findings ' || count(*) filter (where o_orderstatus = 'F') || ', steps ' || count(distinct o_orderpriority) || ', rows left ' || count(*) as line
  from orders group by 1, month(o_orderdate)"""

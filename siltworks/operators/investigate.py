@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +20,8 @@ from siltworks.session import pin_small
 # Default sizes of the reports.
 INSPECT_ROWS, PAIRS, VIOLATION_SAMPLES, BINS, CATEGORIES = 5, 10, 5, 20, 25
 NULL_OVERLAP, NULL_PAIRS, CORRELATIONS = 0.5, 20, 10
+# Columns whose null flags share a number, and rows that are multiplied at once.
+MASK_BITS, MASK_ROWS = 62, 4096
 
 
 class InvestigationError(ValueError):
@@ -25,7 +31,7 @@ class InvestigationError(ValueError):
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise InvestigationError(f"Column not found: {', '.join(missing)}. Available: {df.columns}")
+        raise InvestigationError(f"no such column: {', '.join(missing)}; the table has {df.columns}")
 
 
 def matching(df: DataFrame, predicate: str) -> DataFrame:
@@ -34,7 +40,7 @@ def matching(df: DataFrame, predicate: str) -> DataFrame:
         out = df.where(F.expr(predicate))
         out.schema  # noqa: B018 - resolves the plan
     except (AnalysisException, ParseException) as error:
-        raise InvestigationError(f"Query failed: {error}") from error
+        raise InvestigationError(f"this cannot be asked: {error}") from error
     return out
 
 
@@ -92,7 +98,7 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     x = number_of(column, df.schema[column].dataType)
     span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count_if(present(column, df.schema[column].dataType)).alias("n")).first()
     if span["n"] == 0:
-        raise InvestigationError(f"Column '{column}' is entirely null.")
+        raise InvestigationError(f"nothing but nulls in {column}")
     if span["lo"] is None:
         raise InvestigationError(f"Column '{column}' has no finite values.")
     lo, hi = span["lo"], span["hi"]
@@ -134,26 +140,46 @@ def value_distribution(df: DataFrame, column: str, bins: int = BINS) -> DataFram
     if isinstance(df.schema[column].dataType, NATIVE_NUMERIC):
         return histogram(df, column, bins)
     if df.where(quoted(column).isNotNull()).isEmpty():
-        raise InvestigationError(f"Column '{column}' is entirely null.")
+        raise InvestigationError(f"nothing but nulls in {column}")
     return category_distribution(df, column)
 
 
-def null_co_occurrence(df: DataFrame, threshold: float = NULL_OVERLAP, limit: int = NULL_PAIRS) -> DataFrame:
-    """Column pairs that are null together: rows null in both over rows null in either.
+def null_gram(df: DataFrame) -> DataFrame:
+    """``(i, j, both_null)`` for the columns ``i`` <= ``j``: rows in which both are null, pairs without any left out.
 
-    Rows collapse to their set of null columns first (partial count per task), so the pairs of the schema are only
-    expanded per distinct null pattern, not per row.
+    Null flags travel to Python as packed bits, ``MASK_BITS`` columns to a number. A task multiplies its masks with their transpose,
+    batch by batch, and sends one number per pair of columns, however many null patterns its rows have.
     """
     fields = df.schema.fields
-    null_set = F.array_compact(F.array(*[F.when(~present(f.name, f.dataType), F.lit(i)) for i, f in enumerate(fields)]))
-    patterns = df.select(null_set.alias("nulls")).where(F.size("nulls") > 0).groupBy("nulls").agg(F.count(F.lit(1)).alias("n"))
-    # A column paired with itself gives the column's own null count.
-    pairs = (
-        patterns.select(F.explode("nulls").alias("i"), "nulls", "n")
-        .select("i", F.explode(F.filter("nulls", lambda j: j >= F.col("i"))).alias("j"), "n")
-        .groupBy("i", "j")
-        .agg(F.sum("n").alias("both_null"))
-    )
+    d = len(fields)
+
+    def packed(block: list[T.StructField]) -> Column:
+        out = F.lit(0).cast("long")
+        for k, f in enumerate(block):
+            out = out.bitwiseOR(F.when(present(f.name, f.dataType), F.lit(0).cast("long")).otherwise(F.lit(1 << k).cast("long")))
+        return out
+
+    blocks = [packed(fields[i : i + MASK_BITS]).alias(f"b{i // MASK_BITS}") for i in range(0, d, MASK_BITS)]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d), dtype=np.int64)
+        shifts = np.arange(MASK_BITS)
+        for batch in batches:
+            words = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            for at in range(0, len(words), MASK_ROWS):
+                part = words[at : at + MASK_ROWS]
+                bits = ((part[:, :, None] >> shifts) & 1).reshape(len(part), -1)[:, :d].astype(np.float32)
+                total += (bits.T @ bits).astype(np.int64)
+        i, j = np.nonzero(np.triu(total))
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "n"])
+
+    return df.select(*blocks).mapInArrow(multiply, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("both_null"))
+
+
+def null_co_occurrence(df: DataFrame, threshold: float = NULL_OVERLAP, limit: int = NULL_PAIRS) -> DataFrame:
+    """Column pairs that are null together: rows null in both over rows null in either."""
+    fields = df.schema.fields
+    pairs = null_gram(df)
     counted = pin_small(pairs)
     own = counted.where("i = j")
     left, right = own.select("i", F.col("both_null").alias("ti")), own.select("j", F.col("both_null").alias("tj"))

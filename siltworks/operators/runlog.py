@@ -33,6 +33,8 @@ ACTIVITY_TYPES = (
 )
 ACTIVITY_PREVIEW, ACTIVITY_RAW, ACTIVITY_ROWS, BUFFER_ROWS = 300, 1500, 300, 1000
 MIN_PASSES = 3
+# Ways in which the last rows of a session are gathered side by side; characters of a transcript piece.
+SALTS, PIECE_CHARS = 64, 65_536
 # A transcript longer than this goes on in a further part.
 PART_CHARS = 50_000_000
 
@@ -98,10 +100,17 @@ def with_sequence(df: DataFrame, session: str, order: list[str], position: Colum
     return row_numbers(df, [session], order, out, position, hot_rows)
 
 
-def last_n(df: DataFrame, session: str, seq: str, n: int = BUFFER_ROWS) -> DataFrame:
-    """The last ``n`` events per session. Spark keeps only ``n`` rows per session and task before the shuffle."""
-    w = W.partitionBy(session).orderBy(F.desc(seq))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+def last_n(df: DataFrame, session: str, seq: str, n: int = BUFFER_ROWS, salts: int = SALTS) -> DataFrame:
+    """The last ``n`` events per session, in two levels: per session and salt, then per session.
+
+    A task sends at most ``n`` rows of a session, all under the salt of that task, so the rows that many tasks send for one hot
+    session meet in ``salts`` tasks first; the last step sees ``n`` rows per salt, whatever the number of tasks.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    first = W.partitionBy(session, "_salt").orderBy(F.desc(seq))
+    few = salted.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= n).drop("_salt", "_rn")
+    last = W.partitionBy(session).orderBy(F.desc(seq))
+    return few.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def replay_since(df: DataFrame, session: str, seq: str, since: int) -> DataFrame:
@@ -296,6 +305,31 @@ def transcript(df: DataFrame, conversation: str, turn: str, role: str, text: str
     return placed.groupBy(conversation, part.alias("part")).agg(joined.alias("transcript"))
 
 
+def transcript_pieces(df: DataFrame, conversation: str, turn: str, role: str, text: str, piece_chars: int = PIECE_CHARS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``(conversation, piece, start, text)``: the transcript cut at every ``piece_chars`` characters, the last piece shorter.
+
+    Prefix sums give every line its place; a line goes to the pieces its characters lie in, cut to each. A piece is
+    gathered from its own characters alone, so a conversation of any length has one form, and joining its pieces gives the
+    transcript. Lines without a text are left out; a conversation without any has no piece.
+    """
+    lines = df.select(conversation, F.col(turn).alias("_t"), F.concat(F.upper(role), F.lit(": "), F.col(text)).alias("_line")).where(F.col("_line").isNotNull())
+    before = {"_chars": ("sum", F.length("_line").cast("long") + 2)}
+    placed = running_before(lines, [conversation], ["_t"], F.col("_t").cast("double"), before, hot_rows)
+    first = F.col("_chars").isNull()
+    shown = placed.select(
+        conversation, "_t", F.when(first, F.lit(0)).otherwise(F.col("_chars") - 2).alias("_at"), F.when(first, F.col("_line")).otherwise(F.concat(F.lit("\n\n"), F.col("_line"))).alias("_line")
+    )
+    size = F.lit(piece_chars)
+    last = F.floor((F.col("_at") + F.length("_line") - 1) / size)
+    spread = shown.select("*", F.explode(F.sequence(F.floor(F.col("_at") / size), last)).alias("piece"))
+    begin = F.greatest(F.col("piece") * size - F.col("_at"), F.lit(0))
+    end = F.least((F.col("piece") + 1) * size - F.col("_at"), F.length("_line").cast("long"))
+    cut = F.substring(F.col("_line"), (begin + 1).cast("int"), (end - begin).cast("int"))
+    part = F.struct(F.col("_at").alias("at"), cut.alias("cut"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda s: s["cut"]), "")
+    return spread.groupBy(conversation, "piece").agg(joined.alias("text")).select(conversation, "piece", (F.col("piece") * size).alias("start"), "text")
+
+
 def history_lines(history: DataFrame) -> DataFrame:
     """One readable line per pass."""
     return history.select(

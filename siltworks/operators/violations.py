@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from siltworks.functions.dates import format_hits, matched_format, text_to_timestamp, timestamp_of
 from siltworks.functions.hashing import row_digest
 from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity_flag, number_of, unit_number
-from siltworks.functions.strings import NULL_TOKENS, normalised_text
+from siltworks.functions.strings import NULL_TOKENS, normalised_text, signature
+from siltworks.operators.anomaly import fences
+from siltworks.operators.frequency import top_per_column, value_key
 from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC, inferred_map, quoted
 from siltworks.operators.profiling import SENTINEL_SHARE, SENTINELS
 from siltworks.operators.skew import skew_safe_lookup
@@ -28,6 +30,7 @@ PII_PATTERNS = {"email": EMAIL_RE, "phone": PHONE_RE, "ssn": SSN_RE}
 PII_NAMES = ("email", "phone", "ssn", "address", "first_name", "last_name", "full_name")
 # Shares and sizes that decide a finding.
 PII_SHARE, FORMAT_SHARE, ID_FACTOR, SMALL_ROWS, UNIT_SHARE, MEASURED_SHARE = 0.5, 0.9, 0.9, 500, 0.01, 0.6
+SECOND_SHARE = 0.05
 TARGETS_LISTED = 5
 
 VIOLATION_SCHEMA = (
@@ -49,6 +52,9 @@ class Rules:
     leaky: list[str] = field(default_factory=list)
     keys: list[str] = field(default_factory=list)
     sentinels: dict[str, list[float]] = field(default_factory=dict)
+    # Asked for: statistical outliers of every number column, and texts that come in several shapes.
+    outliers: bool = False
+    shapes: bool = False
 
 
 @dataclass
@@ -229,6 +235,7 @@ def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | No
     """All violations that row-wise checks can find, then duplicates, in one numbered table."""
     rules = rules or Rules()
     types = types or inferred_map(df)
+    bounds = fences(df) if bounds is None and rules.outliers else bounds
     checks = [
         *missing_checks(df, rules),
         *sentinel_checks(df, rules, types),
@@ -241,8 +248,43 @@ def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | No
         *custom_checks(rules),
     ]
     found = run_checks(df, checks)
-    extra = duplicate_violation(df, rules.keys or df.columns, len(checks) + 1)
-    return found.unionByName(extra)
+    out = found.unionByName(duplicate_violation(df, rules.keys or df.columns, len(checks) + 1))
+    texts = [c for c, t in types.items() if t == CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)]
+    return out.unionByName(shape_violations(df, texts, len(checks) + 2)) if rules.shapes and texts else out
+
+
+def mixed_shapes(df: DataFrame, columns: list[str], dominant: float = FORMAT_SHARE, second: float = SECOND_SHARE) -> DataFrame:
+    """``(column, shape, n, second_shape, second_n, shapes, total)`` of the text columns that come in several shapes.
+
+    A shape is a signature with runs folded, so that words of different length have one. A column is mixed when its commonest
+    shape covers at least half of its values but less than ``dominant``, and another one at least ``second``: prose, where no
+    shape is common, is not. One row per column and shape crosses the network, long shapes as their beginning and a digest.
+    """
+    shapes = df.select(*[value_key(F.regexp_replace(signature(quoted(c)), r"([A9_.])\1+", "$1")).alias(c) for c in columns])
+    counted = shapes.unpivot([], columns, "column", "value").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy("column").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("shapes"))
+    top = top_per_column(counted, 2).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
+    first, other = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    rows = top.join(F.broadcast(totals), "column").select(
+        "column", first["value"].alias("shape"), first["n"].alias("n"), other["value"].alias("second_shape"), other["n"].alias("second_n"), "shapes", "total"
+    )
+    return rows.where((F.col("n") >= 0.5 * F.col("total")) & (F.col("n") < dominant * F.col("total")) & (F.col("second_n") >= second * F.col("total")))
+
+
+def shape_violations(df: DataFrame, columns: list[str], number: int) -> DataFrame:
+    """A finding per column of several shapes, with both shapes and their counts; numbered from ``number`` in order of the columns."""
+    place = F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column"))
+    return mixed_shapes(df, columns).select(
+        (F.lit(number - 1) + place).cast("long").alias("violation_id"),
+        F.lit(INFO).alias("severity"),
+        F.lit("FORMAT_INCONSISTENCY").alias("category"),
+        F.lit("SHAPE").alias("subtype"),
+        F.array("column").alias("affected_columns"),
+        F.concat(F.col("column"), F.lit(" comes in several shapes")).alias("description"),
+        F.format_string("%s in %d and %s in %d of %d values", "shape", "n", "second_shape", "second_n", "total").alias("evidence"),
+        F.lit("bring the values into one shape").alias("suggested_action"),
+        (F.col("total") - F.col("n")).alias("n_rows"),
+    )
 
 
 def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from siltworks.session import cut_lineage
 # Fixed value: cap on passes.
 MAX_PASSES = 5
 PERSONAL = "PII_DETECTED"
+NEW, PERSISTS, REPAIRED = "new", "persists", "repaired"
+LEDGER_SCHEMA = "pass_number int, severity string, category string, subtype string, columns string, n_rows long, rows_before long, status string"
 
 
 @dataclass
@@ -25,6 +27,11 @@ class PassesResult:
     steps: list[Step]
     history: list[dict]
     violations: DataFrame
+    ledger: list[tuple] = field(default_factory=list)
+
+    def ledger_table(self) -> DataFrame:
+        """Every finding of every pass: new, repaired since the pass before (and no longer reported), or persisting."""
+        return self.table.sparkSession.createDataFrame(self.ledger, LEDGER_SCHEMA)
 
     def history_table(self) -> DataFrame:
         schema = "pass_number int, violations_found int, critical int, steps_executed int, rows_after long"
@@ -77,21 +84,46 @@ def propose(found: list[Row], rules: Rules, types: dict[str, str], columns: list
     return ordered(steps)
 
 
+def finding_key(v: Row) -> tuple:
+    return v["category"], v["subtype"] or "", ",".join(sorted(v["affected_columns"])), v["description"]
+
+
+def compare_findings(number: int, found: list[Row], before: dict[tuple, Row]) -> list[tuple]:
+    """The ledger lines of a pass: its findings, and those of the pass before whose evidence is gone."""
+    now = {finding_key(v): v for v in found}
+    lines = []
+    for key, v in now.items():
+        earlier = before.get(key)
+        lines.append((number, v["severity"], v["category"], v["subtype"], key[2], v["n_rows"], earlier and earlier["n_rows"], PERSISTS if earlier else NEW))
+    for key, v in before.items():
+        if key not in now:
+            lines.append((number, v["severity"], v["category"], v["subtype"], key[2], 0, v["n_rows"], REPAIRED))
+    return lines
+
+
 def clean_in_passes(df: DataFrame, rules: Rules, max_passes: int = MAX_PASSES) -> PassesResult:
     """Passes until one finds nothing critical, has nothing to repair, or the cap is reached.
 
     A pass with a critical finding is always followed by another one. Each pass ends in a checkpoint, so lineage
-    stays short and a lost executor does not replay earlier passes. Only steps that were applied are kept.
+    stays short and a lost executor does not replay earlier passes. Only steps that were applied are kept. The ledger holds
+    each pass's findings against the pass before: a repaired one is not reported again, and a step that left its finding
+    where it was is not tried a second time.
     """
-    table, committed, history = df, [], []
-    violations = None
+    table, committed, history, ledger = df, [], [], []
+    violations, before = None, {}
     for number in range(max_passes):
         types = inferred_map(table)
         violations = detect(table, rules, types)
         # A bounded list: at most a few checks per column.
         found = violations.collect()
+        ledger += compare_findings(number, found, before)
+        persisting = {finding_key(v) for v in found} & set(before)
+        before = {finding_key(v): v for v in found}
         critical = sum(v["severity"] == CRITICAL for v in found)
+        tried = {(s.action, s.column, str(s.params)) for s in committed}
+        stuck = {v["violation_id"] for v in found if finding_key(v) in persisting}
         steps = propose(found, rules, types, table.columns)
+        steps = ordered([s for s in steps if s.addresses_violation not in stuck or (s.action, s.column, str(s.params)) not in tried])
         problems = lint(steps, table, rules.target)
         outcome = None if problems or not steps else apply(steps, table, cut_lineage)
         done = outcome is not None and outcome.ok
@@ -109,4 +141,4 @@ def clean_in_passes(df: DataFrame, rules: Rules, max_passes: int = MAX_PASSES) -
         )
         if not critical or not done:
             break
-    return PassesResult(table, committed, history, violations)
+    return PassesResult(table, committed, history, violations, ledger)
