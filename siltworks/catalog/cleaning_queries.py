@@ -190,6 +190,19 @@ def recipe_lint_steps(spark, sf) -> DataFrame:
     return found.select("step_id", "rule", F.array_join("columns", ",").alias("columns"), "rows_touched")
 
 
+PAIRED = [Step(1, "CUSTOM_CODE", "null_outside", "l_quantity", {"high": 45.0}), Step(2, "CUSTOM_CODE", "null_outside", "l_tax", {"high": 0.07})]
+
+
+@query(
+    """select v.step_id, v.rule, v.columns, v.rows_touched from (select count(*) filter (where l_quantity > 45) as q, count(*) filter (where l_tax > 0.07::double) as t from lineitem) c,
+ lateral (values (0, 'pair', 'l_quantity,l_tax', null), (1, 'none', '', q), (2, 'none', '', t)) v(step_id, rule, columns, rows_touched)"""
+)
+def paired_measurements(spark, sf) -> DataFrame:
+    """Two columns of one measurement are nulled although only the first was flagged: reported beside what each step would null."""
+    found = rc.lint_table(PAIRED, table(spark, sf, "lineitem"), pairs=[("l_quantity", "l_tax")], flagged={"l_quantity"})
+    return found.select("step_id", "rule", F.array_join("columns", ",").alias("columns"), "rows_touched")
+
+
 RULES = Rules(target="amount", as_of=AS_OF, sentinels={"amount": [-1.0, 9999.0]})
 
 

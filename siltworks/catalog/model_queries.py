@@ -183,6 +183,21 @@ def benchmark_runs(spark, sf) -> DataFrame:
     return bm.formatted(bm.run(spark, bound))
 
 
+@query(
+    f"""select fold, case fold when 'val' then 'late' else '' end as extra, case fold when 'val' then '' else 'o_totalprice' end as missing, count(*) as rows
+ from ({FOLD_SQL.format(s='o_orderstatus', t='orders')}) where fold <> 'train' group by 1"""
+)
+def schema_drift(spark, sf) -> DataFrame:
+    """Columns that a replayed fold has too many or too few against the training fold, beside its rows."""
+    train, val, test = sp.three_way_split(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_orderkey", "o_orderstatus")
+    out = None
+    for name, fold in (("val", val.withColumn("late", F.col("o_totalprice") > 0)), ("test", test.drop("o_totalprice"))):
+        extra, missing = sp.schema_drift(train, fold)
+        one = fold.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("fold"), F.lit(",".join(extra)).alias("extra"), F.lit(",".join(missing)).alias("missing"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _FOLDS = {
     "documents": FOLD_SQL.format(s="toxic", t="labelled").replace("o_orderkey", "doc_id"),
     "orders": FOLD_SQL.format(s="1", t="orders_dirty"),

@@ -332,6 +332,19 @@ def profile_summary(spark, sf) -> DataFrame:
     return pr.profile_summary(pr.profile(view(spark, sf, "orders_dirty"), options())).select("column", "warnings", "rows", "columns")
 
 
+@query(
+    " union all ".join(
+        f"select '{c}' as \"column\", count(*) as row_count, count({c}) as non_null, 'extended_skipped_wide_table' as warning, false as extended from orders"
+        for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    )
+)
+def extended_fallback(spark, sf) -> DataFrame:
+    """A table with more columns than the extended part was allowed: the base profile of each column, tagged, and no extended metrics."""
+    df = pr.profile(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"), options(extended=True, extended_column_limit=5))
+    tagged = df.withColumn("warning", F.explode("warnings")).where(F.col("warning").startswith("extended_"))
+    return tagged.select("column", "row_count", "non_null", "warning", F.lit("metrics" in df.columns).alias("extended"))
+
+
 _SCORE = f"""{ctes('orders_dirty')}, p as ({" union all ".join(
     f'''select {i} as position, '{c}' as "column", '{t}' as kind, count(*) as rows, count({c}) * 1.0::double / count(*) as completeness,
  {f"count(*) filter (where {c} is not null and {DIRTY_VALUE[c]} is null)" if t == 'Numeric' else '0'} as bad,

@@ -45,6 +45,19 @@ def csv_round_trip(spark, sf) -> DataFrame:
     return readers.read_csv(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("select o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) as o_totalprice, strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders")
+def csv_whole_table(spark, sf) -> DataFrame:
+    """Every column of a table out to delimited text, back as text, and to its type again."""
+    path = scratch_path(spark, "orders-whole-csv")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    writers.write_csv(orders, path)
+    back = readers.read_csv(spark, path, orders.columns)
+    return back.select(
+        *[F.col(c).cast(orders.schema[c].dataType).alias(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")],
+        F.round(F.col("o_totalprice").cast("double"), 2).alias("o_totalprice"), F.substring("o_orderdate", 1, 10).alias("o_orderdate"), "o_orderpriority",
+    )
+
+
 @query("select cast(doc_id as varchar) as doc_id, case when text not in ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None', 'n/a', '#N/A', '<NA>') then text end as text from documents")
 def csv_line_breaks(spark, sf) -> DataFrame:
     """Whole texts, line breaks, quotes and all, out to delimited text and back."""

@@ -29,10 +29,23 @@ def format_hits(c: Column) -> list[tuple[str, Column]]:
     """Each known format with the timestamp it yields for the text, null where it does not fit."""
     text = F.trim(c)
     hits = [("iso", F.when(text.rlike(ISO_RE), text.try_cast("timestamp")))]
-    hits += [(fmt, F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)))) for shape, fmt in DATE_FORMATS]
+    hits += [(fmt, F.when(text.rlike(shape), _read(text, fmt))) for shape, fmt in DATE_FORMATS]
     return hits
 
 
+def _read(text: Column, fmt: str) -> Column:
+    """A text of the right shape to a timestamp. Plain dates are put in year, month, day order and cast, which raises no exceptions inside."""
+    if set(fmt) - set("yMd-/"):
+        return F.try_to_timestamp(text, F.lit(fmt))
+    mark = "/" if "/" in fmt else "-"
+    if mark in fmt:
+        parts = {p[0]: F.split_part(text, F.lit(mark), F.lit(i + 1)) for i, p in enumerate(fmt.split(mark))}
+    else:
+        parts = {k: F.substring(text, fmt.index(k) + 1, fmt.count(k)) for k in "yMd"}
+    day = F.concat_ws("-", parts["y"], parts["M"], parts["d"]).try_cast("date")
+    return F.when(parts["y"] != "0000", day.cast("timestamp"))
+
+
 def text_to_timestamp(c: Column) -> Column:
     """Text in any known format to a timestamp; anything else is null."""
     return F.when(c.rlike(DATE_START_RE), F.coalesce(*[hit for _, hit in format_hits(c)]))

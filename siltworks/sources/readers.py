@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from siltworks.functions.strings import NULL_TOKENS
 
 CORRUPT = "_corrupt_record"
+# The texts a delimited file may use for a missing value on reading.
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -37,9 +41,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, k
     reader = reader.option("enforceSchema", False) if not keep_corrupt else reader
     reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).option("escape", '"')
     df = reader.csv(path)
-    # The texts a delimited file may use for a missing value on reading.
-    defaults = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "#N/A", "<NA>")
-    return df.select(*[F.when(~F.col(f"`{n}`").isin(*defaults), F.col(f"`{n}`")).alias(n) for n in df.columns])
+    return df.select(*[F.when(~F.col(f"`{n}`").isin(*MISSING_TEXTS), F.col(f"`{n}`")).alias(n) for n in df.columns])
 
 
 def nullify_tokens(df: DataFrame, columns: list[str] | None = None, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
