@@ -1,9 +1,14 @@
 """Main text of web pages by minimum cut.
 
-A page is a row of text blocks. A logistic classifier gives each block the cost of either label, which become the
-capacities to the two terminals; blocks next to each other in the page, and neighbours below the same DOM parent, are tied by
-smoothness edges. The maximum flow separates content from the rest. The classifier is fitted on a bounded sample of
-pages, with the blocks whose place in the page says what they are as examples, and stays near its prior elsewhere.
+A page is a row of text blocks. A logistic classifier looks at the text of a block and at the text it stands among, never
+at names; element and class names are evidence of their own. The sum of both is the cost of either label and becomes the
+capacity to one of the two terminals; blocks next to each other in the page, and neighbours below the same DOM parent, are
+tied by smoothness edges. The maximum flow separates content from the rest, so text and neighbours can overrule a name, and
+pages without telling names are cut by their texts. The classifier is fitted on a bounded sample of pages, with the blocks
+that a name tells about as examples, and stays near its prior elsewhere.
+
+What names say: a part that is left out by its name stays out with all in it, whatever the names inside, unless one part
+named as content holds more than half of the page's text outside links. Names of the page as a whole say nothing.
 """
 
 from __future__ import annotations
@@ -22,8 +27,11 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.frames import map_rows, octets, text_of
 
-SAMPLE_PAGES, SAMPLE_BYTES = 200, 8 * 1024 * 1024
+# The sample of pages that training reads: so many, of so many bytes in all and each.
+SAMPLE_PAGES, SAMPLE_BYTES, PAGE_BYTES = 200, 8 * 1024 * 1024, 128 * 1024
 NEXT_EDGE, PARENT_EDGE = 0.6, 0.4
+# Evidence of names, in the classifier's log odds: inside content, left out, and beside the page's one main part.
+SAYS_MAIN, SAYS_OFF, BESIDE_MAIN = 1.2, -4.5, -1.5
 
 # What stands in these is left out up to their end tag; without one, to the end of the page only where it is raw text.
 SKIPPED = frozenset("script style noscript template iframe object svg math title textarea select canvas audio video".split())
@@ -42,52 +50,109 @@ OFF_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article articlebody content post entry story main body text".split())
 
+# Lists and tables stand for what holds them.
+FRAMES = frozenset("ul ol dl table thead tbody tfoot tr".split())
+# A class such as ``with-sidebar`` tells what a page has, not what an element is.
+HAS_WORDS = frozenset("with has no without hide show".split())
+# Phrases of a page's fine print.
+_PRINT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|</[^>]*(?:>|\Z)",
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[A-Za-z][a-z]*")
+# A slash at the end of a start tag, but not of an unquoted value.
+_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
 
 
 @dataclass
 class Block:
-    """Text with single blanks, characters inside links, tag, parent element and what its place says: 1 main, -1 not, 0 nothing."""
+    """Text with single blanks, characters inside links, tag, parent element and the innermost element that holds it.
+
+    ``place`` is what names say (1 main, -1 not, 0 nothing), ``beside`` whether it stands outside the page's one main part, and
+    ``kin`` how much text stands in its parent or the parent's parent, as a share of what the richest element has.
+    """
 
     text: str
     linked: int
     tag: str
     parent: int
-    place: int
+    holder: int
+    place: int = 0
+    beside: bool = False
+    kin: float = 0.0
 
 
 @dataclass
 class _Element:
     tag: str
     number: int
-    place: int
+    outer: int
+    says: int
 
 
-def _place(tag: str, attributes: str, outer: int) -> int:
-    """What the innermost telling ancestor says. A header inside the main part belongs to it."""
+def _says(tag: str, attributes: str) -> int:
+    """What an element's own names say: 1 main, -1 not, 0 nothing."""
+    if tag in ("html", "body"):
+        return 0
     said = set()
     if attributes:
         for m in _NAMES.finditer(attributes):
-            said.update(w.lower() for w in _WORDS.findall(m[1]))
-    off, main = bool(said & OFF_WORDS), tag in MAIN_TAGS or bool(said & MAIN_WORDS)
-    if tag in OFF_TAGS and not (tag == "header" and outer == 1):
+            for name in m[1].strip("\"'").split():
+                found = [w.lower() for w in _WORDS.findall(name)]
+                if found and found[0] not in HAS_WORDS:
+                    said.update(found)
+    off, main = bool(said & OFF_WORDS), bool(said & MAIN_WORDS)
+    if tag in OFF_TAGS or off and (tag in MAIN_TAGS or not main):
         return -1
-    if off != main:
-        return -1 if off else 1
-    return 1 if tag in MAIN_TAGS else outer
+    return int(tag in MAIN_TAGS or main and not off)
+
+
+def _settle(found: list[Block], elements: list[_Element]) -> None:
+    """Sets ``place``, ``beside`` and ``kin`` of each block, which need the whole page."""
+
+    def parents(b: Block) -> list[int]:
+        i = b.parent
+        while elements[i].tag in FRAMES:
+            i = elements[i].outer
+        above = elements[i].outer
+        return [i] if elements[above].tag in ("", "html", "body") else [i, above]
+
+    plain = [0] * len(elements)
+    points = [0.0] * len(elements)
+    for b in found:
+        n = len(b.text) - b.linked
+        plain[b.holder] += n
+        for share, i in enumerate(parents(b), 1):
+            points[i] += n / share
+    for e in reversed(elements[1:]):
+        plain[e.outer] += plain[e.number]
+    named = [e.number for e in elements if e.says > 0]
+    best = max(named, key=lambda i: (plain[i], -i), default=0)
+    if 2 * plain[best] <= plain[0]:
+        best = 0
+    place, inside = [0] * len(elements), [False] * len(elements)
+    for e in elements[1:]:
+        i, outer = e.number, place[e.outer]
+        inside[i] = i == best or inside[e.outer]
+        # A header inside the main part belongs to it.
+        says = 0 if e.tag == "header" and outer > 0 else e.says
+        place[i] = 1 if i == best else outer if outer < 0 or not says else says
+    richest = max(points)
+    for b in found:
+        b.place, b.beside = place[b.holder], best > 0 and not inside[b.holder] and b.tag != "h1"
+        b.kin = max(points[i] for i in parents(b)) / richest if richest else 0.0
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in page order; scripts, styles, comments and markup left out, references decoded."""
     out: list[Block] = []
-    stack = [_Element("", 0, 0)]
+    stack = [_Element("", 0, 0, 0)]
+    elements = stack[:]
     pieces: list[str] = []
-    linked, links, number, at = 0, 0, 0, 0
+    linked, links, at = 0, 0, 0
     endless: set[str] = set()
 
     def close() -> None:
@@ -96,7 +161,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             holder = next(e for e in reversed(stack) if e.tag not in INLINE)
             parent = next((e for e in reversed(stack[: stack.index(holder)])), stack[0])
-            out.append(Block(text, linked, holder.tag, parent.number, stack[-1].place))
+            out.append(Block(text, linked, holder.tag, parent.number, stack[-1].number))
         pieces.clear()
         linked = 0
 
@@ -139,31 +204,39 @@ def blocks(page: str) -> list[Block]:
                 at = end.end() if end else len(page)
             else:
                 endless.add(tag)
-        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+        elif tag not in VOID and not _CLOSED.search(attributes):
             if tag in ENDS_P and any(e.tag == "p" for e in stack):
                 pop("p")
-            number += 1
             links += tag == "a"
-            stack.append(_Element(tag, number, _place(tag, attributes, stack[-1].place)))
+            stack.append(_Element(tag, len(elements), stack[-1].number, _says(tag, attributes)))
+            elements.append(stack[-1])
     add(page[at:])
     close()
+    if out:
+        _settle(out, elements)
     return out
 
 
-FEATURES = ("one", "length", "linked", "sentence", "heading", "item", "main", "off")
-PRIOR = np.array([-1.5, 1.6, -3.0, 0.6, 0.8, -0.8, 3.5, -6.5])
+FEATURES = ("one", "length", "linked", "sentence", "heading", "kin", "print")
+PRIOR = np.array([-2.0, 1.6, -4.0, 0.6, 1.0, 2.4, -4.0])
 
 
 def describe(block: Block) -> list[float]:
+    """The classifier's features: the text of a block and the text it stands among."""
     n = len(block.text)
     return [
-        1.0, min(1.0, math.log1p(n) / 6), min(1.0, block.linked / n), float(block.text[-1] in ".!?…"), float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")),
-        float(block.tag in ("li", "td", "th", "dt", "dd")), float(block.place > 0), float(block.place < 0),
+        1.0, min(1.0, math.log1p(n) / 6), min(1.0, block.linked / n), float(block.text[-1] in ".!?…"),
+        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), block.kin, float(_PRINT.search(block.text) is not None and n < 300),
     ]
 
 
+def evidence(block: Block) -> float:
+    """What names add to the classifier's log odds."""
+    return (SAYS_MAIN if block.place > 0 else SAYS_OFF if block.place < 0 else 0.0) + (BESIDE_MAIN if block.beside else 0.0)
+
+
 def fit(pages: list[str], prior: np.ndarray = PRIOR, tie: float = 0.05, rounds: int = 30) -> np.ndarray:
-    """Logistic weights from blocks whose place is known, tied to the prior; no such blocks leave the prior."""
+    """Logistic weights from blocks that names tell about, tied to the prior; no such blocks leave the prior."""
     found = [b for p in pages for b in blocks(p) if b.place]
     if not found:
         return prior.copy()
@@ -178,11 +251,21 @@ def fit(pages: list[str], prior: np.ndarray = PRIOR, tie: float = 0.05, rounds:
     return beta
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray:
-    """Weights from at most ``sample_pages`` pages of ``sample_bytes`` in all, chosen by a hash of the identifier."""
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, page_bytes: int = PAGE_BYTES) -> np.ndarray:
+    """Weights from at most ``sample_pages`` pages of ``sample_bytes`` in all, in the order of a hash of the identifier.
+
+    Pages longer than ``page_bytes``, null and empty ones are no examples, and a page that no longer fits is passed over.
+    Without examples (an empty table, only such pages) the weights are the prior.
+    """
     page = F.col(f"`{html_col}`")
-    rows = pages.where(F.octet_length(page).between(1, sample_bytes // sample_pages)).select(F.xxhash64(F.lit(5), F.col(f"`{id_col}`")).alias("o"), page.alias("h"))
-    return fit([r["h"] for r in rows.orderBy("o", F.xxhash64("h")).limit(sample_pages).collect()])
+    rows = pages.where(F.octet_length(page).between(1, page_bytes)).select(F.xxhash64(F.lit(5), F.col(f"`{id_col}`")).alias("o"), page.alias("h"))
+    held, left = [], sample_bytes
+    for r in rows.orderBy("o", F.xxhash64("h")).limit(sample_pages).collect():
+        size = len(r["h"].encode())
+        if size <= left:
+            held.append(r["h"])
+            left -= size
+    return fit(held)
 
 
 @dataclass
@@ -199,7 +282,7 @@ class Graph:
 
 
 def page_graph(found: list[Block], weights: np.ndarray) -> Graph:
-    graph = Graph((np.array([describe(b) for b in found]) @ weights).tolist())
+    graph = Graph((np.array([describe(b) for b in found]) @ weights + np.array([evidence(b) for b in found])).tolist())
     last_below: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
