@@ -30,8 +30,9 @@ from siltworks.llm.frames import map_rows, octets, text_of
 # The sample of pages that training reads: so many, of so many bytes in all and each.
 SAMPLE_PAGES, SAMPLE_BYTES, PAGE_BYTES = 200, 8 * 1024 * 1024, 128 * 1024
 NEXT_EDGE, PARENT_EDGE = 0.6, 0.4
-# Evidence of names, in the classifier's log odds: inside content, left out, and beside the page's one main part.
-SAYS_MAIN, SAYS_OFF, BESIDE_MAIN = 1.2, -4.5, -1.5
+# Evidence in the classifier's log odds: inside content, left out, beside the page's one main part, and a page's fine print where
+# no name says that it is content; of at most so many characters.
+SAYS_MAIN, SAYS_OFF, BESIDE_MAIN, SAYS_PRINT, PRINT_CHARS = 1.2, -4.5, -1.5, -6.0, 300
 
 # What stands in these is left out up to their end tag; without one, to the end of the page only where it is raw text.
 SKIPPED = frozenset("script style noscript template iframe object svg math title textarea select canvas audio video".split())
@@ -55,7 +56,7 @@ FRAMES = frozenset("ul ol dl table thead tbody tfoot tr".split())
 # A class such as ``with-sidebar`` tells what a page has, not what an element is.
 HAS_WORDS = frozenset("with has no without hide show".split())
 # Phrases of a page's fine print.
-_PRINT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
+_PRINT = re.compile(r"\s*(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|[12]\d{3}\b))|\ball rights reserved\b", re.I)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|</[^>]*(?:>|\Z)",
@@ -217,8 +218,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-FEATURES = ("one", "length", "linked", "sentence", "heading", "kin", "print")
-PRIOR = np.array([-2.0, 1.6, -4.0, 0.6, 1.0, 2.4, -4.0])
+FEATURES = ("one", "length", "linked", "sentence", "heading", "kin")
+PRIOR = np.array([-2.0, 1.6, -4.0, 0.6, 1.0, 2.4])
 
 
 def describe(block: Block) -> list[float]:
@@ -226,13 +227,16 @@ def describe(block: Block) -> list[float]:
     n = len(block.text)
     return [
         1.0, min(1.0, math.log1p(n) / 6), min(1.0, block.linked / n), float(block.text[-1] in ".!?…"),
-        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), block.kin, float(_PRINT.search(block.text) is not None and n < 300),
+        float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), block.kin,
     ]
 
 
 def evidence(block: Block) -> float:
-    """What names add to the classifier's log odds."""
-    return (SAYS_MAIN if block.place > 0 else SAYS_OFF if block.place < 0 else 0.0) + (BESIDE_MAIN if block.beside else 0.0)
+    """What names, and the set phrases of fine print, add to the classifier's log odds."""
+    if block.place > 0:
+        return SAYS_MAIN + (BESIDE_MAIN if block.beside else 0.0)
+    fine_print = len(block.text) < PRINT_CHARS and _PRINT.search(block.text)
+    return (SAYS_OFF if block.place < 0 else 0.0) + (BESIDE_MAIN if block.beside else 0.0) + (SAYS_PRINT if fine_print else 0.0)
 
 
 def fit(pages: list[str], prior: np.ndarray = PRIOR, tie: float = 0.05, rounds: int = 30) -> np.ndarray:

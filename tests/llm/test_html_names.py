@@ -46,6 +46,11 @@ def test_lists_tables_and_linked_titles_of_the_article_stay():
     assert html_extract.main_text(page, html_extract.PRIOR)[0] == WANT + " one pier two piers Cost 9"
 
 
+def test_a_paragraph_about_copyright_is_no_fine_print():
+    page = f"<body><article>{TEXT}<p>Copyright law says otherwise.</p></article></body>"
+    assert html_extract.main_text(page, html_extract.PRIOR)[0] == WANT + " Copyright law says otherwise."
+
+
 def test_the_cut_overrules_names():
     page = f'<body><div class="content">{MENU}{TEXT}</div></body>'
     found = html_extract.blocks(page)
