@@ -9,17 +9,19 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.frames import fresh, map_rows, octets, text_of
+from siltworks.llm.frames import fresh, map_rows, numbered, octets, text_of, written
 
 WINDOW = 10
-# Benchmark text that one broadcast holds; a larger benchmark is scanned for in several blocks, one after the other.
+# Benchmark text that one broadcast holds; a larger benchmark is scanned for in several passes, a block each.
 BLOCK_BYTES = 16 * 1024 * 1024
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -68,42 +70,89 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+_FOUND = "spans array<struct<a:long,b:long>>, items array<string>"
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """Items as (item, text), and the number of blocks they are cut into."""
     items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), text_of(text_col).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_bytes))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        yield [(r["item"], r["text"].encode()) for r in rows]
+    return items, max(1, math.ceil(total / block_bytes))
 
 
-def hits(df: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``keys`` of each row of ``df`` with n_words, spans (of words, half-open, merged) and items (ids as sorted text).
+def _known(items: DataFrame, blocks: int, block: int, window: int) -> Broadcast:
+    """The windows of one block of items on every executor."""
+    rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+    return items.sparkSession.sparkContext.broadcast(NgramSet([(r["item"], r["text"].encode()) for r in rows], window))
 
-    A window is ``window`` consecutive item words; an item with fewer, but not none, is one window. Null and empty texts
-    have no words and no hits; items without words match nothing; a null item id reads ``null``; repeated items count
-    once, repeated rows are all kept. Whole texts are scanned. ``keys`` must not be called n_words, spans or items.
-    """
-    out = df.select(*[F.col(f"`{k}`") for k in keys], text_of(text_col).alias("_t"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<a:long,b:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    width, schema = len(keys), out.schema
-    for block in _item_blocks(benchmark, item_col, item_text, block_bytes):
-        known = df.sparkSession.sparkContext.broadcast(NgramSet(block, window))
+
+def _carried(batch: pa.RecordBatch, width: int) -> Iterator[tuple]:
+    return zip(*[batch.column(i).to_pylist() for i in range(width)]) if width else iter([()] * batch.num_rows)
+
+
+def _pairs(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    return [{"a": a, "b": b} for a, b in spans]
+
+
+def _in_blocks(rows: DataFrame, items: DataFrame, blocks: int, width: int, window: int, result: str) -> DataFrame:
+    """A pass over all rows per block, each holding that block only and writing its hits; then the hits of a row are merged."""
+    uid, text = fresh(rows, "uid"), rows.columns[width]
+    held = numbered(rows, "decontaminate-rows", uid)
+    written_hits = []
+    for block in range(blocks):
+        known = _known(items, blocks, block, window)
 
         def scan(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[tuple]:
             index = known.value
             for batch in batches:
-                carried = zip(*[batch.column(i).to_pylist() for i in range(width)]) if width else iter([()] * batch.num_rows)
-                texts, before, owners = octets(batch.column(width)), batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist()
-                raw = batch.column(width).to_pylist()
-                for key, text, whole, spans, items in zip(carried, texts, raw, before, owners):
-                    found = words(text)
-                    more, names = index.spans(found)
+                for row, whole in zip(batch.column(0).to_pylist(), octets(batch.column(1))):
+                    spans, owners = index.spans(words(whole))
                     if spans:
-                        more = merge(more + [(s["a"], s["b"]) for s in spans])
-                    yield *key, whole, len(found), [{"a": a, "b": b} for a, b in more], sorted(names.union(items))
+                        yield row, _pairs(spans), sorted(owners)
+
+        written_hits.append(written(map_rows(held.select(uid, text), scan, f"`{uid}` long, {_FOUND}"), "decontaminate-hits"))
+        known.destroy()
+    found = reduce(DataFrame.unionAll, written_hits).toDF(uid, "spans", "items")
+    merged = found.groupBy(uid).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    names = [f"k{i}" for i in range(width)]
+    joined = held.toDF(*names, "text", "uid").join(merged.toDF("uid", "spans", "items"), "uid", "left").select(*names, "text", "spans", "items")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            texts, before, owners = octets(batch.column(width)), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
+            for key, whole, spans, names in zip(_carried(batch, width), texts, before, owners):
+                yield *key, len(words(whole)), _pairs(merge([(s["a"], s["b"]) for s in spans or ()])), sorted(names or ())
+
+    return map_rows(joined, finish, result)
+
+
+def hits(df: DataFrame, benchmark: DataFrame, keys: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``keys`` of each row of ``df`` with n_words, spans (of words, half-open, merged) and items (ids as sorted text).
+
+    A window is ``window`` consecutive item words; an item with fewer, but not none, is one window. Null and empty texts
+    have no words and no hits; items without words match nothing; a null item id reads ``null``; repeated items count
+    once, repeated rows are all kept. Whole texts are scanned. A benchmark above ``block_bytes`` is scanned for in several
+    passes, so a task never holds more than one block. ``keys`` must not be called n_words, spans or items.
+    """
+    own = df.select(*[F.col(f"`{k}`") for k in keys])
+    rows = df.select(*own.columns, text_of(text_col).alias(fresh(own, "_t")))
+    width = len(keys)
+    kinds = T.StructType(rows.schema.fields[:width]).toDDL() if width else ""
+    result = ", ".join(filter(None, (kinds, "n_words long", _FOUND)))
+    items, blocks = _items(benchmark, item_col, item_text, block_bytes)
+    if blocks > 1:
+        return _in_blocks(rows, items, blocks, width, window, result)
+    known = _known(items, 1, 0, window)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        index = known.value
+        for batch in batches:
+            for key, whole in zip(_carried(batch, width), octets(batch.column(width))):
+                found = words(whole)
+                spans, owners = index.spans(found)
+                yield *key, len(found), _pairs(spans), sorted(owners)
 
-        out = map_rows(out, scan, T.StructType(schema.fields).toDDL())
-    return out.drop("_t")
+    return map_rows(rows, scan, result)
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
