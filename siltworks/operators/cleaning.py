@@ -98,13 +98,20 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
 
 
 def drop_duplicate_rows(df: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """One row per key, the first by ``order`` (all columns by default).
+    """One row per key, the first by ``order``, then by the remaining columns; equal rows are one.
 
     An aggregate with partial results keeps one row per key and task, so a group of copies of any size shrinks before
-    the shuffle and never meets in one task as a whole.
+    the shuffle and never meets in one task as a whole. A row travels once, its columns in the order that decides; maps,
+    which have no order, travel beside it and decide nothing.
     """
     keys = keys or df.columns
-    ordering = F.struct(*[quoted(c) for c in (order or df.columns)])
-    row = F.struct(*[quoted(c) for c in df.columns])
-    kept = df.groupBy(row_digest(keys).alias("_digest")).agg(F.min_by(row, ordering).alias("_row"))
-    return kept.select("_row.*")
+    maps = [f.name for f in df.schema.fields if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString()]
+    first = [c for c in order or [] if c not in maps]
+    ranked = first + [c for c in df.columns if c not in first and c not in maps]
+    row = F.struct(*[quoted(c) for c in ranked])
+    if maps:
+        found = F.min_by(F.struct(*[quoted(c) for c in ranked + maps]), row)
+    else:
+        found = F.min(row)
+    kept = df.groupBy(row_digest(keys).alias("_digest")).agg(found.alias("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`") for c in df.columns])

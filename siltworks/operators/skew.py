@@ -28,9 +28,10 @@ def skew_safe_lookup(df: DataFrame, lookup: DataFrame, key: str, weight: str, va
     if pinned is not lookup:
         return df.join(pinned.select(key, value), key, "left")
     lookup = cut_lineage(lookup)
-    # A thousand keys of at most 64 KB each: what is gathered stays below 64 MB.
-    short = F.octet_length(F.col(f"`{key}`").cast("string")) <= KEY_BYTES
-    heavy = lookup.where(short).orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    # A thousand keys of at most 64 KB each, the value counted in: what is gathered stays below 64 MB.
+    size = F.octet_length(F.to_json(F.struct(F.col(f"`{key}`"), F.col(f"`{value}`"))))
+    short = F.col(f"`{key}`").isNotNull() & (size <= KEY_BYTES)
+    heavy = lookup.where(short).select(key, weight, value).orderBy(F.desc(weight), key).limit(HOT_KEYS)
     heavy_rows = df.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
     marked = df.join(F.broadcast(heavy_rows.select(key, F.col(value).alias("_hot"))), key, "left")
     answered = F.col("_hot").isNotNull() | F.col(f"`{key}`").isNull()
