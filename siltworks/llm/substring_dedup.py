@@ -5,11 +5,12 @@ that signature: a compact window, one node of the Cartesian tree over the hashes
 they are the positions that are the minimum of some stretch of passage length. A passage holds half its length on one side of its
 minimum, so each window is looked up under two keys: signature with the minimum of the half passage to its left, and
 to its right. Windows travel once, sorted by key: a key of one text goes no further, and the windows of others are tied to the
-first text under it, near copies and chance alike, and to the text before them. A passage that is repeated exactly must
+first text under it, near copies and chance alike. A passage that is repeated exactly must
 not depend on whose window came first: around windows with a shared key of the first function, each stretch of passage
 length has the hash of all its shingles, and texts are tied to the first with that stretch. A pair of texts with such a
 stretch, or on whose alignment enough windows agree, is verified on the texts themselves, interval by interval. Windows
-that no verified passage covers then get the text before them in place of the first. Texts come in the order of their
+that no verified passage covers are then laid beside the other texts before theirs under the key, the nearest first, until
+one covers them or none is left. Texts come in the order of their
 identifiers, so which copy is the first does not depend on the layout of the input.
 """
 
@@ -22,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.llm.frames import fresh, map_rows, numbered, octets, text_mark, text_of, written
@@ -32,6 +34,8 @@ ENOUGH = 2
 # Positions of one passage may shift by so many words against each other.
 DRIFT = 8
 SLICE_MEMBERS = 256
+# Each round looks at so many times as many texts under a key as the one before.
+REACH = 16
 # Texts are hashed together up to so many bytes; a longer one by itself.
 TOGETHER = 1 << 20
 # 24 bytes a row: what is broadcast stays below 48 MB.
@@ -408,8 +412,7 @@ def _repeats(rows: DataFrame, rule: Passages) -> DataFrame:
     seeds = seeds.unionByName(_exact_seeds(texts, kept, rule).withColumn("n", F.lit(ENOUGH).cast("long")))
     pairs = written(_enough(seeds), "passage-pairs")
     verified = written(_verify(rows.select("uid", "text"), pairs, rule), "passages")
-    others = written(_enough(_open_seeds(kept, verified, rule)).join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "other-pairs")
-    verified = verified.unionByName(written(_verify(rows.select("uid", "text"), others, rule), "other-passages"))
+    verified = _rest(rows.select("uid", "text"), kept, pairs, verified, rule)
     names = rows.select("uid", "doc")
     partial = verified.join(names.toDF("x", "doc_id"), "x").join(names.toDF("y", "match_id"), "y")
     partial = partial.select(F.col("x").alias("uid"), "doc_id", "start", "end", "match_id", "match_start", "match_end", "similarity")
@@ -430,14 +433,63 @@ def _enough(seeds: DataFrame) -> DataFrame:
     return pairs.where(F.col("n") >= ENOUGH).drop("n")
 
 
-def _open_seeds(kept: DataFrame, verified: DataFrame, rule: Passages) -> DataFrame:
-    """(x, y, shift, n): windows in no verified passage of their text, beside the text before theirs under the key."""
+def _rest(rows: DataFrame, kept: DataFrame, pairs: DataFrame, verified: DataFrame, rule: Passages) -> DataFrame:
+    """``verified`` with what the windows add that no verified passage covers: each is laid beside the texts before its own under the key.
+
+    The nearest texts come first, then ``REACH`` times as many in each round, until every window is covered or has met all
+    texts before its own; from the second round on, passages are kept that add to those known. Windows are gathered over all rounds: a pair may agree near by under one key and far off under another.
+    """
+    open_ = written(_open(kept.where("uid <> y").select("key", "uid", "at"), verified, rule), "open-windows")
+    members = kept.join(_narrow(written(open_.select("key").distinct(), "open-keys")), "key", "left_semi")
+    members = members.groupBy("key", F.col("uid").alias("y")).agg(F.min("at").alias("y_at"))
+    members = written(members.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("y"))), "open-members")
+    open_ = open_.join(members.select("key", F.col("y").alias("uid"), "place"), ["key", "uid"])
+    tried = pairs.select("x", "y", F.explode("shifts").alias("shift"))
+    seeds, low = None, 1
+    while True:
+        found = written(_open_seeds(open_, members, low, low * REACH), "open-seeds")
+        seeds = found if seeds is None else seeds.unionByName(found)
+        others = _enough(seeds).select("x", "y", F.explode("shifts").alias("shift")).join(tried, ["x", "y", "shift"], "left_anti")
+        others = written(others.groupBy("x", "y").agg(F.collect_set("shift").alias("shifts")), "other-pairs")
+        more = written(_verify(rows, others, rule), "other-passages")
+        more = more if seeds is found else written(_outside(more, verified), "new-passages")
+        verified, low = verified.unionByName(more), low * REACH
+        tried = tried.unionByName(others.select("x", "y", F.explode("shifts").alias("shift")))
+        open_ = _open(open_, more, rule).where(F.col("place") > low)
+        if open_.isEmpty():
+            return verified
+        open_ = written(open_, "open-windows")
+
+
+def _outside(found: DataFrame, verified: DataFrame) -> DataFrame:
+    """``found`` but for passages that lie in a verified one of their text or in a longer one found with them; of equal ones that of the first text stays."""
+    both = verified.join(_narrow(found.select("x").distinct()), "x", "left_semi").withColumn("known", F.lit(0)).unionByName(found.withColumn("known", F.lit(1)))
+    before = W.partitionBy("x").orderBy("start", F.desc("end"), "known", "y", "match_start", "match_end").rowsBetween(W.unboundedPreceding, -1)
+    reached = both.withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
+    return reached.where("known = 1 and reached < end").drop("known", "reached")
+
+
+def _open(windows: DataFrame, verified: DataFrame, rule: Passages) -> DataFrame:
+    """The windows (uid, at, ...) in no verified passage of their text."""
     spans = verified.groupBy(F.col("x").alias("uid")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = F.broadcast(spans) if verified.count() <= BROADCAST_NUMBERS else spans
-    left = kept.where("uid <> y and prev <> y").select("uid", "at", "prev", "prev_shift").join(spans, "uid", "left")
+    left = windows.join(spans, "uid", "left")
     covered = F.exists("spans", lambda s: (s["start"] <= F.col("at")) & (F.col("at") + rule.shingle <= s["end"]))
-    left = left.where(~F.coalesce(covered, F.lit(False)))
-    return left.groupBy(F.col("uid").alias("x"), F.col("prev").alias("y"), F.col("prev_shift").alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    return left.where(~F.coalesce(covered, F.lit(False))).drop("spans")
+
+
+def _open_seeds(open_: DataFrame, members: DataFrame, low: int, high: int) -> DataFrame:
+    """(x, y, shift, n): open windows beside each text that comes ``low`` to ``high`` - 1 texts before theirs under the key.
+
+    Keys are joined in blocks of texts, so that a hot key is many small ones.
+    """
+    size = high - low
+    nearest, furthest = F.col("place") - low, F.greatest(F.col("place") - (high - 1), F.lit(1))
+    blocks = F.sequence(F.floor(furthest / size), F.floor(nearest / size))
+    asked = open_.where(nearest >= 1).select("key", F.explode(blocks).alias("block"), F.col("uid").alias("x"), "at", "place")
+    before = members.select("key", F.floor(F.col("place") / size).alias("block"), "y", "y_at", F.col("place").alias("y_place"))
+    found = asked.join(before, ["key", "block"]).where((F.col("place") - F.col("y_place")).between(low, high - 1))
+    return found.groupBy("x", "y", (F.col("at") - F.col("y_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _exact_seeds(texts: DataFrame, kept: DataFrame, rule: Passages) -> DataFrame:

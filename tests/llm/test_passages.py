@@ -116,3 +116,30 @@ def test_recall_of_near_copies_by_length_and_edits(spark):
         by_length = {n: sum((i, i - 1) in found for i in ids if wanted[i][1] == n) / sum(wanted[i][1] == n for i in ids) for n in (55, 60, 70, 90, 120)}
         assert recall >= 0.9, (partial, recall, by_length)
         print("recall", partial, recall, by_length)
+
+
+def test_near_copies_behind_many_texts_with_a_part_of_the_passage(spark):
+    """The text that verifies is neither the first with the windows' keys nor the one before: 3 or 20 others hold 44 words of the passage."""
+    rows, wanted, uid = [], {}, 0
+    for case in range(40):
+        n = (55, 60, 70, 90)[case % 4]
+        passage = prose(n, 40_000 + case)
+        near = list(passage)
+        near[n // 2 if n >= 70 else 2] = "edited"
+        part, between = passage[-46:-2], (3, 20)[case % 2]
+        for k, words in enumerate([part, passage, *[part] * between, near]):
+            own = prose(60, 50_000 + uid)
+            rows.append((uid, " ".join(own[:20] + words + own[20:]), "a"))
+            wanted |= {uid: (uid - between - 1, n)} if words is near else {}
+            uid += 1
+    found = substring_dedup.repeats(docs_of(spark, rows)).collect()
+    caught = [i for i, (j, n) in wanted.items() if any(r["doc_id"] == i and r["match_id"] == j and r["end"] - r["start"] >= n - 4 for r in found)]
+    assert len(caught) >= 0.9 * len(wanted)
+
+
+def test_of_passages_found_later_those_inside_known_ones_are_left_out(spark):
+    kind = "x long, y long, start long, end long, match_start long, match_end long, similarity double"
+    known = spark.createDataFrame([(1, 0, 10, 70, 10, 70, 1.0), (2, 0, 0, 50, 0, 50, 1.0)], kind)
+    found = [(1, 3, 10, 70, 5, 65, 0.9), (1, 4, 15, 68, 5, 58, 0.9), (1, 5, 15, 80, 5, 70, 0.9), (1, 4, 20, 80, 5, 65, 0.9), (3, 5, 0, 60, 0, 60, 0.9), (3, 4, 0, 60, 9, 69, 0.9)]
+    left = substring_dedup._outside(spark.createDataFrame(found, kind), known).collect()
+    assert sorted((r["x"], r["y"], r["start"], r["end"]) for r in left) == [(1, 5, 15, 80), (3, 4, 0, 60)]
