@@ -13,7 +13,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,17 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
+class _Known(dict):
+    """Ids of the words met so far, each behind a space."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(" " + word)).tobytes()
+        return ids
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -55,38 +66,34 @@ class WordIds:
     """
 
     def __init__(self, tokenizer, remembered: int = REMEMBERED) -> None:
-        self.tokenizer, self.limit, self.known = tokenizer, remembered, {}
+        self.tokenizer, self.limit = tokenizer, remembered
         letter = {c: b for b, c in enumerate(_byte_letters())}
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(letter[c] for c in t): i for t, i in tokenizer.get_vocab().items() if t not in special}
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known = _Known(self.words.encode_ordinary)
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _plain(self, text: str) -> bool:
-        """No white space but single spaces between words and line breaks inside them, and no special token."""
+    def _plain(self, text: str) -> list[str] | None:
+        """The words between the single spaces of a text without other white space than these and line breaks inside it, and without a special token."""
         if not text or text[0].isspace() or text[-1].isspace() or any(s in text for s in self.special):
-            return False
+            return None
         if any(x in text for x in ("  ", " \n", "\n ", "\n\n")):
-            return not _ODD_SPACE.search(text)
+            return None if _ODD_SPACE.search(text) else text.split(" ")
         # Separators stand alone here, so any other white space would make more words than they do.
-        return len(text.split()) == text.count(" ") + text.count("\n") + 1
+        return text.split(" ") if len(text.split()) == text.count(" ") + text.count("\n") + 1 else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        easy = [self._plain(t) for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        # The first word of a text has no space before it; it is remembered under its own key.
-        keyed = [[w[0], *[" " + x for x in w[1:]]] if e else () for w, e in zip(split, easy)]
-        missing = list({x for w in keyed for x in w if x not in known})
-        ids = self.words.encode_ordinary
-        known.update((x, array("I", ids(x)).tobytes()) for x in missing)
-        whole = iter(self._encode([t for t, e in zip(texts, easy) if not e]))
-        return [b"".join([known[x] for x in w]) if e else next(whole) for w, e in zip(keyed, easy)]
+        split = [self._plain(t) for t in texts]
+        whole = iter(self._encode([t for t, w in zip(texts, split) if w is None]))
+        behind, first = self.known.__getitem__, self.words.encode_ordinary
+        # The first word of a text has no space before it.
+        return [next(whole) if w is None else b"".join([array("I", first(w[0])).tobytes(), *map(behind, w[1:])]) for w in split]
 
 
 def cuts(total: int, capacity: int) -> list[tuple[int, int]]:
