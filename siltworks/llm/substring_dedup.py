@@ -444,10 +444,13 @@ def _rest(rows: DataFrame, kept: DataFrame, pairs: DataFrame, verified: DataFram
     members = members.groupBy("key", F.col("uid").alias("y")).agg(F.min("at").alias("y_at"))
     members = written(members.withColumn("place", F.row_number().over(W.partitionBy("key").orderBy("y"))), "open-members")
     open_ = open_.join(members.select("key", F.col("y").alias("uid"), "place"), ["key", "uid"])
+    near = written(_surroundings(rows, open_.select("uid", "at").unionByName(members.select(F.col("y").alias("uid"), F.col("y_at").alias("at"))), rule), "surroundings")
+    open_ = open_.join(near, ["uid", "at"])
+    members = members.join(near.toDF("y", "y_at", "y_near"), ["y", "y_at"])
     tried = pairs.select("x", "y", F.explode("shifts").alias("shift"))
     seeds, low = None, 1
     while True:
-        found = written(_open_seeds(open_, members, low, low * REACH), "open-seeds")
+        found = written(_open_seeds(open_, members, low, low * REACH, rule), "open-seeds")
         seeds = found if seeds is None else seeds.unionByName(found)
         others = _enough(seeds).select("x", "y", F.explode("shifts").alias("shift")).join(tried, ["x", "y", "shift"], "left_anti")
         others = written(others.groupBy("x", "y").agg(F.collect_set("shift").alias("shifts")), "other-pairs")
@@ -478,18 +481,71 @@ def _open(windows: DataFrame, verified: DataFrame, rule: Passages) -> DataFrame:
     return left.where(~F.coalesce(covered, F.lit(False))).drop("spans")
 
 
-def _open_seeds(open_: DataFrame, members: DataFrame, low: int, high: int) -> DataFrame:
+def _surroundings(rows: DataFrame, places: DataFrame, rule: Passages) -> DataFrame:
+    """(uid, at, near): the lowest 16 bits of the shingles up to a passage before and behind each place, and their drift; missing ones at the edges are counted first."""
+    wanted = places.groupBy("uid").agg(F.collect_set("at").alias("places"))
+    reach = rule.width - 1 + DRIFT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        known = _Hashes()
+        for batch in batches:
+            for uid, text, places in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist()):
+                own = shingle_row(text, rule.shingle, known).astype("<u2")
+                for at in places:
+                    yield uid, at, bytes([max(0, reach - at)]) + own[max(0, at - reach) : at + reach + 1].tobytes()
+
+    return map_rows(rows.join(wanted, "uid").select("uid", "text", "places"), run, "uid long, at long, near binary")
+
+
+def near_rows(near: list[bytes], rule: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_surroundings`` gives as a row each, the place itself in the middle, and which numbers there are."""
+    width = 2 * (rule.width - 1 + DRIFT) + 1
+    values, there = np.zeros((len(near), width), np.int64), np.zeros((len(near), width), bool)
+    for i, b in enumerate(near):
+        n = (len(b) - 1) // 2
+        values[i, b[0] : b[0] + n] = np.frombuffer(b, "<u2", offset=1)
+        there[i, b[0] : b[0] + n] = True
+    return values, there
+
+
+def may_hold(near: list[bytes], others: list[bytes], rule: Passages) -> np.ndarray:
+    """Whether some stretch of least width around each first place has as many shingles near the second place as a passage needs."""
+    x, x_there = near_rows(near, rule)
+    y, y_there = near_rows(others, rule)
+    row = np.arange(len(x))[:, None] << 17
+    known = np.sort((row + y + np.where(y_there, 0, 1 << 16)).ravel())
+    wanted = (row + x)[:, DRIFT:-DRIFT]
+    hit = (known[np.minimum(np.searchsorted(known, wanted.ravel()), len(known) - 1)].reshape(wanted.shape) == wanted) & x_there[:, DRIFT:-DRIFT]
+    sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(hit, axis=1)], axis=1)
+    least = -(-2 * rule.width * rule.percent // (100 + rule.percent))
+    return (sums[:, rule.width :] - sums[:, : -rule.width]).max(axis=1) >= least
+
+
+def _open_seeds(open_: DataFrame, members: DataFrame, low: int, high: int, rule: Passages) -> DataFrame:
     """(x, y, shift, n): open windows beside each text that comes ``low`` to ``high`` - 1 texts before theirs under the key.
 
+    One with a stretch that a passage may be is enough; without one, only the text just before counts, as a window like others.
     Keys are joined in blocks of texts, so that a hot key is many small ones.
     """
     size = high - low
     nearest, furthest = F.col("place") - low, F.greatest(F.col("place") - (high - 1), F.lit(1))
     blocks = F.sequence(F.floor(furthest / size), F.floor(nearest / size))
-    asked = open_.where(nearest >= 1).select("key", F.explode(blocks).alias("block"), F.col("uid").alias("x"), "at", "place")
-    before = members.select("key", F.floor(F.col("place") / size).alias("block"), "y", "y_at", F.col("place").alias("y_place"))
+    asked = open_.where(nearest >= 1).select("key", F.explode(blocks).alias("block"), F.col("uid").alias("x"), "at", "place", "near")
+    before = members.select("key", F.floor(F.col("place") / size).alias("block"), "y", "y_at", F.col("place").alias("y_place"), "y_near")
     found = asked.join(before, ["key", "block"]).where((F.col("place") - F.col("y_place")).between(low, high - 1))
-    return found.groupBy("x", "y", (F.col("at") - F.col("y_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    beside = (F.col("place") - F.col("y_place") == 1) & (F.col("y_place") > 1)
+    found = found.select("x", "y", (F.col("at") - F.col("y_at")).alias("shift"), beside.cast("long").alias("n"), "near", "y_near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                held = may_hold(part.column(4).to_pylist(), part.column(5).to_pylist(), rule)
+                n = np.where(held, ENOUGH, part.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n)], names=["x", "y", "shift", "n"]).filter(pa.array(n > 0))
+
+    likely = found.mapInArrow(run, "x long, y long, shift long, n long")
+    return likely.groupBy("x", "y", "shift").agg(F.sum("n").alias("n"))
 
 
 def _exact_seeds(texts: DataFrame, kept: DataFrame, rule: Passages) -> DataFrame:

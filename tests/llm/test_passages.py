@@ -143,3 +143,22 @@ def test_of_passages_found_later_those_inside_known_ones_are_left_out(spark):
     found = [(1, 3, 10, 70, 5, 65, 0.9), (1, 4, 15, 68, 5, 58, 0.9), (1, 5, 15, 80, 5, 70, 0.9), (1, 4, 20, 80, 5, 65, 0.9), (3, 5, 0, 60, 0, 60, 0.9), (3, 4, 0, 60, 9, 69, 0.9)]
     left = substring_dedup._outside(spark.createDataFrame(found, kind), known).collect()
     assert sorted((r["x"], r["y"], r["start"], r["end"]) for r in left) == [(1, 5, 15, 80), (3, 4, 0, 60)]
+
+
+def test_surroundings_that_hold_a_passage_are_never_left_out():
+    rng = np.random.default_rng(5)
+    reach, least = RULE.width - 1 + substring_dedup.DRIFT, -(-2 * RULE.width * RULE.percent // (100 + RULE.percent))
+    near, others, want = [], [], []
+    for _ in range(300):
+        x, y = (rng.integers(0, 1 << 16, 2 * reach + 1).astype("<u2") for _ in range(2))
+        common, start = int(rng.integers(30, 47)), int(rng.integers(substring_dedup.DRIFT, reach + 1))
+        drift = int(rng.integers(-substring_dedup.DRIFT, substring_dedup.DRIFT + 1))
+        places = start + np.sort(rng.permutation(RULE.width)[:common])
+        y[places + drift] = x[places]
+        near.append(b"\0" + x.tobytes())
+        others.append(b"\0" + y.tobytes())
+        want.append(common >= least)
+    got = substring_dedup.may_hold(near, others, RULE)
+    assert got[np.array(want)].all() and got[~np.array(want)].mean() < 0.2
+    edges = [bytes([reach]) + np.arange(reach + 1, dtype="<u2").tobytes(), bytes([reach - 3]) + np.arange(8, dtype="<u2").tobytes()]
+    assert substring_dedup.may_hold(edges, edges, RULE).tolist() == [True, False]
