@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.llm.components import components
-from siltworks.llm.frames import map_rows, numbered, octets, text_of, written
+from siltworks.llm.frames import BATCH_ROWS, map_rows, numbered, octets, text_of, written
 from siltworks.session import pin_small
 
 REMEMBERED = 400_000
@@ -125,28 +125,38 @@ def _sets(rows: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray])
     return map_rows(rows.select("uid", "doc", "text"), run, kind + ", ".join(f"m{i} long" for i in range(MIN_HASHES)))
 
 
+def _seen_twice(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(token, n) of the tokens that are held more than once; what is held is let go. Only these few take memory beside one sorted array."""
+    if not held:
+        return
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    same = np.zeros(len(tokens) + 1, bool)
+    np.equal(tokens[1:], tokens[:-1], out=same[1:-1])
+    starts, ends = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(same[:-1] & ~same[1:])
+    found = tokens[starts].view(np.int64)
+    del tokens, same
+    for i in range(0, len(found), BATCH_ROWS):
+        part = slice(i, i + BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(found[part]), pa.array(ends[part] - starts[part] + 1)], names=["token", "n"])
+
+
 def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Tokens to put last, sorted, and the power of two of their counts: counted over all texts, those seen twice in a stretch of ``COUNT_TOKENS`` being summed up."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = _Hashes(), [], 0
-
-        def told() -> Iterator[tuple]:
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = counts > 1
-            yield from zip(tokens[twice].view(np.int64).tolist(), counts[twice].tolist())
-
         for batch in batches:
             for text in octets(batch.column(0)):
                 held.append(shingle_set(text, rule.shingle, known))
                 size += len(held[-1])
                 if size >= COUNT_TOKENS:
-                    yield from told()
-                    held, size = [], 0
-        if held:
-            yield from told()
+                    yield from _seen_twice(held)
+                    size = 0
+        yield from _seen_twice(held)
 
-    counts = map_rows(rows.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
