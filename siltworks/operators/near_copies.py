@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siltworks.functions.strings import normalised_text
 from siltworks.operators.inference import quoted
 from siltworks.operators.violations import SHINGLE_WORDS, near_duplicate_bands
-from siltworks.session import cut_lineage
+from siltworks.session import cut_lineage, pin_small
 
 SIMILARITY = 0.8
 # A product that is whole but for its rounding is not missed.
@@ -57,7 +57,10 @@ def verified_near_copies(df: DataFrame, key: str, text: str, threshold: float =
     Keys must be unique; null texts, and those below three words, have no copies.
     """
     slots = cut_lineage(near_duplicate_bands(df, key, text, partitions).select(key, F.xxhash64("band", "bucket").alias("slot")))
-    sets = cut_lineage(shingle_sets(df, key, text))
+    # Only texts that share a slot are ever compared: sets of the others are neither written nor moved.
+    shared = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("slot")
+    members = pin_small(slots.join(shared, "slot", "left_semi").select(key).distinct())
+    sets = cut_lineage(shingle_sets(df.join(members, key, "left_semi"), key, text))
     linked, open_slots, done = None, slots, 0
     while rounds is None or done < rounds:
         leaders = open_slots.groupBy("slot").agg(F.min(key).alias("anchor"), F.count(F.lit(1)).alias("size")).where("size > 1")
