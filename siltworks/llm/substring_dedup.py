@@ -40,6 +40,8 @@ REACH = 16
 TOGETHER = 1 << 20
 # 24 bytes a row: what is broadcast stays below 48 MB.
 BROADCAST_NUMBERS = 2_000_000
+# Texts of a key that one block holds at most; pairs that are compared at a time, and slots that tell most of them apart.
+BLOCK, PAIRS, SLOTS = 4096, 512, 4096
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SIDE_SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -450,6 +452,7 @@ def _rest(rows: DataFrame, kept: DataFrame, pairs: DataFrame, verified: DataFram
     tried = pairs.select("x", "y", F.explode("shifts").alias("shift"))
     seeds, low = None, 1
     while True:
+        members = members.join(_narrow(written(open_.select("key").distinct(), "open-keys")), "key", "left_semi")
         found = written(_open_seeds(open_, members, low, low * REACH, rule), "open-seeds")
         seeds = found if seeds is None else seeds.unionByName(found)
         others = _enough(seeds).select("x", "y", F.explode("shifts").alias("shift")).join(tried, ["x", "y", "shift"], "left_anti")
@@ -500,51 +503,111 @@ def _surroundings(rows: DataFrame, places: DataFrame, rule: Passages) -> DataFra
 def near_rows(near: list[bytes], rule: Passages) -> tuple[np.ndarray, np.ndarray]:
     """What ``_surroundings`` gives as a row each, the place itself in the middle, and which numbers there are."""
     width = 2 * (rule.width - 1 + DRIFT) + 1
-    values, there = np.zeros((len(near), width), np.int64), np.zeros((len(near), width), bool)
-    for i, b in enumerate(near):
-        n = (len(b) - 1) // 2
-        values[i, b[0] : b[0] + n] = np.frombuffer(b, "<u2", offset=1)
-        there[i, b[0] : b[0] + n] = True
-    return values, there
+    size = np.fromiter(map(len, near), np.int64, len(near))[:, None] // 2
+    whole = np.frombuffer(b"".join([b.ljust(2 * width + 1, b"\0") for b in near]), np.uint8).reshape(len(near), 2 * width + 1)
+    at = np.arange(width) - whole[:, :1].astype(np.int64)
+    there = (at >= 0) & (at < size)
+    values = np.take_along_axis(whole[:, 1:].copy().view("<u2"), np.clip(at, 0, width - 1), axis=1)
+    return np.where(there, values, 0).astype(np.int64), there
 
 
 def may_hold(near: list[bytes], others: list[bytes], rule: Passages) -> np.ndarray:
     """Whether some stretch of least width around each first place has as many shingles near the second place as a passage needs."""
-    x, x_there = near_rows(near, rule)
-    y, y_there = near_rows(others, rule)
+    return _holds(*near_rows(near, rule), *near_rows(others, rule), rule)
+
+
+def _least(rule: Passages) -> int:
+    """Shingles that two stretches of least width have in common at least."""
+    return -(-2 * rule.width * rule.percent // (100 + rule.percent))
+
+
+def _reached(hit: np.ndarray, rule: Passages) -> np.ndarray:
+    """Whether a stretch of least width has enough hits, by row."""
+    sums = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
+    np.cumsum(hit, axis=1, out=sums[:, 1:])
+    return (sums[:, rule.width :] - sums[:, : -rule.width]).max(axis=1) >= _least(rule)
+
+
+def _holds(x: np.ndarray, x_there: np.ndarray, y: np.ndarray, y_there: np.ndarray, rule: Passages) -> np.ndarray:
     row = np.arange(len(x))[:, None] << 17
     known = np.sort((row + y + np.where(y_there, 0, 1 << 16)).ravel())
     wanted = (row + x)[:, DRIFT:-DRIFT]
-    hit = (known[np.minimum(np.searchsorted(known, wanted.ravel()), len(known) - 1)].reshape(wanted.shape) == wanted) & x_there[:, DRIFT:-DRIFT]
-    sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(hit, axis=1)], axis=1)
-    least = -(-2 * rule.width * rule.percent // (100 + rule.percent))
-    return (sums[:, rule.width :] - sums[:, : -rule.width]).max(axis=1) >= least
+    return _reached((known[np.minimum(np.searchsorted(known, wanted.ravel()), len(known) - 1)].reshape(wanted.shape) == wanted) & x_there[:, DRIFT:-DRIFT], rule)
+
+
+class Places:
+    """Surroundings of many places, to lay some beside others.
+
+    Numbers with the same rest are first taken for the same, which leaves out no pair that holds; the pairs left are compared by ``_holds``.
+    """
+
+    def __init__(self, near: list[bytes], rule: Passages) -> None:
+        self.rule = rule
+        self.values, self.there = near_rows(near, rule)
+        self.slots = np.where(self.there, self.values % SLOTS, SLOTS)
+        # A missing number of the first side is never found.
+        self.wanted = np.where(self.there, self.slots, SLOTS + 1)[:, DRIFT:-DRIFT]
+
+    def may_hold(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """``may_hold`` of the places of two rows of positions."""
+        row = (np.arange(len(first)) * (SLOTS + 2))[:, None]
+        known = np.zeros(len(first) * (SLOTS + 2), bool)
+        known[row + self.slots[second]] = True
+        out = _reached(known[row + self.wanted[first]], self.rule)
+        left = np.flatnonzero(out)
+        if len(left):
+            i, j = first[left], second[left]
+            out[left] = _holds(self.values[i], self.there[i], self.values[j], self.there[j], self.rule)
+        return out
+
+
+def _beside(batches: Iterator[pa.RecordBatch], low: int, high: int, rule: Passages) -> Iterator[pa.RecordBatch]:
+    """(x, y, shift, n) of rows (key, block, asks, place, uid, at, near), sorted so: in each block the texts of a key, then the windows laid beside them.
+
+    Of a block that goes on in the next batch the texts are held.
+    """
+    numbers, near = np.zeros((6, 0), np.int64), []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = np.concatenate([numbers, np.stack([batch.column(i).to_numpy() for i in range(6)])], axis=1)
+        near += batch.column(6).to_pylist()
+        key, block, asks, place, uid, at = numbers
+        group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])) - 1
+        texts, asked = np.flatnonzero(asks == 0), np.flatnonzero(asks)
+        # Places are below 2^42; the last group of each batch is the first of the next.
+        codes, wanted = (group[texts] << 42) + place[texts], (group[asked] << 42) + np.maximum(place[asked] - np.array([[high - 1], [low]]), 0)
+        start, end = np.searchsorted(codes, wanted[0], "left"), np.searchsorted(codes, wanted[1], "right")
+        ends = np.cumsum(end - start)
+        places = Places(near, rule)
+        for i in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            pair = np.arange(i, min(i + PAIRS, int(ends[-1])))
+            of = np.searchsorted(ends, pair, "right")
+            one, two = asked[of], texts[pair - ends[of] + end[of]]
+            before = (place[one] - place[two] == 1) & (place[two] > 1)
+            n = np.where(places.may_hold(one, two), ENOUGH, before.astype(np.int64))
+            use = np.flatnonzero(n)
+            if len(use):
+                one, two = one[use], two[use]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (uid[one], uid[two], at[one] - at[two], n[use])], names=["x", "y", "shift", "n"])
+        kept = texts[group[texts] == group[-1]]
+        numbers, near = numbers[:, kept], [near[k] for k in kept.tolist()]
 
 
 def _open_seeds(open_: DataFrame, members: DataFrame, low: int, high: int, rule: Passages) -> DataFrame:
     """(x, y, shift, n): open windows beside each text that comes ``low`` to ``high`` - 1 texts before theirs under the key.
 
     One with a stretch that a passage may be is enough; without one, only the text just before counts, as a window like others.
-    Keys are joined in blocks of texts, so that a hot key is many small ones.
+    The texts of a key are dealt in blocks, so that a hot key is many small ones; a block's surroundings travel once, not with each pair.
     """
-    size = high - low
+    width = min(high - low, BLOCK)
     nearest, furthest = F.col("place") - low, F.greatest(F.col("place") - (high - 1), F.lit(1))
-    blocks = F.sequence(F.floor(furthest / size), F.floor(nearest / size))
-    asked = open_.where(nearest >= 1).select("key", F.explode(blocks).alias("block"), F.col("uid").alias("x"), "at", "place", "near")
-    before = members.select("key", F.floor(F.col("place") / size).alias("block"), "y", "y_at", F.col("place").alias("y_place"), "y_near")
-    found = asked.join(before, ["key", "block"]).where((F.col("place") - F.col("y_place")).between(low, high - 1))
-    beside = (F.col("place") - F.col("y_place") == 1) & (F.col("y_place") > 1)
-    found = found.select("x", "y", (F.col("at") - F.col("y_at")).alias("shift"), beside.cast("long").alias("n"), "near", "y_near")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                held = may_hold(part.column(4).to_pylist(), part.column(5).to_pylist(), rule)
-                n = np.where(held, ENOUGH, part.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n)], names=["x", "y", "shift", "n"]).filter(pa.array(n > 0))
-
-    likely = found.mapInArrow(run, "x long, y long, shift long, n long")
+    blocks = F.sequence(F.floor(furthest / width), F.floor(nearest / width))
+    asked = open_.where(nearest >= 1).select("key", F.explode(blocks).alias("block"), F.lit(1).cast("long").alias("asks"), "place", "uid", "at", "near")
+    before = members.select("key", F.floor(F.col("place") / width).alias("block"), F.lit(0).cast("long").alias("asks"), F.col("place"), F.col("y").alias("uid"), F.col("y_at").alias("at"), F.col("y_near").alias("near"))
+    both = before.unionByName(asked).withColumn("place", F.col("place").cast("long")).repartition("key", "block")
+    both = both.sortWithinPartitions("key", "block", "asks", "place")
+    likely = both.mapInArrow(lambda batches: _beside(batches, low, high, rule), "x long, y long, shift long, n long")
     return likely.groupBy("x", "y", "shift").agg(F.sum("n").alias("n"))
 
 
