@@ -12,13 +12,14 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks.llm.frames import map_rows, octets, text_of
 from siltworks.llm.labelled import Bound, training_rows
@@ -26,6 +27,8 @@ from siltworks.llm.labelled import Bound, training_rows
 SLOTS = 1 << 18
 LEADS = (4, 5, 6, 7, 8, 9)
 REMEMBERED = 400_000
+# Rows whose texts and keys are Python objects at the same time.
+TOGETHER = 256
 OFFENDING = 0.5
 # Score of every text where no model could be learnt: a share of toxic texts that a corpus may well have.
 UNKNOWN = 0.1
@@ -137,28 +140,43 @@ def score(df: DataFrame, model: SentenceModel, keys: list[str], text_col: str =
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        known = _Weights(shared.value)
-        bias, weight = shared.value.bias, known.__getitem__
-        for batch in batches:
-            carried = zip(*[batch.column(i).to_pylist() for i in range(width)]) if width else iter([()] * batch.num_rows)
-            for key, text in zip(carried, octets(batch.column(width))):
-                if bias != bias:
-                    yield *key, UNKNOWN, []
-                    continue
-                clean, worst = 0.0, []
-                for a, b in sentences(text):
-                    z = bias + sum(map(weight, text[a:b].translate(_WORD_BYTES).split()))
-                    z = min(30.0, max(-30.0, z))
-                    clean -= math.log1p(math.exp(z))
-                    if z >= 0 or offending < 0.5:
-                        p = 1 / (1 + math.exp(-z))
-                        if p >= offending:
-                            worst.append({"start": a, "end": b, "p": p})
-                yield *key, 1 - math.exp(clean), worst
+        judge = _judge(shared.value, offending)
+        for part in _parts(batches):
+            carried = zip(*[part.column(i).to_pylist() for i in range(width)]) if width else iter([()] * part.num_rows)
+            for key, text in zip(carried, octets(part.column(width))):
+                yield *key, *judge(text)
 
     return map_rows(rows, run, (kinds + ", " if kinds else "") + "score double, worst array<struct<start:int,end:int,p:double>>")
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``TOGETHER`` rows: of so many texts are there Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
+def _judge(model: SentenceModel, offending: float) -> Callable[[bytes], tuple[float, list[dict]]]:
+    """Score and offending sentences of a text."""
+    bias, weight = model.bias, _Weights(model).__getitem__
+
+    def judge(text: bytes) -> tuple[float, list[dict]]:
+        if bias != bias:
+            return UNKNOWN, []
+        clean, worst = 0.0, []
+        for a, b in sentences(text):
+            z = bias + sum(map(weight, text[a:b].translate(_WORD_BYTES).split()))
+            z = min(30.0, max(-30.0, z))
+            clean -= math.log1p(math.exp(z))
+            if z >= 0 or offending < 0.5:
+                p = 1 / (1 + math.exp(-z))
+                if p >= offending:
+                    worst.append({"start": a, "end": b, "p": p})
+        return 1 - math.exp(clean), worst
+
+    return judge
+
+
 def drop_toxic(df: DataFrame, model: SentenceModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``df`` without the rows whose score reaches ``threshold``; columns, nulls and repeated rows stay as they are.
 
@@ -166,6 +184,16 @@ def drop_toxic(df: DataFrame, model: SentenceModel, threshold: float = 0.5, text
     """
     if not model.learnt:
         return df
-    inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    scored = score(df.toDF(*inner.values()), model, list(inner.values()), inner[text_col])
-    return scored.where(F.col("score") < threshold).select(*[F.col(i).alias(c) for c, i in inner.items()])
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    at, width = df.columns.index(text_col), len(df.columns)
+    # A text is taken from its own column; what is no text travels as text beside it.
+    judged = rows if isinstance(rows.schema[at].dataType, T.StringType) else rows.withColumn("_t", text_of(f"c{at}"))
+    place, shared = (at if judged is rows else width), df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(shared.value, OFFENDING)
+        for part in _parts(batches):
+            stays = [judge(text)[0] < threshold for text in octets(part.column(place))]
+            yield part.select(range(width)).filter(pa.array(stays, pa.bool_()))
+
+    return judged.mapInArrow(run, rows.schema).toDF(*df.columns)
