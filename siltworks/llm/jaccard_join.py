@@ -34,6 +34,8 @@ MIN_HASHES = 4
 COUNT_TOKENS = 2_000_000
 # As many frequent tokens as are broadcast, 9 bytes each; the others keep their place in the order.
 FREQUENT = 1 << 18
+# Stretches of equally many possible tokens, two to the power of this.
+STRETCH_BITS = 12
 SLICE_MEMBERS = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -157,10 +159,38 @@ def _frequent(rows: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         yield from _seen_twice(held)
 
     counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", F.floor(F.log2("n")).cast("byte").alias("level")).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
+    return _commonest(written(counts, "token-counts"), FREQUENT)
+
+
+def _commonest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens, sorted, and levels of at most ``most`` rows (token, n), the commonest first; of equally common ones those of the lowest stretches of tokens that fit.
+
+    The driver gets counts of counts and of stretches, and one row of bytes from each task: no row for a token.
+    """
+    room, cut, stretch = most, 0, None
+    for n, rows in sorted(map(tuple, counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
+        if rows > room:
+            cut = n
+            break
+        room -= rows
+    if cut:
+        part = F.shiftright("token", 64 - STRETCH_BITS)
+        for number, rows in sorted(map(tuple, counts.where(F.col("n") == cut).groupBy(part).agg(F.count(F.lit(1))).collect())):
+            if rows > room:
+                break
+            room, stretch = room - rows, number
+        tied = F.lit(False) if stretch is None else (F.col("n") == cut) & (part <= stretch)
+        counts = counts.where((F.col("n") > cut) | tied)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held = [(b.column(0).to_numpy().tobytes(), b.column(1).to_numpy().tobytes()) for b in batches if b.num_rows]
+        if held:
+            yield b"".join(t for t, _ in held), b"".join(v for _, v in held)
+
+    found = map_rows(counts.select("token", F.floor(F.log2("n")).cast("byte").alias("level")), packed, "tokens binary, levels binary").collect()
+    tokens = np.frombuffer(b"".join(r["tokens"] for r in found), np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], top["level"].to_numpy(np.int8)[order]
+    return tokens[order], np.frombuffer(b"".join(r["levels"] for r in found), np.int8)[order]
 
 
 def _verify(rows: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
