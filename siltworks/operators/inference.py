@@ -14,6 +14,8 @@ from siltworks.functions.strings import canonical_text
 NUMERIC, CATEGORICAL, DATETIME = "Numeric", "Categorical", "Datetime"
 TYPE_SHARE = 0.6
 COLUMN_CHUNK = 200
+# In tables above so many rows, a text column is read value by value where its values come so often on average and are no longer than this.
+MANY_ROWS, REPEATS, VALUE_BYTES = 100_000, 4, 200
 
 
 def quoted(name: str) -> Column:
@@ -25,28 +27,61 @@ def long_rows(aggregated: DataFrame, structs: list[Column]) -> DataFrame:
     return aggregated.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def infer_types(df: DataFrame, columns: list[str] | None = None, share: float = TYPE_SHARE) -> DataFrame:
+def repeated_texts(df: DataFrame) -> list[str]:
+    """Text columns of a large table with short values that come often: what is asked of each value is asked once per value there.
+
+    One scan with a sketch per column; only the way of counting depends on it, never a count.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    out = []
+    for at in range(0, len(texts), COLUMN_CHUNK):
+        part = texts[at : at + COLUMN_CHUNK]
+        aggs = [a for i, c in enumerate(part) for a in (F.approx_count_distinct(quoted(c)).alias(f"d{i}"), F.max(F.octet_length(quoted(c))).alias(f"l{i}"))]
+        seen = df.agg(F.count(F.lit(1)).alias("rows"), *aggs).first()
+        if seen["rows"] > MANY_ROWS:
+            out += [c for i, c in enumerate(part) if seen[f"d{i}"] * REPEATS <= seen["rows"] and (seen[f"l{i}"] or 0) <= VALUE_BYTES]
+    return out
+
+
+def value_times(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """The different values of a column, null too, and how often each comes."""
+    name = f"{column}_times"
+    return df.groupBy(quoted(column)).agg(F.count(F.lit(1)).alias(name)), quoted(name)
+
+
+def times_where(condition: Column, times: Column | None = None) -> Column:
+    """How many rows meet a condition; with ``times``, where a row stands for so many."""
+    return F.count_if(condition) if times is None else F.coalesce(F.sum(F.when(condition, times)), F.lit(0))
+
+
+def infer_types(df: DataFrame, columns: list[str] | None = None, share: float = TYPE_SHARE, repeated: list[str] | None = None) -> DataFrame:
     """Semantic type of each column: dates are tried before numbers, over all values of a text column.
 
-    One scan that reads the text columns only; native columns are decided by their physical type.
+    One scan that reads the text columns only; native columns are decided by their physical type. Columns that are
+    ``repeated`` are grouped to their values first, and each value is parsed once.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    apart = [f for f in fields if f.name in (repeated or ()) and isinstance(f.dataType, T.StringType)]
+    fields = [f for f in fields if f not in apart]
     parts = [_infer_chunk(df, fields[i : i + COLUMN_CHUNK], share) for i in range(0, len(fields), COLUMN_CHUNK)]
+    for f in apart:
+        values, times = value_times(df, f.name)
+        parts.append(_infer_chunk(values, [f], share, times))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _infer_chunk(df: DataFrame, fields: list[T.StructField], share: float) -> DataFrame:
+def _infer_chunk(df: DataFrame, fields: list[T.StructField], share: float, times: Column | None = None) -> DataFrame:
     aggs, structs = [], []
     for i, f in enumerate(fields):
         if isinstance(f.dataType, T.StringType):
             c = quoted(f.name)
             aggs += [
-                F.count(c).alias(f"n{i}"),
-                F.count(text_to_timestamp(c)).alias(f"d{i}"),
-                F.count(text_to_number(c)).alias(f"m{i}"),
+                times_where(c.isNotNull(), times).alias(f"n{i}"),
+                times_where(text_to_timestamp(c).isNotNull(), times).alias(f"d{i}"),
+                times_where(text_to_number(c).isNotNull(), times).alias(f"m{i}"),
                 F.max(F.length(c)).alias(f"l{i}"),
             ]
             n, d, m = (F.col(f"{p}{i}") for p in "ndm")
@@ -78,18 +113,18 @@ def native_type(dtype: T.DataType) -> str:
     return NUMERIC if isinstance(dtype, NATIVE_NUMERIC) else CATEGORICAL
 
 
-def inferred_map(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
+def inferred_map(df: DataFrame, columns: list[str] | None = None, repeated: list[str] | None = None) -> dict[str, str]:
     """Column name to semantic type on the driver: one short row per column; no scan when nothing is text."""
-    return {c: kind for c, (kind, _) in inferred_with_length(df, columns).items()}
+    return {c: kind for c, (kind, _) in inferred_with_length(df, columns, repeated).items()}
 
 
-def inferred_with_length(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[str, int]]:
+def inferred_with_length(df: DataFrame, columns: list[str] | None = None, repeated: list[str] | None = None) -> dict[str, tuple[str, int]]:
     """Column name to semantic type and longest text (0 where the column is not text)."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     known = {f.name: (native_type(f.dataType), 0) for f in fields if not isinstance(f.dataType, T.StringType)}
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     if texts:
-        known.update({r["column"]: (r["inferred_type"], r["max_length"] or 0) for r in infer_types(df, texts).collect()})
+        known.update({r["column"]: (r["inferred_type"], r["max_length"] or 0) for r in infer_types(df, texts, repeated=repeated_texts(df) if repeated is None else repeated).collect()})
     return {f.name: known[f.name] for f in fields}
 
 

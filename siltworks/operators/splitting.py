@@ -12,13 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltworks.functions.hashing import hex_bits, seeded_md5
-from siltworks.session import pin_small
+from siltworks.session import cut_lineage, pin_small
 
 # Fold names and the shares at which they end.
 CUTS = ((0.8, "train"), (0.9, "val"))
 LAST_FOLD = "test"
 SEED = 42
 _PREFIX = 12
+# Folds of tables above so many rows are dealt evenly, in so many partitions for each core.
+EVEN_ROWS, PER_CORE = 1_000_000, 3
 
 
 def drop_declared(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,6 +78,18 @@ def three_way_split(df: DataFrame, key: str, target: str | None = None, seed: in
     return tuple(folds.where(F.col("_fold") == name).drop("_fold") for name in (*[n for _, n in CUTS], LAST_FOLD))
 
 
+def written_folds(df: DataFrame, key: str, target: str | None = None, seed: int = SEED) -> list[DataFrame]:
+    """The three folds, each written once; a large table's rows are dealt evenly over the cores, however few or uneven its files are.
+
+    Every pass over a fold, and there are hundreds while models are fitted, has the partitions that it was written in.
+    """
+    folds = three_way_split(df, key, target, seed)
+    if df.agg(F.count(F.lit(1))).first()[0] > EVEN_ROWS:
+        partitions = PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+        folds = [f.repartition(partitions) for f in folds]
+    return [cut_lineage(f) for f in folds]
+
+
 def schema_drift(reference: DataFrame, fold: DataFrame) -> tuple[list[str], list[str]]:
     """Columns a fold has too many and too few, compared with the training fold."""
     extra = [c for c in fold.columns if c not in reference.columns]

@@ -17,7 +17,7 @@ from siltworks.functions.numbers import NATIVE_NUMERIC, UNIT_NUMBER_RE, infinity
 from siltworks.functions.strings import NULL_TOKENS, normalised_text, signature
 from siltworks.operators.anomaly import fences
 from siltworks.operators.frequency import top_per_column, value_key
-from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC, inferred_map, quoted
+from siltworks.operators.inference import CATEGORICAL, DATETIME, NUMERIC, inferred_map, quoted, repeated_texts, times_where, value_times
 from siltworks.operators.profiling import SENTINEL_SHARE, SENTINELS
 from siltworks.operators.skew import skew_safe_lookup
 from siltworks.session import cut_lineage
@@ -35,6 +35,8 @@ SECOND_SHARE = 0.05
 TARGETS_LISTED = 5
 # Checks that one aggregate counts; a wide table has thousands, too many for one.
 CHECK_CHUNK = 100
+# Categories whose checks, where they name one column, read nothing else.
+VALUE_CHECKS = ("MISSING_DATA", "SENTINEL_VALUE", "TYPE_ERROR", "OUTLIER", "PII_DETECTED", "FORMAT_INCONSISTENCY")
 
 VIOLATION_SCHEMA = (
     "violation_id long, severity string, category string, subtype string, affected_columns array<string>, "
@@ -80,28 +82,38 @@ class Check:
     below: bool = False
 
 
-def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
+def run_checks(df: DataFrame, checks: list[Check], repeated: list[str] | None = None) -> DataFrame:
     """Violations of all checks that fire, numbered in the order of the checks.
 
     One scan per ``CHECK_CHUNK`` checks, which reads only the columns of these; one row per task and scan is shuffled.
+    Checks of a single ``repeated`` column look at its different values, each counted as often as it comes.
     """
     if not checks:
         return df.sparkSession.createDataFrame([], VIOLATION_SCHEMA)
-    parts = [_fired(df, checks[i : i + CHECK_CHUNK], i) for i in range(0, len(checks), CHECK_CHUNK)]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _fired(df: DataFrame, checks: list[Check], first: int) -> DataFrame:
-    """The checks of one scan that fire; ``first`` is the position of the first of them."""
+    placed = list(enumerate(checks))
+    alone = {c: [(i, k) for i, k in placed if k.columns == [c] and k.category in VALUE_CHECKS] for c in repeated or ()}
+    taken = {i for own in alone.values() for i, _ in own}
+    rest = [p for p in placed if p[0] not in taken]
+    parts = [_fired(df, rest[i : i + CHECK_CHUNK]) for i in range(0, len(rest), CHECK_CHUNK)]
+    for c, own in alone.items():
+        if own:
+            values, times = value_times(df, c)
+            parts += [_fired(values, own[i : i + CHECK_CHUNK], times) for i in range(0, len(own), CHECK_CHUNK)]
+    found = reduce(DataFrame.unionAll, parts)
+    return found.coalesce(1).sortWithinPartitions("violation_id") if taken else found
+
+
+def _fired(df: DataFrame, placed: list[tuple[int, Check]], times: Column | None = None) -> DataFrame:
+    """The checks of one scan that fire, each with its position; with ``times``, a row of ``df`` stands for so many."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     structs = []
-    for i, c in enumerate(checks, first):
-        aggs += [F.count_if(F.coalesce(c.hit, F.lit(False))).alias(f"h{i}"), F.count_if(c.base if c.base is not None else F.lit(True)).alias(f"b{i}")]
+    for i, c in placed:
+        aggs += [times_where(F.coalesce(c.hit, F.lit(False)), times).alias(f"h{i}"), times_where(c.base if c.base is not None else F.lit(True), times).alias(f"b{i}")]
         hits, base = F.col(f"h{i}"), F.col(f"b{i}")
         fires = (hits > 0) & (hits >= F.lit(c.share) * base)
         if c.gate is not None:
             condition, least = c.gate
-            aggs.append(F.count_if(F.coalesce(condition, F.lit(False))).alias(f"g{i}"))
+            aggs.append(times_where(F.coalesce(condition, F.lit(False)), times).alias(f"g{i}"))
             reached = F.col(f"g{i}") >= F.lit(least) * base
             fires = fires & (~reached if c.below else reached)
         structs.append(
@@ -243,10 +255,11 @@ def date_formats(df: DataFrame, column: str) -> DataFrame:
     return named.groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
-def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | None = None, bounds: dict | None = None) -> DataFrame:
+def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | None = None, bounds: dict | None = None, repeated: list[str] | None = None) -> DataFrame:
     """All violations that row-wise checks can find, then duplicates, in one numbered table."""
     rules = rules or Rules()
-    types = types or inferred_map(df)
+    repeated = repeated_texts(df) if repeated is None else repeated
+    types = types or inferred_map(df, repeated=repeated)
     bounds = fences(df) if bounds is None and rules.outliers else bounds
     checks = [
         *missing_checks(df, rules),
@@ -259,7 +272,7 @@ def detect(df: DataFrame, rules: Rules | None = None, types: dict[str, str] | No
         *format_checks(df, types),
         *custom_checks(rules),
     ]
-    found = run_checks(df, checks)
+    found = run_checks(df, checks, repeated)
     out = found.unionByName(duplicate_violation(df, rules.keys or df.columns, len(checks) + 1))
     texts = [c for c, t in types.items() if t == CATEGORICAL and isinstance(df.schema[c].dataType, T.StringType)]
     return out.unionByName(shape_violations(df, texts, len(checks) + 2)) if rules.shapes and texts else out

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.operators.splitting import check_schema_drift, drop_declared, three_way_split
+from siltworks.operators.splitting import check_schema_drift, drop_declared, written_folds
 from siltworks.operators.training import drop_invalid_target, fit_best, score
 from siltworks.operators.violations import Rules
 from siltworks.plans.feature_rounds import FeatureStep
@@ -89,7 +89,7 @@ def run_one(spark: SparkSession, ds: Dataset) -> Run:
         table = drop_declared(ds.load(spark), ds.drop)
         if ds.target not in table.columns:
             raise ValueError(f"the table has no target column {ds.target}")
-        folds = [cut_lineage(f) for f in three_way_split(table, ds.key, ds.target if ds.task_type != "regression" else None)]
+        folds = written_folds(table, ds.key, ds.target if ds.task_type != "regression" else None)
         out.update(zip(("n_train", "n_val", "n_test_input"), map(_rows, folds)))
         return folds, out["n_train"] + out["n_val"] + out["n_test_input"]
 

@@ -101,7 +101,8 @@ def fit_state(
     started = replay(declared, train, target) if declared else train
     started = cut_lineage(started) if declared else started
     passes = clean_in_passes(started, rules)
-    after = profile(passes.table, ProfileOptions(as_of=rules.as_of))
+    # A row per column, read for what to drop and for the features.
+    after = cut_lineage(profile(passes.table, ProfileOptions(as_of=rules.as_of)))
     dropped: list[str] = []
     if drop_identifiers:
         candidates = {r["column"] for r in drop_candidates(after, passes.violations, target, rules.leaky).collect()}

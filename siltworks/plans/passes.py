@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from siltworks.operators.inference import inferred_map
+from siltworks.operators.inference import inferred_map, repeated_texts
 from siltworks.operators.violations import CRITICAL, Rules, detect
 from siltworks.plans.recipe import Step, apply, lint, ordered
 from siltworks.session import cut_lineage
@@ -112,9 +112,10 @@ def clean_in_passes(df: DataFrame, rules: Rules, max_passes: int = MAX_PASSES) -
     table, committed, history, ledger = df, [], [], []
     violations, before = None, {}
     for number in range(max_passes):
-        types = inferred_map(table)
-        violations = detect(table, rules, types)
-        # A bounded list: at most a few checks per column.
+        repeated = repeated_texts(table)
+        types = inferred_map(table, repeated=repeated)
+        # A bounded list: at most a few checks per column. It is written, since it is read more than once.
+        violations = cut_lineage(detect(table, rules, types, repeated=repeated))
         found = violations.collect()
         ledger += compare_findings(number, found, before)
         persisting = {finding_key(v) for v in found} & set(before)

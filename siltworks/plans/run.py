@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 
 from siltworks.operators.profiling import ProfileOptions, profile
 from siltworks.operators.quality import quality_score
-from siltworks.operators.splitting import three_way_split
+from siltworks.operators.splitting import written_folds
 from siltworks.operators.training import fit_best, model_metadata, permutation_importance, preflight, score
 from siltworks.operators.violations import Rules, caveats, choose_target, findings_summary, target_candidates
 from siltworks.plans.feature_rounds import FeatureStep
 from siltworks.plans.fitted import fit_state
 from siltworks.plans.passes import PassesResult
-from siltworks.session import cut_lineage
 from siltworks.sources.writers import write_csv, write_json
 
 
@@ -58,7 +57,7 @@ def run_table(df: DataFrame, key: str, question: str = "", target: str | None =
     if chosen is None:
         raise ValueError("no column can be predicted")
     regression = task_type == "regression" or dict(df.dtypes)[chosen] == "double"
-    folds = [cut_lineage(f) for f in three_way_split(df, key, None if regression else chosen)] if train else [df]
+    folds = written_folds(df, key, None if regression else chosen) if train else [df]
     fitted = fit_state(folds[0], chosen, key, rules)
     state, passes = fitted.state, fitted.passes
     report = RunReport(
