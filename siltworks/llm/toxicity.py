@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltworks.llm.frames import map_rows, octets, text_of
+from siltworks.llm.frames import give_back, map_rows, octets, text_of
 from siltworks.llm.labelled import Bound, training_rows
 
 SLOTS = 1 << 18
@@ -190,10 +190,14 @@ def drop_toxic(df: DataFrame, model: SentenceModel, threshold: float = 0.5, text
     judged = rows if isinstance(rows.schema[at].dataType, T.StringType) else rows.withColumn("_t", text_of(f"c{at}"))
     place, shared = (at if judged is rows else width), df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(shared.value, OFFENDING)
         for part in _parts(batches):
             stays = [judge(text)[0] < threshold for text in octets(part.column(place))]
             yield part.select(range(width)).filter(pa.array(stays, pa.bool_()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kept(batches)
+        give_back()
+
     return judged.mapInArrow(run, rows.schema).toDF(*df.columns)
