@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltworks.llm.frames import fresh, map_rows, numbered, octets, text_mark, text_of, written
+from siltworks.llm.frames import map_rows, numbered, octets, text_mark, text_of, written
 from siltworks.llm.jaccard_join import _A, _Hashes, _mix
 
 FUNCTIONS = 3
@@ -44,6 +43,9 @@ BROADCAST_NUMBERS = 2_000_000
 BLOCK, PAIRS, SLOTS = 4096, 512, 4096
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SIDE_SEED = np.uint64(0xD6E8FEB86659FD93)
+# What ASCII white space is, and the primes of xxh64.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
 @dataclass(frozen=True)
@@ -59,10 +61,43 @@ class Passages:
         return self.words - self.shingle + 1
 
 
+def _turned(z: np.ndarray, bits: int) -> np.ndarray:
+    return (z << np.uint64(bits)) | (z >> np.uint64(64 - bits))
+
+
+def word_hashes(texts: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """xxh64 of the words of all texts, one behind the other, and how many words each text has.
+
+    Words below 32 bytes are hashed in the steps of xxh64 for all of them at once; longer ones are looked up in ``known``.
+    """
+    whole = b" ".join([b"", *texts, b""]).lower()
+    blank = _BLANK[np.frombuffer(whole, np.uint8)]
+    turns = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    start, size = turns[::2], turns[1::2] - turns[::2]
+    # Eight bytes from each place on; those behind the word are not looked at.
+    octets_ = np.frombuffer(whole + bytes(8), np.uint8)
+    eight = np.ndarray(len(whole) + 1, "<u8", octets_, strides=(1,))
+    z = _P5 + size.astype(np.uint64)
+    for i in range(3):
+        use = np.flatnonzero(size >= 8 * i + 8)
+        z[use] = _turned(z[use] ^ (_turned(eight[start[use] + 8 * i] * _P2, 31) * _P1), 27) * _P1 + _P4
+    use = np.flatnonzero(size & 4)
+    z[use] = _turned(z[use] ^ ((eight[start[use] + (size[use] & ~7)] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+    for i in range(3):
+        use = np.flatnonzero((size & 3) > i)
+        z[use] = _turned(z[use] ^ (octets_[start[use] + (size[use] & ~3) + i].astype(np.uint64) * _P5), 11) * _P1
+    z = (z ^ (z >> np.uint64(33))) * _P2
+    z = (z ^ (z >> np.uint64(29))) * _P3
+    z ^= z >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        z[i] = known[whole[start[i] : start[i] + size[i]]]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return z, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
 def shingle_row(text: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
     """Hashes of the word shingles in order; none if there are fewer words."""
-    found = text.lower().split()
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    h = word_hashes([text], known)[0]
     count = len(h) - size + 1
     if count < 1:
         return h[:0]
@@ -102,9 +137,7 @@ class Rows:
 
 def shingle_rows(texts: list[bytes], size: int, known: dict[bytes, int]) -> Rows:
     """``shingle_row`` of each text, in few steps for all of them."""
-    found = [t.lower().split() for t in texts]
-    words = np.fromiter(map(len, found), np.int64, len(found))
-    h = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, int(words.sum()))
+    h, words = word_hashes(texts, known)
     count = max(0, len(h) - size + 1)
     z = _mix(h[:count] + np.uint64(size))
     for i in range(1, size):
@@ -115,6 +148,18 @@ def shingle_rows(texts: list[bytes], size: int, known: dict[bytes, int]) -> Rows
     return Rows(z[inside], np.repeat(ends - counts, counts), np.repeat(ends, counts), np.repeat(np.arange(len(texts)), counts))
 
 
+def _row_of_each(texts: list[bytes], size: int, known: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """``shingle_row`` of each text, worked out together up to ``TOGETHER`` bytes of text at a time."""
+    ends, begin = np.cumsum([len(t) for t in texts]), 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - len(texts[begin]) + TOGETHER, "right")))
+        rows = shingle_rows(texts[begin:end], size, known)
+        bounds = np.searchsorted(rows.text, np.arange(end - begin + 1)).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield rows.h[a:b]
+        begin = end
+
+
 def _least_places(h: np.ndarray, width: int) -> np.ndarray:
     """The leftmost place of the minimum of each stretch of ``width``."""
     low = (np.uint64(1) << np.uint64(max(1, int(len(h)).bit_length()))) - np.uint64(1)
@@ -216,8 +261,9 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tied(found: DataFrame) -> DataFrame:
     """``_ties`` of rows (key, uid, at) in any order: one shuffle, and each task reads its keys as a stream."""
+    names = ["key", "uid", "at", "y", "shift"]
     dealt = found.repartition("key").sortWithinPartitions("key", "uid", "at")
-    return dealt.mapInArrow(_ties, "key long, uid long, at long, y long, shift long, prev long, prev_shift long")
+    return dealt.mapInArrow(lambda batches: (b.select(names) for b in _ties(batches)), "key long, uid long, at long, y long, shift long")
 
 
 @dataclass(frozen=True)
@@ -252,10 +298,11 @@ class Compared:
 
     def __init__(self, x: Sorted, y: Sorted):
         self.x, self.y, self.size = x, y, len(y.row) + 1
-        first = np.searchsorted(y.known, x.row)
+        first = y.known.searchsorted(x.row)
         self.at = np.flatnonzero(y.known[np.minimum(first, len(y.known) - 1)] == x.row) if len(y.row) else np.zeros(0, np.int64)
         self.first = first[self.at]
-        self.last = np.searchsorted(y.known, x.row[self.at], "right")
+        self.last = y.known.searchsorted(x.row[self.at], "right")
+        self.before = x.before[self.at]
         self.base = y.codes[self.first] // self.size * self.size
         known = np.zeros(len(x.row) + 1, np.int64)
         known[self.at + 1] = 1
@@ -264,9 +311,9 @@ class Compared:
     def matches(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of x that have a match in y within the band of diagonals, and the match nearest to its middle."""
         wanted = self.at - (low + high) // 2
-        behind = np.searchsorted(self.y.codes, self.base + np.clip(wanted, 0, self.size - 1))
-        one = self.y.codes[np.clip(behind - 1, self.first, self.last - 1)] - self.base
-        two = self.y.codes[np.clip(behind, self.first, self.last - 1)] - self.base
+        behind = self.y.codes.searchsorted(self.base + wanted.clip(0, self.size - 1))
+        one = self.y.codes[(behind - 1).clip(self.first, self.last - 1)] - self.base
+        two = self.y.codes[behind.clip(self.first, self.last - 1)] - self.base
         match = np.where(np.abs(two - wanted) < np.abs(one - wanted), two, one)
         near = (self.at - match >= low) & (self.at - match <= high)
         return self.at[near], match[near]
@@ -278,9 +325,9 @@ class Compared:
 
     def similarity(self, one: tuple[int, int], two: tuple[int, int]) -> tuple[int, int]:
         """Common hashes and all hashes of two stretches."""
-        own = slice(*np.searchsorted(self.at, one))
-        base = self.base[own][self.x.before[self.at[own]] < one[0]]
-        common = int(np.count_nonzero(self.y.codes[np.searchsorted(self.y.codes, base + two[0])] < base + two[1]))
+        own = slice(*self.at.searchsorted(one))
+        base = self.base[own][self.before[own] < one[0]]
+        common = int(np.count_nonzero(self.y.codes[self.y.codes.searchsorted(base + two[0])] < base + two[1]))
         return common, self.x.distinct(*one) + self.y.distinct(*two) - common
 
 
@@ -321,10 +368,13 @@ def passages(x: np.ndarray, y: np.ndarray | Sorted, seeds: list[tuple[int, int]]
         sizes = x_to - x_from
         x_gaps = x_from[1:] - x_to[:-1]
         gaps = x_gaps + np.maximum(0, y_from[1:] - y_to[:-1])
+        # Matches in all runs before each.
+        sums = np.concatenate([[0], np.cumsum(sizes)]).tolist()
 
         def tested(p: int, q: int) -> tuple[int, int, int, int, float] | None:
             one = _widened(int(x_from[p]), int(x_to[q]), len(x), rule.width)
-            two = _widened(int(y_from[p : q + 1].min()), int(y_to[p : q + 1].max()), len(y), rule.width)
+            bottom, top = (y_from[p], y_to[p]) if p == q else (y_from[p : q + 1].min(), y_to[p : q + 1].max())
+            two = _widened(int(bottom), int(top), len(y), rule.width)
             if one is None or two is None or not both.may_reach(one, two, rule.percent):
                 return None
             common, union = both.similarity(one, two)
@@ -333,7 +383,7 @@ def passages(x: np.ndarray, y: np.ndarray | Sorted, seeds: list[tuple[int, int]]
         open_, seen = [(0, len(sizes))], set()
         while open_:
             lo, hi = open_.pop()
-            if (lo, hi) in seen or sizes[lo:hi].sum() < least:
+            if (lo, hi) in seen or sums[hi] - sums[lo] < least:
                 continue
             seen.add((lo, hi))
             # The balance up to the end of each run, and the last run up to which it has not sunk below that before run p.
@@ -347,7 +397,7 @@ def passages(x: np.ndarray, y: np.ndarray | Sorted, seeds: list[tuple[int, int]]
                     continue
                 done, whole = q, (p, q)
                 found = tested(p, q)
-                while found is None and p < q and sizes[p : q + 1].sum() >= least:
+                while found is None and p < q and sums[q + 1] - sums[p] >= least:
                     p, q = (p + 1, q) if sizes[p] - gaps[p] <= sizes[q] - gaps[q - 1] else (p, q - 1)
                     found = tested(p, q)
                 if found is None:
@@ -369,12 +419,12 @@ def _narrow(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_NUMBERS else df
 
 
-def _in_order(df: DataFrame, name: str, id_name: str, text_name: str, column: str = "uid") -> DataFrame:
-    """``df`` written once, numbered by rising identifier (null last), then by the mark of the text."""
-    mark = fresh(df, "_mark")
+def _in_order(df: DataFrame, name: str, id_name: str, text_name: str, column: str = "uid", mark: str = "mark") -> DataFrame:
+    """``df`` written once, with mark and size of the text in ``mark``, numbered by rising identifier (null last), then by the mark."""
+    text = text_of(text_name)
     keys = [F.col(id_name).cast("long").asc_nulls_last(), F.col(f"{mark}.a").asc(), F.col(f"{mark}.b").asc()]
-    rows = df.withColumn(mark, text_mark(text_of(text_name))).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return numbered(rows.drop(mark), name, column)
+    rows = df.withColumn(mark, text_mark(text).withField("size", F.octet_length(text))).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return numbered(rows, name, column)
 
 
 def repeats(df: DataFrame, rule: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,10 +442,9 @@ def repeats(df: DataFrame, rule: Passages = Passages(), id_col: str = "doc_id",
 
 
 def _repeats(rows: DataFrame, rule: Passages) -> DataFrame:
-    """``repeats`` of written rows (uid, doc, text)."""
-    marked = rows.select("uid", "doc", text_mark(F.col("text")).alias("mark"), F.octet_length("text").alias("size"))
+    """``repeats`` of written rows (uid, doc, text, mark)."""
     # A passage has at least a character and a blank for each word.
-    marked = marked.where(F.col("size") >= 2 * rule.words - 1)
+    marked = rows.select("uid", "mark").where(F.col("mark.size") >= 2 * rule.words - 1)
     several = marked.groupBy("mark").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first <> last").select("mark", "first")
     copies = written(marked.join(several, "mark").where("uid <> first").select("uid", "first"), "copies")
     texts = rows.select("uid", "text").join(_narrow(copies.select("uid")), "uid", "left_anti")
@@ -418,10 +467,7 @@ def _repeats(rows: DataFrame, rule: Passages) -> DataFrame:
     names = rows.select("uid", "doc")
     partial = verified.join(names.toDF("x", "doc_id"), "x").join(names.toDF("y", "match_id"), "y")
     partial = partial.select(F.col("x").alias("uid"), "doc_id", "start", "end", "match_id", "match_start", "match_end", "similarity")
-    lengths = F.regexp_count(F.col("text"), F.lit(r"[^\x09-\x0D\x20]+")).cast("long")
-    # Of a column of each side, so that only copies are counted.
-    counted = F.when(F.col("first").isNotNull(), lengths)
-    sized = rows.join(_narrow(copies), "uid").select("uid", "doc", "first", counted.alias("n")).where(F.col("n") >= rule.words)
+    sized = map_rows(rows.join(_narrow(copies), "uid").select("uid", "doc", "first", "text"), _counted, "uid long, doc long, first long, n long").where(F.col("n") >= rule.words)
     whole = sized.join(names.toDF("first", "match_id"), "first").select(
         "uid", F.col("doc").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), "match_id",
         F.lit(0).cast("long").alias("match_start"), F.col("n").alias("match_end"), F.lit(1.0).alias("similarity"),
@@ -429,6 +475,13 @@ def _repeats(rows: DataFrame, rule: Passages) -> DataFrame:
     return partial.unionByName(whole)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows with the words of the text in the last column instead of the text."""
+    for batch in batches:
+        for *row, text in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns - 1)], octets(batch.column(batch.num_columns - 1))):
+            yield *row, len(text.split())
+
+
 def _enough(seeds: DataFrame) -> DataFrame:
     """(x, y, shifts) of the pairs with enough windows on one alignment or another."""
     pairs = seeds.groupBy("x", "y").agg(F.collect_set("shift").alias("shifts"), F.sum("n").alias("n"))
@@ -449,24 +502,30 @@ def _rest(rows: DataFrame, kept: DataFrame, pairs: DataFrame, verified: DataFram
     near = written(_surroundings(rows, open_.select("uid", "at").unionByName(members.select(F.col("y").alias("uid"), F.col("y_at").alias("at"))), rule), "surroundings")
     open_ = open_.join(near, ["uid", "at"])
     members = members.join(near.toDF("y", "y_at", "y_near"), ["y", "y_at"])
-    tried = pairs.select("x", "y", F.explode("shifts").alias("shift"))
+    tried = pairs
     seeds, low = None, 1
     while True:
         members = members.join(_narrow(written(open_.select("key").distinct(), "open-keys")), "key", "left_semi")
         found = written(_open_seeds(open_, members, low, low * REACH, rule), "open-seeds")
         seeds = found if seeds is None else seeds.unionByName(found)
-        others = _enough(seeds).select("x", "y", F.explode("shifts").alias("shift")).join(tried, ["x", "y", "shift"], "left_anti")
-        others = written(others.groupBy("x", "y").agg(F.collect_set("shift").alias("shifts")), "other-pairs")
+        others = written(_untried(_enough(seeds), tried), "other-pairs")
         more = written(_verify(rows, others, rule), "other-passages")
         more = more if seeds is found else written(_outside(more, verified), "new-passages")
         verified, low = verified.unionByName(more), low * REACH
-        tried = tried.unionByName(others.select("x", "y", F.explode("shifts").alias("shift")))
+        tried = tried.unionByName(others)
         open_ = _open(open_, more, rule).where(F.col("place") > low)
         if open_.isEmpty():
             return verified
         open_ = written(open_, "open-windows")
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """``pairs`` (x, y, shifts) with the alignments that ``tried`` has in none of its rows for the pair, where there are any."""
+    known = tried.join(pairs.select("x", "y"), ["x", "y"], "left_semi").groupBy("x", "y").agg(F.flatten(F.collect_list("shifts")).alias("known"))
+    left = F.array_except("shifts", F.coalesce("known", F.array().cast("array<bigint>")))
+    return pairs.join(known, ["x", "y"], "left").select("x", "y", left.alias("shifts")).where(F.size("shifts") > 0)
+
+
 def _outside(found: DataFrame, verified: DataFrame) -> DataFrame:
     """``found`` but for passages that lie in a verified one of their text or in a longer one found with them; of equal ones that of the first text stays."""
     both = verified.join(_narrow(found.select("x").distinct()), "x", "left_semi").withColumn("known", F.lit(0)).unionByName(found.withColumn("known", F.lit(1)))
@@ -492,8 +551,9 @@ def _surroundings(rows: DataFrame, places: DataFrame, rule: Passages) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         known = _Hashes()
         for batch in batches:
-            for uid, text, places in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist()):
-                own = shingle_row(text, rule.shingle, known).astype("<u2")
+            texts = _row_of_each(octets(batch.column(1)), rule.shingle, known)
+            for uid, row, places in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+                own = row.astype("<u2")
                 for at in places:
                     yield uid, at, bytes([max(0, reach - at)]) + own[max(0, at - reach) : at + reach + 1].tobytes()
 
@@ -547,13 +607,18 @@ class Places:
         self.slots = np.where(self.there, self.values % SLOTS, SLOTS)
         # A missing number of the first side is never found.
         self.wanted = np.where(self.there, self.slots, SLOTS + 1)[:, DRIFT:-DRIFT]
+        # Which slots the second side of each pair has; all False between calls.
+        self.known = np.zeros(0, bool)
 
     def may_hold(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """``may_hold`` of the places of two rows of positions."""
         row = (np.arange(len(first)) * (SLOTS + 2))[:, None]
-        known = np.zeros(len(first) * (SLOTS + 2), bool)
-        known[row + self.slots[second]] = True
-        out = _reached(known[row + self.wanted[first]], self.rule)
+        if len(self.known) < len(first) * (SLOTS + 2):
+            self.known = np.zeros(len(first) * (SLOTS + 2), bool)
+        held = row + self.slots[second]
+        self.known[held] = True
+        out = _reached(self.known[row + self.wanted[first]], self.rule)
+        self.known[held] = False
         left = np.flatnonzero(out)
         if len(left):
             i, j = first[left], second[left]
@@ -648,8 +713,7 @@ def _verify(rows: DataFrame, pairs: DataFrame, rule: Passages) -> DataFrame:
         known, anchor = _Hashes(), None
         for batch in batches:
             y, member, uid, shifts = (batch.column(i).to_pylist() for i in range(4))
-            for i, text in enumerate(octets(batch.column(4))):
-                own = shingle_row(text, rule.shingle, known)
+            for i, own in enumerate(_row_of_each(octets(batch.column(4)), rule.shingle, known)):
                 if not member[i]:
                     anchor = Sorted.of(own)
                     continue
@@ -668,10 +732,10 @@ def cut_repeats(df: DataFrame, rule: Passages = Passages(), id_col: str = "doc_i
     import re
 
     inner = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    rows = _in_order(df.toDF(*inner.values()), "rows", inner[id_col], inner[text_col], "_uid")
-    own = rows.select(F.col("_uid").alias("uid"), F.col(inner[id_col]).cast("long").alias("doc"), text_of(inner[text_col]).alias("text"))
+    rows = _in_order(df.toDF(*inner.values()), "rows", inner[id_col], inner[text_col], "_uid", "_mark")
+    own = rows.select(F.col("_uid").alias("uid"), F.col(inner[id_col]).cast("long").alias("doc"), text_of(inner[text_col]).alias("text"), F.col("_mark").alias("mark"))
     spans = _repeats(own, rule).groupBy(F.col("uid").alias("_uid")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    rows = rows.join(spans, "_uid", "left").drop("_uid")
+    rows = rows.join(spans, "_uid", "left").drop("_uid", "_mark")
     at, width, word = list(inner.values()).index(inner[text_col]), len(inner), re.compile(rb"[^\x09-\x0d\x20]+")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
