@@ -157,26 +157,28 @@ def near_duplicates(spark, sf) -> DataFrame:
     return vl.near_duplicates(docs, "doc_id", "text", cores if docs.rdd.getNumPartitions() < cores else None)
 
 
-def _leaders(n: int, slots: str) -> str:
-    """One round: each member beside its slot's leader, the similar ones, and what stays in the slots."""
-    return f""", a{n} as (select * from (select slot, doc_id, min(doc_id) over (partition by slot) as anchor from {slots}) where doc_id <> anchor),
- p{n} as (select x.doc_id, x.anchor, len(list_intersect(s.s, t.s)) as shared, len(s.s) + len(t.s) - len(list_intersect(s.s, t.s)) as united from (select distinct doc_id, anchor from a{n}) x join s on s.doc_id = x.doc_id join s t on t.doc_id = x.anchor),
- f{n} as (select * from p{n} where shared >= 0.8 * united), b{n} as (select slot, doc_id from a{n} where (doc_id, anchor) not in (select (doc_id, anchor) from f{n}))"""
+def _led(slots: str) -> str:
+    """Each member beside its slot's leader, and whether it is similar to it."""
+    return f"""select slot, doc_id, anchor, (doc_id, anchor) in (select (doc_id, anchor) from f) as near
+ from (select slot, doc_id, min(doc_id) over (partition by slot) as anchor from {slots}) where doc_id <> anchor"""
 
 
 @query(
-    f"""with w as (select doc_id, string_split({_NORMAL}, ' ') as w from documents), s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as s from w where len(w) >= 3),
+    f"""with recursive w as (select doc_id, string_split({_NORMAL}, ' ') as w from documents), s as (select doc_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) as s from w where len(w) >= 3),
  h as (select doc_id, list_transform(s, lambda t: ('0x' || substr(md5(t), 1, 7))::bigint) as h from s), m as (select doc_id, [{_SKETCH}] as m from h),
  b as (select doc_id, k || ':' || m[3 * k + 1] || '-' || m[3 * k + 2] || '-' || m[3 * k + 3] as slot from m, range(4) r(k))"""
-    + _leaders(1, "b") + _leaders(2, "b1") + _leaders(3, "b2")
-    + """, l as (select * from f1 union all select * from f2 union all select * from f3), r as (select *, row_number() over (partition by doc_id order by anchor) as rn from l)
+    + f""", c as (select distinct x.doc_id, y.doc_id as anchor from b x join b y on x.slot = y.slot and x.doc_id > y.doc_id),
+ p as (select c.doc_id, c.anchor, len(list_intersect(x.s, y.s)) as shared, len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)) as united from c join s x on x.doc_id = c.doc_id join s y on y.doc_id = c.anchor),
+ f as (select * from p where shared >= 0.8 * united),
+ a as ({_led("b")} union all {_led("(select * from a where not near)")}),
+ r as (select *, row_number() over (partition by doc_id order by anchor) as rn from f where (doc_id, anchor) in (select (doc_id, anchor) from a where near))
  select doc_id, anchor, shared::int as shared, united::int as united, round(shared * 1.0::double / united, 9) as similarity from r where rn = 1"""
 )
 def near_copies_verified(spark, sf) -> DataFrame:
     """Near copies beside a leader they were compared with, and their similarity; none below 0.8."""
     docs = table(spark, sf, "documents")
     cores = spark.sparkContext.defaultParallelism
-    found = nc.verified_near_copies(docs, "doc_id", "text", rounds=3, partitions=cores if docs.rdd.getNumPartitions() < cores else None)
+    found = nc.verified_near_copies(docs, "doc_id", "text", partitions=cores if docs.rdd.getNumPartitions() < cores else None)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
