@@ -64,14 +64,13 @@ def _crowded(slots: DataFrame) -> DataFrame:
     return slots.join(slots.groupBy("slot").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("slot"), "slot", "left_semi")
 
 
-def _first_copies(df: DataFrame, key: str, text: str) -> DataFrame:
+def _first_copies(sets: DataFrame, key: str) -> DataFrame:
     """``(key, first, size)``: each key beside the smallest key with the same set of shingles, and the size of that set.
 
     Equal sets share all slots and are similar to the same leaders, so one of them stands for all. A key that has several
     texts with different sets stands for itself.
     """
-    marks = [F.xxhash64("shingles").alias("mark"), F.xxhash64(F.lit(1), "shingles").alias("mark2")]
-    marked = shingle_sets(df, key, text).select(key, F.struct(F.size("shingles").alias("size"), *marks).alias("set"))
+    marked = sets.select(key, F.struct("size", "mark", "mark2").alias("set"))
     single = marked.groupBy(key).agg(F.min("set").alias("set"), F.max("set").alias("last")).withColumn("alone", F.col("set") == F.col("last"))
     single = cut_lineage(single.select(key, "set.*", "alone"))
     firsts = single.where("alone").groupBy("size", "mark", "mark2").agg(F.min(key).alias("first")).withColumn("alone", F.lit(True))
@@ -142,14 +141,15 @@ def verified_near_copies(df: DataFrame, key: str, text: str, threshold: float =
     slots = cut_lineage(_crowded(cut_lineage(bands.select(key, F.xxhash64("band", "bucket").alias("slot")))))
     # Only texts that share a slot are ever compared: sets of the others are neither written nor moved.
     members = pin_small(slots.select(key).distinct())
-    copies = _first_copies(df.join(members, key, "left_semi"), key, text)
+    sets = shingle_sets(df.join(members, key, "left_semi"), key, text)
+    marks = [F.xxhash64("shingles").alias("mark"), F.xxhash64(F.lit(1), "shingles").alias("mark2")]
+    sets = cut_lineage(sets.select(key, "shingles", F.size("shingles").alias("size"), *marks, F.monotonically_increasing_id().alias("row")))
+    copies = _first_copies(sets, key)
     # Where the search ends early, a copy counts as found only with its own leader.
     copies = cut_lineage(copies if rounds is None and threshold <= 1 else copies.withColumn("first", F.col(key)))
     firsts = copies.where(F.col(key) == F.col("first")).select(key)
     open_slots = cut_lineage(_crowded(slots.join(firsts, key, "left_semi")))
-    members = pin_small(open_slots.select(key).distinct())
-    sets = shingle_sets(df.join(members, key, "left_semi"), key, text)
-    sets = cut_lineage(sets.select(key, "shingles", F.size("shingles").alias("size"), F.monotonically_increasing_id().alias("row")))
+    sets = sets.join(pin_small(open_slots.select(key).distinct()), key, "left_semi")
     linked, prefixes, width, done = None, None, 1, 0
     while rounds is None or done < rounds:
         if width == 1:
